@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, mixing
+from textloom.llm import bpe, fingerprints, mixing
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
@@ -22,8 +26,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_mixing": op5_mixing, "op10_bpe": op10_bpe}
+    return {"op4_bottomk": op4_bottomk, "op5_mixing": op5_mixing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": MIX_SQL}
+    return {"op4_bottomk": op4_bottomk, "op5_mixing": MIX_SQL}
