@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, mixing
+from textloom.llm import bpe, fingerprints, mixing, warc
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
 
@@ -21,13 +21,30 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+QUERIES: dict[str, Query] = {
+    "op4_bottomk": op4_bottomk,
+    "op5_mixing": op5_mixing,
+    "op8_warc": op8_warc,
+    "op10_bpe": op10_bpe,
+}
+
+SQL: dict[str, str] = {
+    "op5_mixing": MIX_SQL,
+    "op8_warc": warc.WARC_SQL,
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_bottomk": op4_bottomk, "op5_mixing": op5_mixing, "op10_bpe": op10_bpe}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_bottomk": op4_bottomk, "op5_mixing": MIX_SQL}
+    return dict(SQL)
