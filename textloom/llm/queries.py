@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, mixing, token_files, warc
+from textloom.llm import bpe, fingerprints, mixing, token_files, toxicity, warc
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.file_round_trip(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_bottomk": op4_bottomk,
     "op5_mixing": op5_mixing,
