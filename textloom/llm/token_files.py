@@ -23,8 +23,11 @@ no blocks and no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import string
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,8 @@ from textloom.llm.common import materialize, shared_path
 
 END_ID, BLOCK_TOKENS, MAGIC = 1, 4_000_000, b"TLTOKEN1"
 HEADER = struct.Struct("<8sqqqq")
-#: Words that a worker remembers, and their longest length.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words in each of the two generations that a worker remembers.
+CACHE_WORDS = 300_000
 
 #: LENGTHS[c]: the data bytes of each of the four ranks of control byte c.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -51,13 +54,20 @@ def default_vocabulary() -> str:
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, dtype="<u4")
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    extra = (values > 0xFF).view(np.uint8)
+    if values.max(initial=0) > 0xFFFF:
+        extra = extra + (values > 0xFFFF) + (values > 0xFFFFFF)
     quads = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     quads[: len(values)] = extra
     quads = quads.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    kept = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    starts = np.arange(len(values)) + np.cumsum(extra, dtype=np.int64) - extra
+    data = np.empty(len(values) + int(extra.sum(dtype=np.int64)), dtype=np.uint8)
+    data[starts] = values.astype(np.uint8)
+    for more in range(1, int(extra.max(initial=0)) + 1):
+        longer = np.flatnonzero(extra >= more)
+        data[starts[longer] + more] = (values[longer] >> np.uint32(8 * more)).astype(np.uint8)
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -73,59 +83,88 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return values
 
 
+class _Generation(dict):
+    """Words to rows of a flat id list; unknown words are encoded on the way."""
+
+    def __init__(self, encode, before: _Generation | None = None):
+        super().__init__()
+        self.encode, self.before = encode, before
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        old = self.before
+        if old is not None and word in old:
+            ids = old.slice(word)
+        else:
+            ids = self.encode(word)  # may add rows of its own
+        row = self[word] = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return row
+
+    def slice(self, word: str) -> array:
+        row = self[word]
+        return self.ids[self.ends[row] : self.ends[row + 1]]
+
+
 class WordEncoder:
     """Encodes with the tokenizers library, each distinct word once.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words (cut at blanks and line feeds) one after another.
+    are those of its words (cut at blanks and line feeds) one after another. A
+    word of letters alone is one pre-token, and the ASCII punctuation after it
+    another; these go to the library's model at once, all others through its
+    whole chain. Of the words seen, two generations of bounded size are kept.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.top = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._row: dict[str, int] = {}
-        self._starts: list[int] = [0]
-        self._ids = np.zeros(1 << 16, dtype=np.uint32)
-        self._frozen: np.ndarray | None = None
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            start, ids = self._starts[-1], found.ids
-            end = start + len(ids)
-            while end > len(self._ids):
-                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-            self._ids[start:end] = ids
-            self._row[word] = len(self._starts) - 1
-            self._starts.append(end)
-        self._frozen = None
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self._row) > CACHE_WORDS:
-            self._forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self._row
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            self._learn(list(missing))
-        if self._frozen is None:
-            self._frozen = np.array(self._starts, dtype=np.int64)
-        starts, out = self._frozen, []
-        for words in split:
-            rows = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-            first = starts[rows]
-            sizes = starts[rows + 1] - first
-            ends = np.cumsum(sizes)
-            out.append(self._ids[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)])
-        if any(len(w) > CACHE_CHARS for w in missing):  # long ones would fill the memory
-            self._forget()
-        return out
+        self._model, self._cache_words = self.tokenizer.model, cache_words
+        self._letter = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        rest = [b for b in range(256) if b not in self._letter]
+        self._letter |= {b: chr(256 + i) for i, b in enumerate(rest)}
+        self._rows = _Generation(self._encode_word)
+
+    def _pretoken(self, text: str) -> list[int]:
+        if not text.isascii():
+            text = "".join(map(self._letter.__getitem__, text.encode()))
+        return [t.id for t in self._model.tokenize(text)]
+
+    def _encode_word(self, word: str) -> list[int]:
+        core = word if word.isalpha() else word.rstrip(string.punctuation)
+        if core.isascii():
+            low = core.lower()
+        else:  # letter by letter, as the library does: no final sigma
+            low = unicodedata.normalize("NFC", core).replace("\u03a3", "\u03c3").lower()
+        if low.isalpha():
+            if low == word:
+                return self._pretoken(low)
+            ids = self._rows.slice(low)
+            return ids + array("I", self._pretoken(word[len(core) :])) if len(core) < len(word) else ids
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def trim(self) -> None:
+        """Drop the older generation; an idle worker keeps less."""
+        self._rows.before = None
+
+    def encode(self, text: str) -> np.ndarray:
+        rows = self._rows
+        if len(rows) > self._cache_words or len(rows.ids) > 16 * self._cache_words:
+            rows.before = None
+            rows = self._rows = _Generation(self._encode_word, before=rows)
+        words = text.replace("\n", " ").split(" ")
+        at = np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))
+        bounds = np.frombuffer(rows.ends, dtype=np.int64)
+        first = bounds[at]
+        sizes = bounds[at + 1] - first
+        ends = np.cumsum(sizes)
+        if not ends[-1]:
+            return np.zeros(0, dtype=np.uint32)
+        return np.frombuffer(rows.ids, dtype=np.uint32)[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)]
 
 
 _encoders: dict[str | None, WordEncoder] = {}
@@ -138,20 +177,32 @@ def encoder(path: str | None = None) -> WordEncoder:
 
 
 def encode_documents(docs: DataFrame, vocab_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (zstd-compressed little-endian uint32) of every text, with the end id."""
+    """doc_id and ids (compressed, little-endian) of every text, with the end id.
+
+    Each task adds one row without ids whose ``counts`` holds how often it wrote
+    each id, for :func:`count_ids`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        own, squeeze = encoder(vocab_path), zstandard.ZstdCompressor(level=3).compress
+        own, squeeze, total = encoder(vocab_path), zstandard.ZstdCompressor(level=3).compress, np.zeros(0, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                encoded = own.encode([x.as_py() or "" for x in part.column(1)])
-                packed = [squeeze(_planes(np.append(ids, np.uint32(end_id)))) for ids in encoded]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+                encoded = [np.append(own.encode(x.as_py() or ""), np.uint32(end_id)) for x in part.column(1)]
+                found = np.bincount(np.concatenate(encoded), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                packed = [squeeze(_planes(ids)) for ids in encoded]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names=["doc_id", "ids", "counts"])
+        own.trim()
+        seen = np.flatnonzero(total)
+        counts = np.stack([seen, total[seen]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.binary())], names=["doc_id", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    ready = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return ready.mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -166,21 +217,16 @@ def _ids(packed: bytes, expand) -> np.ndarray:
 
 
 def count_ids(encoded: DataFrame) -> DataFrame:
-    """id, n over all documents."""
+    """id, n over all documents, from the counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand, total = zstandard.ZstdDecompressor().decompress, np.zeros(0, dtype=np.int64)
         for batch in batches:
-            parts = [_ids(x.as_py(), expand) for x in batch.column(0)]
-            found = np.bincount(np.concatenate(parts), minlength=len(total)) if parts else total[:0]
-            found[: len(total)] += total
-            total = found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+            for value in batch.column(0):
+                ids, counts = np.frombuffer(value.as_py(), dtype="<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.filter(F.col("counts").isNotNull()).select("counts")
+    return counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _block(ids: list, counts: list[int], ranks: np.ndarray) -> bytes:
@@ -219,7 +265,8 @@ def write_files(encoded: DataFrame, ranked: np.ndarray, path: str, block_tokens:
         if ids:
             yield flush()
 
-    ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    rows = encoded.filter(F.col("counts").isNull()).select("doc_id", "ids")
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string")).write.text(f"{path}/tokens")
     table = spark.createDataFrame(pa.table({"rank": pa.array(range(len(ranked)), pa.int64()), "id": pa.array(ranked, pa.int64())}))
     table.coalesce(1).write.parquet(f"{path}/ranks")
