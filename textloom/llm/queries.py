@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, mixing, token_files, toxicity, warc
+from textloom.llm import bpe, fingerprints, line_dedup, mixing, token_files, toxicity, warc
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
 
@@ -29,6 +29,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeats(docs, counts=True)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op4_bottomk": op4_bottomk,
     "op5_mixing": op5_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
