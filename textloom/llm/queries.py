@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, line_dedup, mixing, token_files, toxicity, warc
+from textloom.llm import bpe, fingerprints, line_dedup, mixing, near_dups, token_files, toxicity, warc
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
 
@@ -38,6 +38,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.groups(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
+    "op9_order_minhash": op9_order_minhash,
     "op10_bpe": op10_bpe,
 }
 

@@ -27,35 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import fold, fold_of
+from textloom.llm.words import word_hashes
 
 BITS, MOST_ROWS, MOST_WEIGHTS, EPOCHS, SEED = 21, 12_000, 1 << 18, 6, "toxic"
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.01
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: Words whose hash a worker remembers.
-CACHE_WORDS = 500_000
 
-_SPACE = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.lower().encode().translate(_SPACE).split()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Coordinates of the text's features; may repeat."""
     h = word_hashes(text or "")
