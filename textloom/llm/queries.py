@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, line_dedup, mixing, near_dups, token_files, toxicity, warc
+from textloom.llm import bpe, embedding_dups, fingerprints, line_dedup, mixing, near_dups, token_files, toxicity, warc
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dups": op1_embedding_dups,
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_bottomk": op4_bottomk,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_embedding_dups": embedding_dups.COSINE_SQL,
     "op5_mixing": MIX_SQL,
     "op8_warc": warc.WARC_SQL,
 }
