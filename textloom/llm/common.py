@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+FILES_PER_CORE = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +38,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage so that lost executors cost no recomputation of what came
-    before, and gives the planner true sizes, on which it bases broadcasts.
+    before, and gives the planner true sizes, on which it bases broadcasts. At
+    most two files a core are written: many small files are slow to list.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,8 +9,8 @@ a control byte of four 2-bit lengths and take 1 to 4 data bytes each, lowest
 byte first. The rank table lies beside the files. Decoding looks the lengths of
 a control byte up in a 256-row table and gathers the bytes with numpy.
 
-Steps: encode each text once (compressed ids are written to the shared folder);
-count ids over all of them (one row an id and task is shuffled); part the
+Steps: encode each text once (compressed ids are kept on the executors' disks,
+and encoded again if those are lost); count ids over all of them (one row an id and task is shuffled); part the
 documents by ranges of ascending id and write the blocks through Spark's text
 sink, which takes any bytes and commits each task's file once. Files are read
 with Spark's binary source; block sizes, not documents, bound a task's memory.
@@ -32,14 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textloom.llm.common import materialize, shared_path
 
 END_ID, BLOCK_TOKENS, MAGIC = 1, 4_000_000, b"TLTOKEN1"
 HEADER = struct.Struct("<8sqqqq")
-#: Words in each of the two generations that a worker remembers.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers, and documents that it encodes at once.
+CACHE_WORDS, BATCH_DOCS = 300_000, 4096
 
 #: LENGTHS[c]: the data bytes of each of the four ranks of control byte c.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -83,38 +85,35 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return values
 
 
-class _Generation(dict):
+class _Known(dict):
     """Words to rows of a flat id list; unknown words are encoded on the way."""
 
-    def __init__(self, encode, before: _Generation | None = None):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.before = encode, before
+        self.encode = encode
         self.ids, self.ends = array("I"), array("q", [0])
 
     def __missing__(self, word: str) -> int:
-        old = self.before
-        if old is not None and word in old:
-            ids = old.slice(word)
-        else:
-            ids = self.encode(word)  # may add rows of its own
         row = self[word] = len(self.ends) - 1
-        self.ids.extend(ids)
+        self.ids.extend(self.encode(word))
         self.ends.append(len(self.ids))
         return row
 
-    def slice(self, word: str) -> array:
-        row = self[word]
-        return self.ids[self.ends[row] : self.ends[row + 1]]
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices first[i], first[i] + 1, ... (sizes[i] of them), for each i in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library, each distinct word once.
+    """Encodes with the tokenizers library, each distinct word of a batch once.
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words (cut at blanks and line feeds) one after another. A
     word of letters alone is one pre-token, and the ASCII punctuation after it
     another; these go to the library's model at once, all others through its
-    whole chain. Of the words seen, two generations of bounded size are kept.
+    whole chain. Up to ``cache_words`` words are remembered for later batches.
     """
 
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
@@ -127,7 +126,7 @@ class WordEncoder:
         self._letter = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         rest = [b for b in range(256) if b not in self._letter]
         self._letter |= {b: chr(256 + i) for i, b in enumerate(rest)}
-        self._rows = _Generation(self._encode_word)
+        self._known = _Known(self._encode_word)
 
     def _pretoken(self, text: str) -> list[int]:
         if not text.isascii():
@@ -135,36 +134,45 @@ class WordEncoder:
         return [t.id for t in self._model.tokenize(text)]
 
     def _encode_word(self, word: str) -> list[int]:
-        core = word if word.isalpha() else word.rstrip(string.punctuation)
-        if core.isascii():
-            low = core.lower()
-        else:  # letter by letter, as the library does: no final sigma
-            low = unicodedata.normalize("NFC", core).replace("\u03a3", "\u03c3").lower()
+        if word.isascii():
+            if word.isalpha() or word and word.strip(string.punctuation) == "" and "'" not in word:
+                return self._pretoken(word.lower())
+            return self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
+        core = word.rstrip(string.punctuation)
+        # Letter by letter, as the library does: no final sigma.
+        low = unicodedata.normalize("NFC", core).replace("\u03a3", "\u03c3").lower()
         if low.isalpha():
-            if low == word:
-                return self._pretoken(low)
-            ids = self._rows.slice(low)
-            return ids + array("I", self._pretoken(word[len(core) :])) if len(core) < len(word) else ids
+            return self._pretoken(low) + self._pretoken(word[len(core) :]) if len(core) < len(word) else self._pretoken(low)
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def trim(self) -> None:
-        """Drop the older generation; an idle worker keeps less."""
-        self._rows.before = None
-
-    def encode(self, text: str) -> np.ndarray:
-        rows = self._rows
-        if len(rows) > self._cache_words or len(rows.ids) > 16 * self._cache_words:
-            rows.before = None
-            rows = self._rows = _Generation(self._encode_word, before=rows)
-        words = text.replace("\n", " ").split(" ")
-        at = np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))
-        bounds = np.frombuffer(rows.ends, dtype=np.int64)
-        first = bounds[at]
-        sizes = bounds[at + 1] - first
-        ends = np.cumsum(sizes)
-        if not ends[-1]:
-            return np.zeros(0, dtype=np.uint32)
-        return np.frombuffer(rows.ids, dtype=np.uint32)[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array without nulls."""
+        known = self._known
+        if len(known) > self._cache_words or len(known.ids) > 16 * self._cache_words:
+            known = self._known = _Known(self._encode_word)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        # ASCII words of letters, with punctuation after them or not, are looked
+        # up in lower case and without it; all others as they are.
+        core = pc.utf8_rtrim(words, characters=string.punctuation)
+        plain = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(core))
+        cores = pc.if_else(plain, pc.ascii_lower(core), words).dictionary_encode()
+        rows = np.fromiter(map(known.__getitem__, cores.dictionary.to_pylist()), dtype=np.int64, count=len(cores.dictionary))
+        rows = rows[cores.indices.to_numpy(zero_copy_only=False)]
+        tailed = np.flatnonzero(pc.and_(plain, pc.not_equal(words, core)).to_numpy(zero_copy_only=False))
+        tails = [w[n:] for w, n in zip(words.take(pa.array(tailed)).to_pylist(), pc.binary_length(core).take(pa.array(tailed)).to_pylist())]
+        tail_rows = np.fromiter(map(known.__getitem__, tails), dtype=np.int64, count=len(tails))
+        # The ids of each distinct word: those of its core and, if any, its tail.
+        bounds, flat = np.frombuffer(known.ends, dtype=np.int64), np.frombuffer(known.ids, dtype=np.uint32)
+        parts = np.stack([rows, np.full(len(rows), -1)], axis=1)
+        parts[tailed, 1] = tail_rows
+        first, sizes = bounds[parts], np.where(parts < 0, 0, bounds[parts + 1] - bounds[parts])
+        ids, sizes = flat[_spread(first.ravel(), sizes.ravel())], sizes.sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        stream = ids[_spread(starts[at], sizes[at])]
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [stream[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 _encoders: dict[str | None, WordEncoder] = {}
@@ -188,15 +196,14 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, end_id: int
 
         own, squeeze, total = encoder(vocab_path), zstandard.ZstdCompressor(level=3).compress, np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                encoded = [np.append(own.encode(x.as_py() or ""), np.uint32(end_id)) for x in part.column(1)]
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(at, BATCH_DOCS)
+                encoded = [np.append(ids, np.uint32(end_id)) for ids in own.encode(pc.fill_null(part.column(1), ""))]
                 found = np.bincount(np.concatenate(encoded), minlength=len(total))
                 found[: len(total)] += total
                 total = found
                 packed = [squeeze(_planes(ids)) for ids in encoded]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names=["doc_id", "ids", "counts"])
-        own.trim()
         seen = np.flatnonzero(total)
         counts = np.stack([seen, total[seen]]).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.binary())], names=["doc_id", "ids", "counts"])
@@ -289,6 +296,16 @@ def blocks(content: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         at += n_control + n_data + 1
 
 
+def token_count(content: bytes) -> int:
+    """The tokens in all blocks of a file, from their headers."""
+    at = total = 0
+    while at < len(content):
+        _, n_docs, n_tokens, n_control, n_data = HEADER.unpack_from(content, at)
+        at += HEADER.size + 17 * n_docs + n_control + n_data + 1
+        total += n_tokens
+    return total
+
+
 def read_files(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and the ids) of every document in the files."""
     table = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").toPandas()  # one row a vocabulary id
@@ -310,10 +327,15 @@ def read_files(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                     place += int(ends[-1])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [token_count(content.as_py()) for content in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["file", "tokens"])
+
     schema = "file string, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/tokens")
-    rows = materialize(files.select("path", "content").mapInArrow(run, schema), "token-rows")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))  # one row a file
+    rows = files.select("path", "content").mapInArrow(run, schema)
+    totals = materialize(files.select("path", "content").mapInArrow(count, "file string, tokens long"), "token-totals")  # one row a file
     order = W.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(F.col("file").alias("_file"), F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
     joined = rows.join(before, rows["file"] == before["_file"])
@@ -322,10 +344,11 @@ def read_files(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
 
 def token_files(docs: DataFrame, path: str, vocab_path: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode ``docs`` and write the files under ``path``."""
-    encoded = materialize(encode_documents(docs, vocab_path, end_id), "token-ids")
+    encoded = encode_documents(docs, vocab_path, end_id).persist(StorageLevel.DISK_ONLY)
     counts = count_ids(encoded).toPandas()  # one row a vocabulary id
     ranked = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
     write_files(encoded, ranked, path, block_tokens)
+    encoded.unpersist()
 
 
 def file_round_trip(docs: DataFrame, **options) -> DataFrame:
