@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, embedding_dups, fingerprints, line_dedup, mixing, near_dups, token_files, toxicity, warc
+from textloom.llm import bpe, embedding_dups, fingerprints, line_dedup, mixing, near_dups, quality, token_files, toxicity, warc
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
 
@@ -33,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.remove_repeats(docs, counts=True)
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op4_bottomk": op4_bottomk,
     "op5_mixing": op5_mixing,
+    "op6_byte_cnn": op6_byte_cnn,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
     "op9_order_minhash": op9_order_minhash,
