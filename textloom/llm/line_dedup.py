@@ -8,8 +8,8 @@ and compared byte by byte with the first occurrence (smallest doc_id, then
 line); occurrences equal to it are removed, the first stays.
 
 Only hashes and line numbers are counted over the corpus; texts move in two
-joins by document, and the text of repeated chunks in one by chunk, in which one
-side has a single row a chunk, so that adaptive execution can split hot ones.
+joins by document (in the first only those likely to hold repeats), and the text
+of repeated chunks in one by chunk, in which one side has a single row a chunk, so that adaptive execution can split hot ones.
 
 Defined results: a null text stays null; an empty text, and a text whose lines
 all go, is ''. Rows with equal doc_id and text are one document and stay alike;
@@ -29,6 +29,8 @@ from textloom.llm.common import materialize
 
 #: A line ends a chunk with probability 1 / DIVISOR.
 DIVISOR, LEAST_LINES = 3, 2
+#: Most rows of the broadcast set that filters documents before they are shuffled.
+FILTER_BUCKETS = 1 << 20
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -85,12 +87,16 @@ def repeated_spans(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     shared = materialize(shared.select(F.col("key").alias("_key"), "origin"), "line-shared")
     places = found.join(shared, found["key"] == shared["_key"])
     place = F.struct("first", "n", "key", at.eqNullSafe(F.col("origin")).alias("original"))
-    places = places.groupBy("doc_id", "version").agg(F.collect_set(place).alias("places"))
-    lines = _of_document(docs, places, "inner").select("doc_id", "version", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
+    places = materialize(places.groupBy("doc_id", "version").agg(F.collect_set(place).alias("places")), "line-places")
+    # Before the shuffle of texts, most documents without repeats are dropped
+    # by a bounded set: the buckets that the ids with repeats hash to.
+    bucket = F.pmod(F.xxhash64("doc_id", "version"), F.lit(FILTER_BUCKETS)).alias("bucket")
+    buckets = F.broadcast(places.select(bucket).distinct())
+    likely = docs.withColumn("bucket", bucket).join(buckets, "bucket", "left_semi").drop("bucket")
+    lines = _of_document(likely, places, "inner").select("doc_id", "version", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
     text = F.array_join(F.slice("lines", F.col("place.first") + 1, F.col("place.n")), "\n")
     pieces = materialize(lines.select("doc_id", "version", "place.*", text.alias("piece")), "line-pieces")
-    originals = pieces.filter("original").dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.col("piece").alias("_piece"))
-    originals = materialize(originals, "line-originals")
+    originals = pieces.filter("original").select(F.col("key").alias("_key"), F.col("piece").alias("_piece"))
     copies = pieces.filter("not original")
     equal = copies.join(originals, (copies["key"] == originals["_key"]) & (copies["piece"] == originals["_piece"]))
     return equal.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
@@ -98,9 +104,9 @@ def repeated_spans(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, divisor: int = DIVISOR, counts: bool = False) -> DataFrame:
     """``docs`` without repeated chunks; with ``counts`` also n_lines and removed_lines."""
-    row = F.struct(*docs.columns).alias("row")
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
     ready = docs.select(row, F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-    spans = materialize(repeated_spans(ready.drop("row"), divisor), "line-spans")
+    spans = repeated_spans(ready.drop("row"), divisor)
     lines = F.split("text", "\n")
     joined = _of_document(ready, spans, "left").withColumn("lines", lines)
     gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
@@ -113,7 +119,7 @@ def remove_repeats(docs: DataFrame, divisor: int = DIVISOR, counts: bool = False
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(changed, F.length("new_text").cast(kind)).otherwise(F.col("row")["n_chars"])
-    out = [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    out = [(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns]
     if counts:
         n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
         out += [n.cast("long").alias("n_lines"), F.when(changed, n - F.size("kept")).otherwise(0).cast("long").alias("removed_lines")]
