@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from textloom.plans import corpus_queries, metric_queries, vector_queries, vocab_queries  # noqa: F401
+from textloom.plans.registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
