@@ -24,15 +24,20 @@ def learn_merges(counts: DataFrame, merges: int, save_every: int = 20, folder: s
     """
     state = counts.select("word", "freq", characters(F.col("word")).alias("segs"))
     found: list[tuple[str, str]] = []
+    before: DataFrame | None = None
     for done in range(merges):
-        rounds = state.select("freq", F.arrays_zip(F.col("segs").alias("a"), F.slice("segs", F.lit(2), F.greatest(F.size("segs") - 1, F.lit(0))).alias("b")).alias("pairs"))
-        pairs = rounds.select("freq", F.explode("pairs").alias("p")).filter(F.col("p.b").isNotNull()).groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"))
+        inner = F.greatest(F.size("segs") - 1, F.lit(0))
+        both = F.zip_with(F.slice("segs", F.lit(1), inner), F.slice("segs", F.lit(2), inner), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        pairs = state.select("freq", F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"))
         best = pairs.orderBy(F.desc("n"), "a", "b").limit(1).collect()
         if not best or best[0]["n"] < 1:
             break
         a, b = best[0]["a"], best[0]["b"]
         found.append((a, b))
-        state = state.withColumn("segs", merged(F.col("segs"), a, b))
+        # Each round's table is kept until the next is made, so expressions do not nest.
+        stale, before, state = before, state, state.withColumn("segs", merged(F.col("segs"), a, b)).persist()
+        if stale is not None:
+            stale.unpersist()
         if (done + 1) % save_every == 0:
             if folder:
                 state.write.mode("overwrite").parquet(f"{folder}/merges-{done + 1}")

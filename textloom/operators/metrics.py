@@ -176,7 +176,7 @@ def group_sizes(rows: DataFrame, by: str) -> DataFrame:
 
 def equal_parameter_dim(vocab: Column, target: int, layers: int, length: int, heads: int, low: int = 128, high: int = 1024) -> Column:
     """Model width at which a vocabulary's parameters reach ``target``, in whole heads."""
-    a, b = 12.0 * layers, vocab + length
+    a, b = 12.0 * layers, (vocab + length).cast("double")
     root = (-b + F.sqrt(b * b + 4 * a * target)) / (2 * a)
     whole = F.greatest(F.rint(root / heads) * heads, F.lit(heads))
     return F.greatest(F.lit(low), F.least(F.lit(high), whole)).cast("int")

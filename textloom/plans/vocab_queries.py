@@ -1,0 +1,241 @@
+"""Queries on words, vocabularies, encodings and segmentations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import segments as S
+from textloom.functions import text as X
+from textloom.operators import learners, vocab
+from textloom.plans import sqlparts as P
+from textloom.plans.registry import query, table
+
+SUFFIXES = ["s", "ed", "er", "en", "ing", "tion", "ment", "ly"]
+_LIST = "[" + ", ".join(f"'{s}'" for s in SUFFIXES) + "]"
+
+
+def words_of(spark, sf_dir):
+    return vocab.document_words(table(spark, sf_dir, "documents"))
+
+
+def counts_of(spark, sf_dir):
+    return vocab.word_counts(words_of(spark, sf_dir))
+
+
+def sql_top(k: int, least: int = 1) -> str:
+    return f"top AS (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, word) AS id FROM counts WHERE freq >= {least} QUALIFY id <= {k})"
+
+
+@query(f"WITH {P.WORDS}, {P.COUNTS}, {sql_top(999, 2)} SELECT word, id::INT AS id, freq FROM top UNION ALL SELECT '<UNK>', 0, 0")
+def word_vocab_topk(spark, sf_dir):
+    return vocab.ranked_vocab(counts_of(spark, sf_dir), 1000, 2)
+
+
+@query(f"""SELECT word, count(*) AS freq FROM (SELECT regexp_replace(unnest({P.split('text')}), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS word FROM documents)
+WHERE length(word) BETWEEN 1 AND 30 GROUP BY word""")
+def word_freq_case_kept(spark, sf_dir):
+    return vocab.word_counts(vocab.document_words(table(spark, sf_dir, "documents"), "tokens", lower=False))
+
+
+@query(f"""SELECT DISTINCT {P.lower('word')} AS word FROM (SELECT regexp_replace(unnest({P.split('text')}), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS word FROM documents)
+WHERE length(word) BETWEEN 1 AND 40""")
+def harvested_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(X.split_words(F.col("text"))).alias("raw"))
+    return words.select(X.clean_word(F.col("raw"), "harvest").alias("word")).filter("word is not null").distinct()
+
+
+@query(f"WITH {P.WORDS}, {P.COUNTS}, {sql_top(999, 2)} SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE top.id IS NULL) AS n_unknown, sum(coalesce(top.id, 0))::BIGINT AS id_sum FROM words LEFT JOIN top USING (word) GROUP BY doc_id")
+def encode_words(spark, sf_dir):
+    words = words_of(spark, sf_dir)
+    ids = vocab.with_ids(words, vocab.ranked_vocab(vocab.word_counts(words), 1000, 2).filter("id > 0"))
+    return ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("id") == 0).alias("n_unknown"), F.sum("id").alias("id_sum"))
+
+
+def _token_vocab(counts):
+    best = vocab.top_words(counts, 2000).select(F.concat(F.lit(X.MARKER), F.col("word")).alias("segment"), "freq")
+    chars = [*X.LETTERS, *[X.MARKER + c for c in X.LETTERS]]
+    return vocab.token_vocab(best, chars, [], 1500)
+
+
+_CHARS = "string_split('abcçdefgğhıijklmnoöprsştuüvyz', '')"
+_TOKENS = f"""fixed AS (SELECT unnest(list_concat(['<UNK>', '<BOS>', '<EOS>', '<PAD>', '<MASK>'], {_CHARS}, list_transform({_CHARS}, lambda c: '▁' || c))) AS token, generate_subscripts(range(63), 1) - 1 AS id),
+tokens AS (SELECT * FROM fixed UNION ALL SELECT token, 62 + row_number() OVER (ORDER BY freq DESC, token) AS id FROM (
+  SELECT '▁' || word AS token, freq FROM top WHERE '▁' || word NOT IN (SELECT token FROM fixed)) QUALIFY id < 1500),
+pieces AS (SELECT doc_id, pos, 0 AS sub, '▁' || word AS token, tokens.id FROM words LEFT JOIN tokens ON tokens.token = '▁' || word),
+spelled AS (SELECT doc_id, pos, sub, CASE WHEN sub = 0 THEN '▁' ELSE '' END || ch AS token FROM (
+  SELECT doc_id, pos, generate_subscripts(cs, 1) - 1 AS sub, unnest(cs) AS ch FROM (SELECT doc_id, pos, string_split(token[2:], '') AS cs FROM pieces WHERE id IS NULL))),
+encoded AS (SELECT * FROM pieces WHERE id IS NOT NULL UNION ALL SELECT s.doc_id, s.pos, s.sub, s.token, coalesce(t.id, 0) FROM spelled s LEFT JOIN tokens t USING (token))"""
+
+
+def _encoded(spark, sf_dir):
+    words = words_of(spark, sf_dir)
+    tokens = _token_vocab(vocab.word_counts(words))
+    marked = words.select("doc_id", "pos", F.concat(F.lit(X.MARKER), F.col("word")).alias("token"))
+    return vocab.encode_with_chars(marked, tokens), tokens
+
+
+@query(f"WITH {P.WORDS}, {P.COUNTS}, {sql_top(2000)}, {_TOKENS} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE id = 0) AS n_unknown, sum(id)::BIGINT AS id_sum FROM encoded GROUP BY doc_id")
+def encode_char_fallback(spark, sf_dir):
+    encoded, _ = _encoded(spark, sf_dir)
+    return encoded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("id") == 0).alias("n_unknown"), F.sum("id").alias("id_sum"))
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, {sql_top(2000)}, {_TOKENS}
+SELECT doc_id, trim(replace(string_agg(tokens.token, '' ORDER BY e.pos, e.sub), '▁', ' ')) AS text FROM encoded e JOIN tokens ON e.id = tokens.id WHERE e.id <> 0 GROUP BY doc_id""")
+def decode_tokens(spark, sf_dir):
+    encoded, tokens = _encoded(spark, sf_dir)
+    return vocab.decode_tokens(encoded, tokens, skip=[0])
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, {sql_top(2000)}, {_TOKENS} SELECT count(*) AS size, 5 AS specials,
+  count(*) FILTER (WHERE length(token) = 1) AS chars, count(*) FILTER (WHERE token LIKE '▁%') AS word_starts,
+  count(*) FILTER (WHERE length(token) <> 1 AND token NOT LIKE '▁%') - 5 AS inner FROM tokens""")
+def token_vocab_stats(spark, sf_dir):
+    return vocab.vocab_stats(_token_vocab(counts_of(spark, sf_dir))).withColumn("specials", F.col("specials").cast("int"))
+
+
+@query(f"""WITH {P.WORDS}, b AS (SELECT {P.lower("regexp_replace(regexp_replace(unnest(" + P.split('text') + "), '[^\\p{L}\\p{N}_]', '', 'g'), '[0-9]', '', 'g')")} AS word FROM benchmark),
+bench AS (SELECT word FROM b WHERE regexp_full_match(word, '\\p{{L}}{{2,30}}')), known AS (SELECT DISTINCT word FROM words)
+SELECT count(*) AS n_words, count(*) FILTER (WHERE k.word IS NULL) AS n_unknown, 100.0::DOUBLE * count(*) FILTER (WHERE k.word IS NULL) / greatest(count(*), 1) AS oov_rate,
+  100.0::DOUBLE * count(DISTINCT k.word) / greatest((SELECT count(*) FROM known), 1) AS coverage FROM bench LEFT JOIN known k USING (word)""")
+def oov_rate_vs_benchmark(spark, sf_dir):
+    bench = vocab.document_words(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    return vocab.unknown_rate(bench, words_of(spark, sf_dir).select("word").distinct())
+
+
+@query(f"""WITH {P.WORDS}, s AS (SELECT word, crc32_test, doc_id FROM (SELECT *, substr(md5(doc_id::VARCHAR), 1, 1) >= 'e' AS crc32_test FROM words)),
+c AS (SELECT word, count(*) AS freq FROM s WHERE crc32_test GROUP BY word), k AS (SELECT DISTINCT word FROM s WHERE NOT crc32_test),
+r AS (SELECT word, freq, CASE WHEN k.word IS NULL THEN 'oov' ELSE 'seen' END AS stratum FROM c LEFT JOIN k USING (word)),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY freq DESC, word)::INT AS rank FROM r)
+SELECT * FROM o WHERE rank <= CASE WHEN stratum = 'seen' THEN 800 ELSE 400 END""")
+def seen_oov_strata(spark, sf_dir):
+    held = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) >= "e"
+    words = words_of(spark, sf_dir)
+    return vocab.seen_and_unseen(words.filter(~held), words.filter(held), 800, 400)
+
+
+@query(f"WITH {P.WORDS}, c AS (SELECT doc_id, pos // 32 AS chunk, count(*) AS n FROM words GROUP BY ALL HAVING n >= 3) SELECT n, count(*) AS chunks FROM c GROUP BY n")
+def sentence_chunk_sizes(spark, sf_dir):
+    chunks = vocab.sentence_chunks(words_of(spark, sf_dir))
+    return chunks.groupBy(F.size("words").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, {sql_top(999, 2)}, s AS (SELECT doc_id, pos, coalesce(id, 0) AS id FROM words LEFT JOIN top USING (word)),
+b AS (SELECT *, pos // 64 AS block, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS target FROM s)
+SELECT doc_id, block::BIGINT AS block, count(*) AS n, sum(id)::BIGINT AS inputs, sum(target)::BIGINT AS targets FROM b GROUP BY ALL""")
+def token_blocks(spark, sf_dir):
+    words = words_of(spark, sf_dir)
+    stream = vocab.with_ids(words, vocab.ranked_vocab(vocab.word_counts(words), 1000, 2).filter("id > 0"))
+    blocks = vocab.token_blocks(stream.select("doc_id", "pos", "id"), 64)
+    return blocks.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("inputs"), F.sum("target").alias("targets"))
+
+
+@query(f"""WITH {P.WORDS} SELECT a.word, b.word AS context, count(*) AS n FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2
+GROUP BY ALL HAVING n >= 20""")
+def skipgram_pairs(spark, sf_dir):
+    pairs = vocab.context_pairs(words_of(spark, sf_dir), 2)
+    return pairs.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+
+
+@query(f"WITH {P.WORDS}, {P.COUNTS} SELECT word, round(pow(freq, 0.75) / (SELECT sum(pow(freq, 0.75)) FROM counts), 12) AS weight FROM counts")
+def neg_sampling_dist(spark, sf_dir):
+    return vocab.negative_distribution(counts_of(spark, sf_dir)).withColumn("weight", F.round("weight", 12))
+
+
+_ROOTS = f"""roots AS (SELECT word AS root FROM counts WHERE length(word) BETWEEN 2 AND 6 AND freq >= 20), sfx AS (SELECT unnest({_LIST}) AS suffix),
+cutpoints AS (SELECT word, k, left(word, k) AS root, substr(word, k + 1) AS suffix FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM counts)),
+splits AS (SELECT word, max(k)::INT AS root_end FROM cutpoints c WHERE (root IN (SELECT root FROM roots) OR {P.harden('root')} IN (SELECT root FROM roots))
+  AND (suffix = '' OR suffix IN (SELECT suffix FROM sfx)) GROUP BY word)"""
+
+
+def _root_splits(counts):
+    roots = counts.filter(F.length("word").between(2, 6) & (F.col("freq") >= 20)).select(F.col("word").alias("root"))
+    suffixes = counts.sparkSession.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    return vocab.root_splits(counts.select("word"), roots, suffixes, X.harden)
+
+
+@query(f"WITH {P.WORDS}, {P.COUNTS}, {_ROOTS} SELECT * FROM splits")
+def root_split_longest(spark, sf_dir):
+    return _root_splits(counts_of(spark, sf_dir))
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, {_ROOTS}, lex AS (SELECT root AS word FROM roots UNION SELECT suffix FROM sfx)
+SELECT word, freq, word IN (SELECT word FROM lex) AS is_pure, word IN (SELECT word FROM lex) OR word IN (SELECT word FROM splits) AS is_valid FROM counts""")
+def lexicon_flags(spark, sf_dir):
+    return _flags(counts_of(spark, sf_dir))
+
+
+def _flags(counts):
+    spark = counts.sparkSession
+    roots = counts.filter(F.length("word").between(2, 6) & (F.col("freq") >= 20)).select("word")
+    known = vocab.lexicon(roots, spark.createDataFrame([(s,) for s in SUFFIXES], "word string")).withColumn("pure", F.lit(True))
+    split = _root_splits(counts).select("word", F.lit(True).alias("split"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return counts.join(known, "word", "left").join(split, "word", "left").select("word", "freq", flag("pure").alias("is_pure"), (flag("pure") | flag("split")).alias("is_valid"))
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, e AS (SELECT word, list_transform(string_split(word[1:30], ''), lambda c: CASE WHEN instr('abcçdefgğhıijklmnoöprsştuüvyz', c) > 0 THEN instr('abcçdefgğhıijklmnoöprsştuüvyz', c) + 3 ELSE 1 END) AS ids FROM counts WHERE freq >= 5)
+SELECT word, array_to_string(list_resize(list_concat([2], ids, [3]), 32, 0), ' ') AS ids, (len(ids) + 2)::INT AS len FROM e""")
+def char_id_arrays(spark, sf_dir):
+    coded = counts_of(spark, sf_dir).filter("freq >= 5").select("word", X.char_ids(F.col("word")).alias("c"))
+    return coded.select("word", F.array_join(F.transform("c.ids", lambda i: i.cast("string")), " ").alias("ids"), F.col("c.len").cast("int").alias("len"))
+
+
+_SEG = P.every("word", 3)
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, {_ROOTS}, s AS (SELECT word, {_SEG} AS segs, root_end FROM counts LEFT JOIN splits USING (word) WHERE freq >= 3),
+l AS (SELECT *, list_transform(range(31), lambda i: list_contains({P.boundaries('segs')}, i)::INT) AS labels FROM s)
+SELECT word, array_to_string(segs, ' | ') AS piped, array_to_string(labels, '') AS labels,
+  CASE WHEN len(segs) <= 1 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.3::DOUBLE, length(word) / len(segs) / 4.0::DOUBLE)) END AS confidence,
+  array_to_string(CASE WHEN root_end < length(word) AND root_end <= 29 AND labels[root_end + 1] = 1
+    THEN list_transform(labels, lambda x, i: CASE WHEN i - 1 >= 1 AND i - 1 < root_end THEN 0 ELSE x END) ELSE labels END, '') AS corrected FROM l""")
+def boundary_labels(spark, sf_dir):
+    counts = counts_of(spark, sf_dir)
+    rows = counts.filter("freq >= 3").join(_root_splits(counts), "word", "left").withColumn("segs", S.every(F.col("word"), 3))
+    rows = rows.withColumn("labels", S.labels(S.boundaries(F.col("segs"))))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "")
+    corrected = S.correct_root(F.col("labels"), F.col("root_end"), F.col("word"))
+    return rows.select("word", S.piped(F.col("segs")).alias("piped"), text(F.col("labels")).alias("labels"), S.confidence(F.col("segs"), F.col("word")).alias("confidence"), text(corrected).alias("corrected"))
+
+
+@query(f"WITH {P.WORDS}, {P.COUNTS} SELECT word, array_to_string({_SEG}, ' | ') AS piped, true AS same FROM counts")
+def segments_round_trip(spark, sf_dir):
+    segs = counts_of(spark, sf_dir).select("word", S.every(F.col("word"), 3).alias("segs"))
+    back = S.from_boundaries(F.col("word"), S.boundaries(F.col("segs")))
+    return segs.select("word", S.piped(F.col("segs")).alias("piped"), (back == F.col("segs")).alias("same"))
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS} SELECT segment, sum(freq)::BIGINT AS freq FROM (SELECT unnest({_SEG}) AS segment, freq FROM counts) GROUP BY segment""")
+def weighted_segments(spark, sf_dir):
+    return vocab.weighted_counts(counts_of(spark, sf_dir).select(S.every(F.col("word"), 3).alias("segs"), "freq"))
+
+
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, r AS (SELECT left(word, 3) AS word, sum(freq)::BIGINT AS freq FROM counts GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY freq DESC, word)::INT AS id FROM r WHERE freq >= 5)
+SELECT word, id, freq FROM o WHERE id <= 499 UNION ALL SELECT '<UNK>', 0, 0""")
+def root_vocab(spark, sf_dir):
+    return vocab.root_vocab(counts_of(spark, sf_dir).select(S.every(F.col("word"), 3).alias("segs"), "freq"), 500, 5)
+
+
+@query()
+def bpe_merges(spark, sf_dir):
+    """The first twelve merges; tested against a plain loop."""
+    merges, _ = learners.learn_merges(counts_of(spark, sf_dir).persist(), 12)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, a string, b string")
+
+
+@query()
+def longest_match_words(spark, sf_dir):
+    """Greedy pieces of every distinct word; tested against a plain loop."""
+    counts = counts_of(spark, sf_dir)
+    pieces = vocab.weighted_counts(counts.select(S.every(F.col("word"), 3).alias("segs"), "freq")).withColumnRenamed("segment", "word")
+    inner = vocab.top_words(pieces, 1500).select(F.explode(F.array("word", F.concat(F.lit("##"), F.col("word")))).alias("token"))
+    return learners.longest_match(inner, counts.select("word"))
+
+
+@query()
+def unigram_segments(spark, sf_dir):
+    """Least-cost pieces of every distinct word; tested against exhaustive search."""
+    counts = counts_of(spark, sf_dir)
+    pieces = vocab.weighted_counts(counts.select(S.every(F.col("word"), 3).alias("segs"), "freq"))
+    return learners.cheapest_path(learners.segment_costs(vocab.top_words(pieces.withColumnRenamed("segment", "word"), 2000).withColumnRenamed("word", "segment")), counts.select("word"))
