@@ -65,7 +65,7 @@ def resemblance(one: Column, two: Column, k: int = K) -> Column:
 def distinct_shingles(fingerprint: Column, k: int = K) -> Column:
     """Estimated number of distinct shingles; exact below k."""
     size = F.size(fingerprint)
-    return F.when(size < k, size.cast("double")).otherwise(F.lit(float(k - 1)) * HASHES / F.element_at(fingerprint, k))
+    return F.when(size < k, size.cast("double")).otherwise(F.lit((k - 1.0) * HASHES) / F.element_at(fingerprint, k))
 
 
 def containment(one: Column, two: Column, k: int = K) -> Column:
