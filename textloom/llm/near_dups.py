@@ -1,19 +1,21 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
 A text's k-mers are its runs of five words (all its words if it has fewer), each
-labelled with its occurrence. For each of ``sketches`` hash functions the three
-smallest labelled k-mers, kept in text order, make one key; texts agree in a key
-the likelier the higher their edit similarity. Texts that share a key are
+labelled with its occurrence. For each of ``sketches`` hash functions the four
+smallest labelled k-mers, kept in text order, and the quarter of the text where
+they begin make one key; texts agree in a key the likelier the higher their edit
+similarity, and texts that merely share a passage seldom. Texts that share a key are
 candidates; they are similar if their word sequences align with 1 - distance /
 longer length >= ``least``, found exactly within a band.
 
 Exact copies are one node from the start (aggregated before any shuffle). In a
 key's bucket each text is aligned with the bucket's leader, not with every
-other; those not similar to it elect the next leaders, four times as many each
-round, until none is left. So a bucket of n copies costs n alignments, and only
-texts that share a key without being similar cost more. Leaders are the smallest
-digests, so a group's buckets mostly share theirs. Links make components;
-each keeps the document with the smallest id.
+other, unless links found before connect the two; those not similar to it elect
+the next leaders, four times as many each round, until none is left (from the
+third slice on among those that agree in two keys). So a large group costs a few alignments a text, and only texts that share a key without
+being similar cost more. Leaders are the smallest digests, so a group's buckets
+mostly share theirs. Links make components; each keeps the document with the
+smallest id.
 
 Defined results: a null text is the empty text. Texts without words are linked
 only to their exact copies. Rows with equal id and text are one document. Rows
@@ -23,6 +25,7 @@ by :func:`keep_representatives`); an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +38,8 @@ from textloom.llm.common import materialize
 from textloom.llm.components import components
 from textloom.llm.words import word_hashes
 
-SHINGLE, SKETCHES, PICKED, LEAST = 5, 32, 3, 0.8
+PROFILE = 512
+SHINGLE, SKETCHES, PICKED, PLACES, LEAST = 5, 40, 4, 4, 0.8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,6 +82,7 @@ def order_min_hash(words: np.ndarray, sketches: int = SKETCHES, picked: int = PI
         some = slice(first, first + step)
         at = np.argpartition(h[None, :] * odd[some, None], size - 1, axis=1)[:, :size]
         at.sort(axis=1)
+        keys[some] ^= (at[:, 0] * PLACES // len(h)).astype(np.uint64)
         for j in range(size):
             keys[some] = _mixed(keys[some] ^ h[at[:, j]])
     return keys.view(np.int64)
@@ -122,35 +127,102 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
     return both.mapInArrow(run, "node binary, leader binary, near boolean")
 
 
-def _shared(buckets: DataFrame) -> DataFrame:
-    """The rows (key, node, n_words) whose key has several nodes."""
-    h = F.xxhash64("node")
-    several = buckets.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
-    return buckets.join(several, F.col("key") == F.col("_key"), "left_semi")
-
-
-def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """node, leader of the similar pairs that connect every bucket's similar texts."""
-    live, known, leaders = buckets, None, 1
-    while True:
-        order = W.partitionBy("key").orderBy("node")
-        lead = live.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= leaders)
-        lead = lead.select(F.col("key").alias("_key"), F.col("node").alias("leader"), F.col("n_words").alias("_n"))
-        pairs = live.join(lead, (F.col("key") == F.col("_key")) & (F.col("leader") < F.col("node")))
-        pairs = pairs.filter(F.least("n_words", "_n") >= F.greatest("n_words", "_n") * least).select("key", "node", "leader")
-        pairs = materialize(pairs, "near-pairs")
-        fresh = pairs.select("node", "leader").distinct()
-        if known is not None:
-            fresh = fresh.join(known, ["node", "leader"], "left_anti")
-        found = materialize(aligned(fresh, texts, least), "near-aligned")
-        known = found if known is None else known.unionByName(found)
-        done = pairs.join(known.filter("near").select("node", "leader"), ["node", "leader"]).select("key", "node")
-        done = done.union(lead.select("_key", "leader"))
-        rest = live.join(done.distinct(), ["key", "node"], "left_anti")
-        live = materialize(_shared(rest).select("key", "node", "n_words"), "near-rest")
-        if not live.limit(1).count():
-            return known.filter("near").select("node", "leader")
-        leaders *= 4
+def _shared(rows: DataFrame, what: str) -> DataFrame:
+    """The rows (key, ...) whose key has several values of ``what``."""
+    h = F.xxhash64(what)
+    several = rows.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
+    return rows.join(several, F.col("key") == F.col("_key"), "left_semi")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with ``root``: of the node's component in the links found so far."""
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return rows.join(known, rows["node"] == known["_node"], "left").select(*rows.columns, F.coalesce("_root", "node").alias("root"))
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    """node and profile: how many of the text's words hash to each of ``PROFILE`` buckets.
+
+    An edit changes two counts by one at most, so texts are at least half the
+    sum of their profiles' differences apart: an exact filter before alignment.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount((word_hashes(t.as_py()) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], names=["_of", "profile"])
+
+    return texts.select("node", "text").mapInArrow(run, "_of binary, profile array<int>")
+
+
+def _two_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with a key for each two keys of a node (of which it has few left)."""
+    owned = rows.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.first("n_words").alias("n_words"))
+    later = lambda i: F.slice("keys", i + 2, F.size("keys"))
+    both = F.flatten(F.transform("keys", lambda a, i: F.transform(later(i), lambda b: F.xxhash64(a, b))))
+    return owned.select(F.lit(0).alias("band"), F.explode(both).alias("key"), "node", "n_words")
+
+
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` of one key of each set of nodes; keys with the same nodes say the same."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
+    sets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *marks).filter("size > 1")
+    kept = sets.groupBy("size", "mark1", "mark2").agg(F.min("key").alias("_key")).select("_key")
+    return rows.join(kept, F.col("key") == F.col("_key"), "left_semi")
+
+
+def links(buckets: DataFrame, texts: DataFrame, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
+    """node, root of the nodes that similar pairs connect.
+
+    ``buckets`` (key, band, node, n_words) are met in two slices of bands with one
+    leader a bucket. What is left are mostly texts that share a passage; of these
+    the ones that agree in two keys (as all but the least similar pairs do) meet
+    4, 16, ... leaders until none is left. Buckets whose nodes are all connected
+    by then are dropped, and so are the nodes connected with a leader; a large
+    group, joined by its first keys, costs a few alignments a text.
+    """
+    empty = buckets.select("node", F.col("node").alias("root")).limit(0)
+    known = roots = counts = None
+    rest: list[DataFrame] = []
+    cut = max(1, sketches // 8)
+    steps = [(buckets.filter(F.col("band") < cut), 1), (buckets.filter(F.col("band") >= cut), 1)]
+    leaders = 1
+    while steps:
+        rows, n = steps.pop(0)
+        live = materialize(_shared(_rooted(rows if leaders == 1 else _distinct_buckets(rows), roots), "root"), "near-live")
+        if live.limit(1).count():
+            alike = F.least("n_words", "_n") >= F.greatest("n_words", "_n") * least
+            if leaders > 1:
+                counts = materialize(profiles(texts), "near-profiles") if counts is None else counts
+                live = materialize(live.join(counts, F.col("node") == F.col("_of")).drop("_of"), "near-profiled")
+                apart = F.aggregate(F.zip_with("profile", "_profile", lambda a, b: F.abs(a - b)), F.lit(0), lambda n, x: n + x)
+                alike &= apart <= F.greatest("n_words", "_n") * (2 * (1 - least)) + 1e-9
+            first = F.row_number().over(W.partitionBy("key").orderBy("node"))
+            lead = live.withColumn("rank", first).filter(F.col("rank") <= n)
+            lead = lead.select(F.col("key").alias("_key"), F.col("node").alias("leader"), F.col("n_words").alias("_n"), F.col("root").alias("_root"), *[F.col("profile").alias("_profile")] * (leaders > 1))
+            lead = materialize(lead, "near-leaders")
+            open_pair = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (F.col("leader") < F.col("node")) & alike
+            pairs = materialize(live.join(lead, open_pair).select("key", "node", "leader"), "near-pairs")
+            fresh = pairs.select("node", "leader").distinct()
+            if known is not None:
+                fresh = fresh.join(known, ["node", "leader"], "left_anti")
+            found = materialize(aligned(fresh, texts, least), "near-aligned")
+            known = found if known is None else known.unionByName(found)
+            near = known.filter("near").select("node", "leader")
+            if found.filter("near").limit(1).count():
+                roots = components(near.select(F.col("node").alias("src"), F.col("leader").alias("dst")))
+            done = live.join(lead, (F.col("key") == F.col("_key")) & (F.col("root") == F.col("_root")), "left_semi").select("key", "node")
+            done = done.union(pairs.join(near, ["node", "leader"]).select("key", "node"))
+            left = live.join(done.distinct(), ["key", "node"], "left_anti").select(*rows.columns)
+            rest.append(materialize(left, "near-rest"))
+        if not steps and rest:
+            left = functools.reduce(DataFrame.unionByName, rest)
+            left = _two_keys(left) if leaders == 1 else left
+            leaders *= 4
+            steps, rest = [(left, leaders)], []
+    return empty if roots is None else roots
 
 
 def groups(docs: DataFrame, sketches: int = SKETCHES, picked: int = PICKED, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -161,12 +233,12 @@ def groups(docs: DataFrame, sketches: int = SKETCHES, picked: int = PICKED, shin
     nodes = materialize(nodes.select(F.col("node").alias("_node"), "first_id"), "near-nodes")
     one_each = signed.join(nodes, (signed["doc_id"] == nodes["first_id"]) & (signed["node"] == nodes["_node"]))
     keyed = materialize(one_each.select("node", "n_words", "first_id", "keys"), "near-keyed")
-    exploded = keyed.select(F.explode("keys").alias("key"), "node", "n_words")
-    buckets = materialize(_shared(exploded).distinct(), "near-buckets")
+    exploded = keyed.select(F.posexplode("keys").alias("band", "key"), "node", "n_words")
+    buckets = materialize(_shared(exploded, "node").distinct(), "near-buckets")
     wanted = buckets.select("node").distinct().join(nodes, F.col("node") == F.col("_node")).select("_node", "first_id")
     texts = docs.join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.unhex(F.md5("text")) == F.col("_node")))
     texts = materialize(texts.select(F.col("_node").alias("node"), "text").dropDuplicates(["node"]), "near-texts")
-    found = components(links(buckets, texts, least).select(F.col("node").alias("src"), F.col("leader").alias("dst")))
+    found = links(buckets, texts, sketches, least)
     linked = found.join(nodes, F.col("node") == F.col("_node")).select("node", "root", "first_id")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lowest = materialize(lowest.select(F.col("root").alias("_root"), "component_id"), "near-lowest")
