@@ -107,10 +107,17 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "y", "at"])
 
     found = sample.mapInArrow(run, "doc_id long, y int, at binary").toArrow()  # at most most_rows rows
-    found = found.sort_by([("doc_id", "ascending"), ("at", "ascending")])
-    order = np.random.default_rng(len(seed)).permutation(found.num_rows)
-    rows = [np.frombuffer(found["at"][int(i)].as_py(), dtype="<u4") for i in order]
-    return fit(rows, found["y"].to_numpy()[order] if len(order) else np.zeros(0), bits, **options)
+    ids, y, rows = found["doc_id"].to_numpy(), found["y"].to_numpy(), []
+    for chunk in found["at"].chunks:  # views, not copies
+        ends = np.frombuffer(chunk.buffers()[1], dtype="<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2], dtype=np.uint8) if len(chunk) and ends[-1] else np.zeros(0, np.uint8)
+        rows += [data[a:b].view("<u4") for a, b in zip(ends[:-1], ends[1:])]
+    order = np.lexsort(([int(r.sum()) for r in rows], [len(r) for r in rows], ids)) if rows else np.zeros(0, np.int64)
+    order = order[np.random.default_rng(len(seed)).permutation(len(order))]
+    model = fit([rows[i] for i in order], y[order], bits, **options)
+    del rows, found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

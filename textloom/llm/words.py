@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words whose hash a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _SPACE = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256))
 
 
