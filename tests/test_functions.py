@@ -84,3 +84,13 @@ def test_soft_membership_and_vectors(spark):
     a = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<double>, b array<double>")
     got = a.select(V.cosine(F.col("a"), F.col("b")).alias("c"), V.pair_features(F.col("a"), F.col("b")).alias("f")).first()
     assert abs(got["c"] - 24 / 25) < 1e-8 and got["f"] == [3, 4, 4, 3, 1, 1, 12, 12]
+
+
+def test_clean_words_is_clean_word_of_each(spark):
+    texts = [" ".join(WORDS), "don't stop, 3rd İl Işık x_y ٣ab", "", None, "ΑΣ. ΑΣ ΣΑ"]
+    for kind in X.CLEANERS:
+        for lower in (True, False):
+            each = F.filter(F.transform(X.split_words(F.col("w")), lambda w: X.clean_word(w, kind)), lambda w: w.isNotNull())
+            want = F.transform(each, X.tr_lower) if lower else each
+            for r in rows(spark, texts).select(X.clean_words(F.col("w"), kind, lower).alias("got"), want.alias("want")).collect():
+                assert r["got"] == r["want"]

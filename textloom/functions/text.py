@@ -51,9 +51,17 @@ def clean_word(c: Column, kind: str = "letters") -> Column:
 
 
 def clean_words(c: Column, kind: str = "letters", lower: bool = True) -> Column:
-    """All cleaned words of a text, in order."""
-    words = F.filter(F.transform(split_words(c), lambda w: clean_word(w, kind)), lambda w: w.isNotNull())
-    return F.transform(words, tr_lower) if lower else words
+    """All cleaned words of a text, in order: :func:`clean_word` of each.
+
+    Characters to drop are dropped from the whole text at once, which leaves the
+    white space and so the words, and costs one pass instead of one a word.
+    """
+    low, high = CLEANERS[kind]
+    text = F.regexp_replace(c, rf"[^{WORD_CHARS}\p{{IsWhite_Space}}]" + "|[0-9]" * (kind == "letters"), "")
+    words = split_words(tr_lower(text) if lower or kind == "harvest" else text)
+    if kind == "letters":
+        return F.filter(words, lambda w: F.regexp_like(w, F.lit(rf"^\p{{L}}{{{low},{high}}}$")))
+    return F.filter(words, lambda w: F.length(w).between(low, high))
 
 
 def strip_markers(c: Column) -> Column:
