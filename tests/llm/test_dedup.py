@@ -129,6 +129,23 @@ def test_op7_against_a_plain_loop(spark):
     assert line_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_op7_removes_whole_passages(spark):
+    rng = random.Random(17)
+    long = lambda n: [" ".join(words(rng, 30)) for _ in range(n)]
+    passages = [long(2 + i % 3) for i in range(20)]
+    rows, want = [], {}
+    for i, passage in enumerate(passages):
+        for j in range(3):
+            head, tail = long(3), long(3)
+            rows.append((3 * i + j, "\n".join(head + passage + tail)))
+            want[3 * i + j] = "\n".join(head + passage * (j == 0) + tail)
+    a, b, c = long(3)
+    rows += [(100, "\n".join([a] * 5)), (101, f"{b}\n\n{c}\nx"), (102, f"y\n{b}\n\n{c}\n"), (103, f"{b}\n\nz"), (104, "\n\n\nu"), (105, "\n\n\nv")]
+    want |= {100: f"{a}\n{a}", 101: rows[-5][1], 102: "y\n", 103: rows[-3][1], 104: "\n\n\nu", 105: "\n\n\nv"}
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_op1_against_all_pairs(spark):
     rng = np.random.default_rng(11)
     rows, centres = [], rng.normal(size=(25, 8))

@@ -1,11 +1,10 @@
-"""Removal of repeated multi-line chunks.
+"""Removal of repeated passages of several lines.
 
-A document's lines are cut into chunks where a rolling hash over the hashes of
-the last two lines hits one value in ``divisor``, so that a passage is cut alike
-wherever it stands; chunks have at least two lines, but for a document's last.
-Chunks of two or more lines whose 128-bit hash occurs more than once are fetched
-and compared byte by byte with the first occurrence (smallest doc_id, then
-line); occurrences equal to it are removed, the first stays.
+Every two neighbouring lines of a document, with the blank lines between them,
+are a chunk; blank lines alone are none. Chunks whose 128-bit hash occurs more
+than once are fetched and compared byte by byte with the first occurrence
+(smallest doc_id, then line); occurrences equal to it are removed, the first
+stays. As chunks overlap, all lines of a repeated passage go, wherever it stands.
 
 Only hashes and line numbers are counted over the corpus; texts move in two
 joins by document (in the first only those likely to hold repeats), and the text
@@ -27,31 +26,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import materialize
 
-#: A line ends a chunk with probability 1 / DIVISOR.
-DIVISOR, LEAST_LINES = 3, 2
 #: Most rows of the broadcast set that filters documents before they are shuffled.
 FILTER_BUCKETS = 1 << 20
-_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def cut(lines: list[bytes], divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> list[tuple[int, int]]:
+def cut(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first line, number of lines) of each chunk."""
-    from xxhash import xxh64_intdigest
+    words = [i for i, line in enumerate(lines) if line.strip()]
+    return [(i, j + 1 - i) for i, j in zip(words, words[1:])]
 
-    out, start, before = [], 0, 0
-    for i, line in enumerate(lines):
-        own = xxh64_intdigest(line)
-        if i - start + 1 >= least_lines and (((before * 3 + own) * _ODD & _MASK) >> 32) % divisor == 0:
-            out.append((start, i + 1 - start))
-            start = i + 1
-        before = own
-    if start < len(lines):
-        out.append((start, len(lines) - start))
-    return out
 
-
-def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, version, first, n, key of every chunk of several lines; ``docs`` has version and text."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, version, first, n, key of every chunk; ``docs`` has version and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -60,13 +46,12 @@ def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
             ids, versions, first, sizes, keys = [], [], [], [], []
             for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 lines = (text.as_py() or "").encode().split(b"\n")
-                for start, n in cut(lines, divisor):
-                    if n > 1:
-                        ids.append(doc)
-                        versions.append(version)
-                        first.append(start)
-                        sizes.append(n)
-                        keys.append(xxh3_128_digest(b"\n".join(lines[start : start + n])))
+                for start, n in cut(lines):
+                    ids.append(doc)
+                    versions.append(version)
+                    first.append(start)
+                    sizes.append(n)
+                    keys.append(xxh3_128_digest(b"\n".join(lines[start : start + n])))
             columns = [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(first, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "first", "n", "key"])
 
@@ -79,34 +64,39 @@ def _of_document(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return docs.join(spans, same, how).drop("_doc_id", "_version")
 
 
-def repeated_spans(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, version, spans (first, n) to remove; ``docs`` has doc_id, version, text."""
-    found = materialize(chunks(docs, divisor), "line-chunks")
+    found = materialize(chunks(docs), "line-chunks")
     at = F.struct("doc_id", "version", "first")
     shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("origin")).filter("times > 1")
     shared = materialize(shared.select(F.col("key").alias("_key"), "origin"), "line-shared")
     places = found.join(shared, found["key"] == shared["_key"])
-    place = F.struct("first", "n", "key", at.eqNullSafe(F.col("origin")).alias("original"))
+    # A copy that begins within its first occurrence leaves the lines of that one.
+    here = F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) & (F.col("version") == F.col("origin.version"))
+    start = F.when(here, F.greatest("first", F.col("origin.first") + F.col("n"))).otherwise(F.col("first"))
+    place = F.struct("first", "n", "key", start.alias("start"), at.eqNullSafe(F.col("origin")).alias("original"))
     places = materialize(places.groupBy("doc_id", "version").agg(F.collect_set(place).alias("places")), "line-places")
     # Before the shuffle of texts, most documents without repeats are dropped
     # by a bounded set: the buckets that the ids with repeats hash to.
     bucket = F.pmod(F.xxhash64("doc_id", "version"), F.lit(FILTER_BUCKETS)).alias("bucket")
     buckets = F.broadcast(places.select(bucket).distinct())
     likely = docs.withColumn("bucket", bucket).join(buckets, "bucket", "left_semi").drop("bucket")
-    lines = _of_document(likely, places, "inner").select("doc_id", "version", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
-    text = F.array_join(F.slice("lines", F.col("place.first") + 1, F.col("place.n")), "\n")
-    pieces = materialize(lines.select("doc_id", "version", "place.*", text.alias("piece")), "line-pieces")
+    piece = lambda lines, p: F.array_join(F.slice(lines, p["first"] + 1, p["n"]), "\n").alias("piece")
+    of = lambda lines: F.transform("places", lambda p: F.struct(*[p[c].alias(c) for c in ("first", "n", "key", "start", "original")], piece(lines, p)))
+    cuts = F.flatten(F.transform(F.array(F.split("text", "\n")), of))  # a text is split once
+    pieces = _of_document(likely, places, "inner").select("doc_id", "version", F.explode(cuts).alias("cut"))
+    pieces = materialize(pieces.select("doc_id", "version", "cut.*"), "line-pieces")
     originals = pieces.filter("original").select(F.col("key").alias("_key"), F.col("piece").alias("_piece"))
     copies = pieces.filter("not original")
     equal = copies.join(originals, (copies["key"] == originals["_key"]) & (copies["piece"] == originals["_piece"]))
-    return equal.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    return equal.groupBy("doc_id", "version").agg(F.collect_set(F.struct(F.col("start").alias("first"), (F.col("first") + F.col("n") - F.col("start")).alias("n"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, divisor: int = DIVISOR, counts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` without repeated chunks; with ``counts`` also n_lines and removed_lines."""
     row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
     ready = docs.select(row, F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-    spans = repeated_spans(ready.drop("row"), divisor)
+    spans = repeated_spans(ready.drop("row"))
     lines = F.split("text", "\n")
     joined = _of_document(ready, spans, "left").withColumn("lines", lines)
     gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
