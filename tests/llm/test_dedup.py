@@ -92,6 +92,24 @@ def test_op9_against_all_pairs(spark, corpus):
     assert near_dups.groups(docs.limit(0)).count() == 0
 
 
+def test_op9_links_texts_at_the_rim_of_a_group(spark):
+    rng = random.Random(23)
+    base = words(rng, 100)
+    member = [f"m{i}" if i % 7 == 3 else w for i, w in enumerate(base)]
+    rim = [f"r{i}" if i % 7 == 5 else w for i, w in enumerate(member)]
+    texts = {bytes([i]): " ".join(t) for i, t in enumerate((base, member, rim, words(rng, 100)))}
+    rows = [(7, 30, n, 100) for n in texts] + [(8, 31, n, 100) for n in texts]
+    buckets = spark.createDataFrame(rows, "key long, band int, node binary, n_words int")
+    frame = spark.createDataFrame(list(texts.items()), "node binary, text string")
+    got = {bytes(r["node"]): bytes(r["root"]) for r in near_dups.links(buckets, frame).collect()}
+    assert got == {bytes([i]): bytes([0]) for i in range(3)}
+    live = buckets.withColumn("root", buckets["node"])
+    counts = near_dups.profiles(frame)
+    for most, block_rows in ((1, 2), (9, 1), (9, 128)):
+        pairs = near_dups.nearest(live, counts, most, 0.8, block_rows).collect()
+        assert {(bytes(r["leader"])[0], bytes(r["node"])[0]) for r in pairs} >= {(0, 1), (1, 2)}
+
+
 def test_occurrence_labels_and_order():
     repeated = near_dups.kmers(word_hashes("a b c d e " * 6))
     assert len(set(repeated.tolist())) == len(repeated)

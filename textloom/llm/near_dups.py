@@ -10,9 +10,10 @@ longer length >= ``least``, found exactly within a band.
 
 Exact copies are one node from the start (aggregated before any shuffle). In a
 key's bucket each text is aligned with the bucket's leader, not with every
-other, unless links found before connect the two; those not similar to it elect
-the next leaders, four times as many each round, until none is left (from the
-third slice on among those that agree in two keys). So a large group costs a few alignments a text, and only texts that share a key without
+other, unless links found before connect the two. Then, in buckets that links do
+not wholly connect, each text meets those of other components whose words do not
+rule a link out, the nearest first, four times as many each round, until it is
+linked or none is left. So a large group costs a few alignments a text, and only texts that share a key without
 being similar cost more. Leaders are the smallest digests, so a group's buckets
 mostly share theirs. Links make components; each keeps the document with the
 smallest id.
@@ -25,7 +26,6 @@ by :func:`keep_representatives`); an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -38,7 +38,8 @@ from textloom.llm.common import materialize
 from textloom.llm.components import components
 from textloom.llm.words import word_hashes
 
-PROFILE = 512
+#: Word counts of a profile; nodes of a bucket that are compared at once.
+PROFILE, BLOCK_ROWS = 512, 128
 SHINGLE, SKETCHES, PICKED, PLACES, LEAST = 5, 40, 4, 4, 0.8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,7 +144,7 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """node and profile: how many of the text's words hash to each of ``PROFILE`` buckets.
+    """node and profile: how many of the text's words hash to each of ``PROFILE`` buckets, 255 at most.
 
     An edit changes two counts by one at most, so texts are at least half the
     sum of their profiles' differences apart: an exact filter before alignment.
@@ -152,17 +153,61 @@ def profiles(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [np.bincount((word_hashes(t.as_py()) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], names=["_of", "profile"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts], pa.binary())], names=["_of", "profile"])
 
-    return texts.select("node", "text").mapInArrow(run, "_of binary, profile array<int>")
+    return texts.select("node", "text").mapInArrow(run, "_of binary, profile binary")
 
 
-def _two_keys(rows: DataFrame) -> DataFrame:
-    """``rows`` with a key for each two keys of a node (of which it has few left)."""
-    owned = rows.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.first("n_words").alias("n_words"))
-    later = lambda i: F.slice("keys", i + 2, F.size("keys"))
-    both = F.flatten(F.transform("keys", lambda a, i: F.transform(later(i), lambda b: F.xxhash64(a, b))))
-    return owned.select(F.lit(0).alias("band"), F.explode(both).alias("key"), "node", "n_words")
+def _nearest(rows: list[dict], others: list[dict], most: int, least: float) -> Iterator[tuple[bytes, bytes, bool]]:
+    """node, leader, more: the ``most`` of ``others`` nearest to each of ``rows`` by profile, and whether there are more.
+
+    Only those of other components that lengths and profiles allow to be similar.
+    """
+    size, profile = (np.array([r["n_words"] for r in others]), np.frombuffer(b"".join(r["profile"] for r in others), dtype=np.uint8).reshape(len(others), -1).astype(np.int16))
+    roots = np.array([r["root"] for r in others], dtype=object)
+    for row in rows:
+        n, own = row["n_words"], np.frombuffer(row["profile"], dtype=np.uint8).astype(np.int16)
+        longer = np.maximum(size, n)
+        at = np.flatnonzero((np.minimum(size, n) >= longer * least) & (roots != row["root"]))
+        apart = np.abs(profile[at] - own).sum(axis=1, dtype=np.int64)
+        open_ = apart <= longer[at] * (2 * (1 - least)) + 1e-9
+        at, apart = at[open_], apart[open_]
+        more = len(at) > most
+        for i in at[np.argsort(apart, kind="stable")[:most]]:
+            one, two = row["node"], others[i]["node"]
+            yield max(one, two), min(one, two), more
+
+
+def nearest(live: DataFrame, counts: DataFrame, most: int, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, node, leader, more of the pairs that the nodes of ``live`` (key, node, n_words, root) form in each bucket.
+
+    Buckets are cut into blocks by hash, and pairs of blocks are compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for key, rows, others in zip(*(batch.column(i) for i in range(3))):
+                rows, others = rows.as_py(), others.as_py()
+                pairs = set(_nearest(rows, rows if others is None else others, most, least))
+                if others is not None:
+                    pairs.update(_nearest(others, rows, most, least))
+                found += pairs
+                keys += [key.as_py()] * len(pairs)
+            nodes, leaders, more = zip(*found) if found else ((), (), ())
+            columns = [pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(leaders, pa.binary()), pa.array(more, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "leader", "more"])
+
+    sizes = live.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    cut = live.join(sizes, F.col("key") == F.col("_key")).withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")))
+    cut = cut.join(counts, F.col("node") == F.col("_of"))
+    cut = cut.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "n_words", "root", "profile")).alias("rows"))
+    cut = materialize(cut, "near-blocks")
+    other = cut.filter("blocks > 1").select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("rows").alias("others"))
+    crossed = cut.filter("blocks > 1").join(other, (F.col("key") == F.col("_key")) & (F.col("block") < F.col("_block")))
+    alone = cut.select("key", "rows", F.lit(None).cast(other.schema["others"].dataType).alias("others"))
+    both = alone.unionByName(crossed.select("key", "rows", "others"))
+    return both.mapInArrow(run, "key long, node binary, leader binary, more boolean")
 
 
 def _distinct_buckets(rows: DataFrame) -> DataFrame:
@@ -177,52 +222,46 @@ def links(buckets: DataFrame, texts: DataFrame, sketches: int = SKETCHES, least:
     """node, root of the nodes that similar pairs connect.
 
     ``buckets`` (key, band, node, n_words) are met in two slices of bands with one
-    leader a bucket. What is left are mostly texts that share a passage; of these
-    the ones that agree in two keys (as all but the least similar pairs do) meet
-    4, 16, ... leaders until none is left. Buckets whose nodes are all connected
-    by then are dropped, and so are the nodes connected with a leader; a large
-    group, joined by its first keys, costs a few alignments a text.
+    leader a bucket, which joins a large group at a few alignments a text. Buckets
+    whose nodes are all connected by then are dropped. In the others all nodes
+    stay, as a node unlike the leader may be similar to one connected with it;
+    nodes meet their 4, 16, ... nearest of other components until none is left.
     """
     empty = buckets.select("node", F.col("node").alias("root")).limit(0)
-    known = roots = counts = None
+    known = roots = None
     rest: list[DataFrame] = []
     cut = max(1, sketches // 8)
-    steps = [(buckets.filter(F.col("band") < cut), 1), (buckets.filter(F.col("band") >= cut), 1)]
-    leaders = 1
-    while steps:
-        rows, n = steps.pop(0)
-        live = materialize(_shared(_rooted(rows if leaders == 1 else _distinct_buckets(rows), roots), "root"), "near-live")
-        if live.limit(1).count():
-            alike = F.least("n_words", "_n") >= F.greatest("n_words", "_n") * least
-            if leaders > 1:
-                counts = materialize(profiles(texts), "near-profiles") if counts is None else counts
-                live = materialize(live.join(counts, F.col("node") == F.col("_of")).drop("_of"), "near-profiled")
-                apart = F.aggregate(F.zip_with("profile", "_profile", lambda a, b: F.abs(a - b)), F.lit(0), lambda n, x: n + x)
-                alike &= apart <= F.greatest("n_words", "_n") * (2 * (1 - least)) + 1e-9
-            first = F.row_number().over(W.partitionBy("key").orderBy("node"))
-            lead = live.withColumn("rank", first).filter(F.col("rank") <= n)
-            lead = lead.select(F.col("key").alias("_key"), F.col("node").alias("leader"), F.col("n_words").alias("_n"), F.col("root").alias("_root"), *[F.col("profile").alias("_profile")] * (leaders > 1))
-            lead = materialize(lead, "near-leaders")
-            open_pair = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (F.col("leader") < F.col("node")) & alike
-            pairs = materialize(live.join(lead, open_pair).select("key", "node", "leader"), "near-pairs")
-            fresh = pairs.select("node", "leader").distinct()
-            if known is not None:
-                fresh = fresh.join(known, ["node", "leader"], "left_anti")
-            found = materialize(aligned(fresh, texts, least), "near-aligned")
-            known = found if known is None else known.unionByName(found)
-            near = known.filter("near").select("node", "leader")
-            if found.filter("near").limit(1).count():
-                roots = components(near.select(F.col("node").alias("src"), F.col("leader").alias("dst")))
-            done = live.join(lead, (F.col("key") == F.col("_key")) & (F.col("root") == F.col("_root")), "left_semi").select("key", "node")
-            done = done.union(pairs.join(near, ["node", "leader"]).select("key", "node"))
-            left = live.join(done.distinct(), ["key", "node"], "left_anti").select(*rows.columns)
-            rest.append(materialize(left, "near-rest"))
-        if not steps and rest:
-            left = functools.reduce(DataFrame.unionByName, rest)
-            left = _two_keys(left) if leaders == 1 else left
-            leaders *= 4
-            steps, rest = [(left, leaders)], []
-    return empty if roots is None else roots
+
+    def met(pairs: DataFrame) -> None:
+        nonlocal known, roots
+        fresh = pairs.select("node", "leader").distinct()
+        if known is not None:
+            fresh = fresh.join(known, ["node", "leader"], "left_anti")
+        found = materialize(aligned(fresh, texts, least), "near-aligned")
+        known = found if known is None else known.unionByName(found)
+        if found.filter("near").limit(1).count():
+            near = known.filter("near")
+            roots = components(near.select(F.col("node").alias("src"), F.col("leader").alias("dst")))
+
+    for rows in (buckets.filter(F.col("band") < cut), buckets.filter(F.col("band") >= cut)):
+        live = materialize(_shared(_rooted(rows, roots), "root"), "near-live")
+        first = F.row_number().over(W.partitionBy("key").orderBy("node"))
+        lead = live.withColumn("rank", first).filter("rank = 1")
+        lead = materialize(lead.select(F.col("key").alias("_key"), F.col("node").alias("leader"), F.col("n_words").alias("_n"), F.col("root").alias("_root")), "near-leaders")
+        alike = F.least("n_words", "_n") >= F.greatest("n_words", "_n") * least
+        open_pair = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & alike
+        met(live.join(lead, open_pair).select("node", "leader"))
+        rest.append(live.select(*rows.columns))
+    counts = materialize(profiles(texts), "near-profiles")
+    rows, most = _distinct_buckets(rest[0].unionByName(rest[1])), 4
+    while True:
+        live = materialize(_shared(_rooted(rows, roots), "root"), "near-live")
+        if not live.limit(1).count():
+            return empty if roots is None else roots
+        pairs = materialize(nearest(live, counts, most, least), "near-pairs")
+        met(pairs)
+        more = pairs.filter("more").select(F.col("key").alias("_key")).distinct()
+        rows, most = live.join(more, F.col("key") == F.col("_key"), "left_semi").select(*rows.columns), 4 * most
 
 
 def groups(docs: DataFrame, sketches: int = SKETCHES, picked: int = PICKED, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
