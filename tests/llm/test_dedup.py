@@ -110,6 +110,21 @@ def test_op9_links_texts_at_the_rim_of_a_group(spark):
         assert {(bytes(r["leader"])[0], bytes(r["node"])[0]) for r in pairs} >= {(0, 1), (1, 2)}
 
 
+def test_similar_texts_share_a_key():
+    rng = np.random.default_rng(29)
+    for similarity, want in ((0.9, 0.98), (0.85, 0.88), (0.8, 0.6)):
+        met = 0
+        for _ in range(200):
+            one = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+            two = one.copy()
+            at = rng.choice(300, round(300 * (1 - similarity)), replace=False)
+            two[at] = rng.integers(0, 1 << 63, len(at)).astype(np.uint64)
+            met += bool(np.intersect1d(near_dups.order_min_hash(one), near_dups.order_min_hash(two)).size)
+        assert met / 200 >= want
+    plain = word_hashes(" ".join(map(str, range(100))))
+    assert set(near_dups.kmers(plain)) < set(near_dups.kmers(np.concatenate([plain, plain[:9]])))
+
+
 def test_occurrence_labels_and_order():
     repeated = near_dups.kmers(word_hashes("a b c d e " * 6))
     assert len(set(repeated.tolist())) == len(repeated)

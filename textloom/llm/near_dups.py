@@ -1,10 +1,9 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
 A text's k-mers are its runs of five words (all its words if it has fewer), each
-labelled with its occurrence. For each of ``sketches`` hash functions the four
-smallest labelled k-mers, kept in text order, and the quarter of the text where
-they begin make one key; texts agree in a key the likelier the higher their edit
-similarity, and texts that merely share a passage seldom. Texts that share a key are
+labelled with its occurrence. For each of ``sketches`` hash functions the two
+smallest labelled k-mers, kept in text order, make one key; texts agree in a key
+the likelier the higher their edit similarity. Texts that share a key are
 candidates; they are similar if their word sequences align with 1 - distance /
 longer length >= ``least``, found exactly within a band.
 
@@ -40,7 +39,7 @@ from textloom.llm.words import word_hashes
 
 #: Word counts of a profile; nodes of a bucket that are compared at once.
 PROFILE, BLOCK_ROWS = 512, 128
-SHINGLE, SKETCHES, PICKED, PLACES, LEAST = 5, 40, 4, 4, 0.8
+SHINGLE, SKETCHES, PICKED, LEAST = 5, 40, 2, 0.8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,7 +66,7 @@ def kmers(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
         occurrence = place - np.maximum.accumulate(np.where(new, place, 0))
         label = np.empty(n, dtype=np.uint64)
         label[order] = occurrence
-        h = _mixed(h + label * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = np.where(label, _mixed(h + label * np.uint64(0xC2B2AE3D27D4EB4F)), h)  # first ones as in texts without repeats
     return h
 
 
@@ -83,7 +82,6 @@ def order_min_hash(words: np.ndarray, sketches: int = SKETCHES, picked: int = PI
         some = slice(first, first + step)
         at = np.argpartition(h[None, :] * odd[some, None], size - 1, axis=1)[:, :size]
         at.sort(axis=1)
-        keys[some] ^= (at[:, 0] * PLACES // len(h)).astype(np.uint64)
         for j in range(size):
             keys[some] = _mixed(keys[some] ^ h[at[:, j]])
     return keys.view(np.int64)
