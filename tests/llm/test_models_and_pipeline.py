@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy, the mix against its SQL and targets, the pipeline stage by stage."""
 
+import heapq
 import os
 import random
 
@@ -84,27 +85,67 @@ def test_network_reads_every_byte_and_gradient_is_right():
         assert abs((up - down) / (2 * step) - g[at]) < 0.1 * abs(g[at]) + 1e-2
 
 
+def seats_by_heap(votes, seats):
+    won, heap = [0] * len(votes), [(-v, i) for i, v in enumerate(votes) if v > 0]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, i = heapq.heappop(heap)
+        won[i] += 1
+        heapq.heappush(heap, (-votes[i] / (2 * won[i] + 1), i))
+    return won
+
+
+def test_seats_go_to_the_highest_quotients(spark):
+    rng = random.Random(8)
+    cases = [[64_000] + [17] * 100, [5, 5, 5], [0, 0], [1], [10**6, 3, 3, 3, 0], [7] * 50]
+    cases += [[rng.choice([1, 3, 10, 500, 10**5]) for _ in range(rng.randint(1, 40))] for _ in range(30)]
+    seats = [1540, 7, 5, 9, 4, 3] + [rng.choice([0, 1, 5, 77, 900]) for _ in range(30)]
+    rows = [(c, i, float(v), s) for c, (votes, s) in enumerate(zip(cases, seats)) for i, v in enumerate(votes)]
+    frame = spark.createDataFrame(rows, "c int, i int, votes double, s long")
+    got = {(r["c"], r["i"]): r["quota"] for r in mixing.apportioned(frame, ["c"], "votes", F.col("s"), ["i"]).collect()}
+    assert got == {(c, i): q for c, (votes, s) in enumerate(zip(cases, seats)) for i, q in enumerate(seats_by_heap(votes, s))}
+
+
+def by_source(rows):
+    found = {}
+    for r in rows:
+        key = (r["source_size"], r["target"])
+        found[key] = found.get(key, 0) + r["taken"]
+    return found
+
+
+def test_small_sources_and_small_corpora_come_near_their_targets(spark):
+    rng = random.Random(4)
+    many = [(i, "big", noise(rng, 1000)) for i in range(64)] + [(100 + i, f"s{i:03}", noise(rng, 17 + i % 5)) for i in range(100)]
+    for rows in (many, [(1, "a", "one two three")], [(1, "a", "one two three four"), (2, "b", "x"), (3, None, "")]):
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        got = mixing.mix_words(docs).collect()
+        taken = {}
+        for r, (i, source, _) in zip(sorted(got, key=lambda r: r["doc_id"]), rows):
+            n, target = taken.get(source, (0, 0))
+            taken[source] = (n + r["taken"], r["target"])
+            assert r["doc_id"] == i and 0 <= r["taken"] <= 2 * r["size"]
+        assert all(abs(n - target) <= max(1, 0.06 * target) for n, target in taken.values()), taken
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), noise(rng, rng.randint(0, 300))) for i in range(300)]
-    rows += [(3, "a", rows[3][2]), (None, "b", "x y"), (400, "b", None), (401, "empty", "")]
-    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, source string, text string, size int")
+    rows += [(3, "a", rows[3][2]), (None, "b", "x y"), (None, "b", "z " * 90), (400, "b", None), (401, "empty", ""), (402, "a", noise(rng, 30_000))]
+    docs = spark.createDataFrame([(*r, 9, "clash", 1) for r in rows], "doc_id long, source string, text string, size int, mix string, pieces int")
     got = mixing.mix_words(docs, shard_words=2000).collect()
     assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    by = {}
-    for r in got:
-        key = (r["source_size"], r["target"])
-        by[key] = by.get(key, 0) + r["taken"]
+    by = by_source(got)
     for (size, target), taken in by.items():
         assert target <= 2 * size and abs(taken - target) <= 64 * (2 + size // 2000)
     total = sum(r["size"] for r in got)
     assert abs(sum(t for (_, t) in by) - 1.5 * total) < 1e-6 * total
-    again = mixing.mix_words(docs, shard_words=2000).collect()
+    again = mixing.mix_words(docs.repartition(7), shard_words=2000).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     mixed = mixing.mix_documents(docs, shard_words=2000)
     assert mixed.columns == docs.columns
-    words = sum(len((r["text"] or "").split()) for r in mixed.collect())
-    assert abs(words - sum(by.values())) <= 2 * 300
+    rows = mixed.collect()
+    assert abs(sum(len((r["text"] or "").split()) for r in rows) - sum(by.values())) <= 2 and {r["mix"] for r in rows} == {"clash"}
     assert mixing.mix_words(docs.limit(0)).count() == 0 and mixing.mix_documents(docs.limit(0)).count() == 0
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-FILES_PER_CORE = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,20 +30,37 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/textloom/{tag}-{uuid.uuid4().hex}"
+    """A new path in the session's part of the shared folder, which goes when the application ends."""
+    home = f"{shared_root(spark)}/textloom/{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return f"{home}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage so that lost executors cost no recomputation of what came
-    before, and gives the planner true sizes, on which it bases broadcasts. At
-    most two files a core are written: many small files are slow to list.
+    before, and gives the planner true sizes, on which it bases broadcasts. As
+    many files are written as ``df`` has partitions, so the work before keeps its
+    parallelism; after a shuffle adaptive execution sets their number by bytes.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what :func:`materialize` wrote for ``frames``, which nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "_scratch", None)
+        if path:
+            context = frame.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

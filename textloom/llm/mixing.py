@@ -5,22 +5,32 @@ null last). The sources share ``share`` times all words in proportion to their
 weights, but none gets more than ``most`` times its own words; what a stopped
 source leaves is reshared among the others by weight.
 
-Targets become whole blocks of ``block_words`` words by Sainte-Lague: a seat
-goes to the highest quotient target / (2 * seats + 1), first among sources, then
-among the shards of a source (by shard size). In a shard the documents lie end
-to end in a seeded order; the shard's quota is a run of blocks from a seeded
-starting block, going round at the end. So all but the two documents at the
-run's ends are taken whole, and a second time round takes them twice.
-
-Only built-in functions; documents are reduced to (id, source, size) in the
-first pass. Windows run over one row a source, a few rows a shard of one source,
-and the documents of one shard, whose size ``shard_words`` bounds (beyond
-``most_shards`` shards a source, they grow). A hot source is many shards.
+Targets become whole blocks of equal size by Sainte-Lague: each seat goes to the
+highest quotient votes / (2 * seats + 1), first among sources (votes: targets),
+then among the shards of a source (votes: words). A block has ``block_words``
+words, or fewer where a small source's target would be under ``least_blocks``
+blocks. In a shard the documents lie end to end in a seeded order; the shard's
+quota is a run of blocks from a seeded starting block, going round at the end. So
+all but the two documents at the run's ends are taken whole, and a second time
+round takes them twice.
+
+All seats compete. With S seats, V votes and M rows, the divisor at which
+rounding deals S seats lies between V / (S + M / 2) and V / (S - M / 2), as
+rounding moves a row by half a seat at most. Seats below the one end are won and
+above the other lost whatever the rest, so only those between, at most about four
+a row, are ranked by quotient.
+
+Only built-in functions; documents are reduced to (id, digest of the text,
+source, size) in the first pass. Windows run over one row a source, a few rows a
+shard of one source, and the documents of one shard. Shards hold ``shard_words``
+words, or 16 times the root of their source's words where that is more, so both
+their number and their size stay far below the source's. A hot source is many shards.
 
 Defined results: a null text has size 0; null is a source of its own, the last;
-a null id orders as ''. Documents with equal ids and sizes are interchangeable:
-each gets one of the group's counts. Size 0 takes 0. No documents: no rows.
-Extra columns are ignored by :func:`mix_words` and kept by :func:`mix_documents`.
+a null id orders as ''. Size 0 takes 0. Rows with equal id and text are
+interchangeable: each gets one of the group's counts (their mean, rounded down,
+in :func:`mix_documents`). No documents: no rows. Extra columns are ignored by
+:func:`mix_words` and kept by :func:`mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +41,7 @@ from textloom.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-SHARE, MOST, BLOCK_WORDS, SHARD_WORDS, MOST_SHARDS, SEED = 1.5, 2, 64, 250_000, 100_000, "mix"
-#: Seats tried by quotient on both sides of a target's whole number of blocks.
-AROUND = 2
+SHARE, MOST, BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, SEED = 1.5, 2, 64, 16, 250_000, "mix"
 
 
 def words(text: Column) -> Column:
@@ -66,41 +74,49 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "place", "source_size", "total", target.alias("target"))
 
 
-def _seats(df: DataFrame, per: list[str], wish: Column, seats: Column, most: Column, ties: list[str]) -> DataFrame:
-    """``quota``: ``seats`` dealt by highest quotients wish / (2 * n + 1) among the rows of ``per``.
+def apportioned(df: DataFrame, per: list[str], votes: str, seats: Column, ties: list[str]) -> DataFrame:
+    """``df`` with ``quota``: ``seats`` dealt by highest quotients votes / (2 * n + 1) among the rows of ``per``.
 
-    Of each row only the seats near its proportional part compete; those below
-    are given. ``wish`` must be in blocks, summing to about ``seats``.
+    Ties go by ``ties``. Rows without votes get nothing.
     """
-    low = F.greatest(F.floor("wish") - AROUND, F.lit(0)).cast("long")
-    based = df.withColumn("wish", wish).withColumn("most", most).withColumn("low", F.least(low, F.col("most")))
-    given = F.sum("low").over(W.partitionBy(*per))
-    tried = based.withColumn("left", seats - given).withColumn("seat", F.explode(F.sequence(F.lit(0), F.lit(2 * AROUND + 1)))).withColumn("seat", F.col("low") + F.col("seat"))
-    quotient = F.when(F.col("seat") < F.col("most"), F.col("wish") / (F.col("seat") * 2 + 1)).otherwise(F.lit(-1.0))
-    best = W.partitionBy(*per).orderBy(F.col("quotient").desc(), *ties, "seat")
-    ranked = tried.withColumn("quotient", quotient).withColumn("rank", F.row_number().over(best))
-    won = F.count_if((F.col("rank") <= F.col("left")) & (F.col("quotient") >= 0))
-    return ranked.groupBy(*df.columns).agg((F.first("low") + won).alias("quota"))
-
-
-def _intervals(docs: DataFrame, block_words: int, shard_words: int, most_shards: int, seed: str) -> DataFrame:
-    """``docs`` (doc_id, source, size) with target, lo, hi, whole, start, run, shard_size."""
-    sources = materialize(source_targets(docs), "mix-sources")
-    shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(most_shards))
+    every = W.partitionBy(*per)
+    count, total = F.sum((F.col(votes) > 0).cast("long")).over(every), F.sum(votes).over(every).cast("double")
+    half, part = count / 2, F.col(votes) / F.greatest(total, F.lit(1e-9))
+    # One seat further than the bounds, against rounding.
+    low = F.greatest(F.floor(part * (seats - half) + 0.5) - 1, F.lit(0)).cast("long")
+    high = F.greatest(F.ceil(part * (seats + half) + 0.5) + 1, F.lit(0)).cast("long")
+    based = df.withColumns({"_seats": seats.cast("long"), "_low": low, "_high": high})
+    open_ = F.col("_seats") - F.sum("_low").over(every)
+    tried = based.withColumn("_open", open_).withColumn("_seat", F.explode(F.sequence("_low", "_high")))
+    tried = tried.withColumn("_quotient", F.col(votes) / (F.col("_seat") * 2 + 1))
+    best = every.orderBy(F.col("_quotient").desc(), *ties, "_seat")
+    won = (F.row_number().over(best) <= F.col("_open")) & (F.col(votes) > 0)
+    ranked = tried.withColumn("_won", won)
+    return ranked.groupBy(*df.columns).agg((F.first("_low") + F.count_if("_won")).alias("quota"))
+
+
+def block_size(sources: DataFrame, block_words: int, least_blocks: int) -> DataFrame:
+    """``sources`` with ``block``: words of a block, so that the smallest target has ``least_blocks``."""
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy())
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(smallest / least_blocks)))
+    return sources.withColumn("block", F.coalesce(block, F.lit(1)).cast("long"))
+
+
+def _intervals(docs: DataFrame, block_words: int, least_blocks: int, shard_words: int, seed: str) -> DataFrame:
+    """``docs`` (doc_id, digest, source, size) with target, lo, hi, whole, start, run, shard_size."""
+    shards = F.greatest(F.ceil(F.col("source_size") / F.greatest(F.lit(float(shard_words)), F.sqrt("source_size") * 16)), F.lit(1))
+    sources = block_size(source_targets(docs), block_words, least_blocks).withColumn("shards", shards.cast("long"))
+    sources = apportioned(sources, [], "target", F.round(F.col("total") * F.lit(SHARE) / F.col("block")), ["place"])
+    sources = materialize(sources.withColumnRenamed("quota", "seats"), "mix-sources")
     same = docs["source"].eqNullSafe(sources["source"])
-    dealt = docs.join(sources.withColumn("shards", shards), same).drop(sources["source"])
-    dealt = dealt.withColumn("order", _seeded(seed, F.col("doc_id"))).withColumn("shard", _number(F.col("order"), 17) % F.col("shards"))
-    block = F.lit(block_words)
-    by_source = _seats(sources, [], F.col("target") / block, F.round(F.col("total") * F.lit(SHARE) / block).cast("long"), F.ceil(F.col("source_size") * MOST / block), ["place"])
-    by_source = by_source.select("place", F.col("quota").alias("seats"), "source_size")
-    sized = dealt.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"))
-    sized = sized.join(by_source, "place")
-    wish = F.col("seats") * F.col("shard_size") / F.greatest("source_size", F.lit(1))
-    quotas = _seats(sized, ["place"], wish, F.col("seats"), F.ceil(F.col("shard_size") * MOST / block), ["shard"])
-    blocks = F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))
-    start = (_number(_seeded(seed, F.col("place"), F.col("shard")), 1) % blocks) * block
-    taken = F.least(F.col("quota") * block, F.col("shard_size") * MOST)
-    quotas = quotas.withColumn("start", start).withColumn("whole", F.floor(taken / F.greatest("shard_size", F.lit(1)))).withColumn("run", taken - F.col("whole") * F.col("shard_size"))
+    dealt = docs.join(sources.select("source", "place", "source_size", "target", "shards"), same).drop(sources["source"])
+    dealt = dealt.withColumn("order", _seeded(seed, F.col("doc_id"), F.col("digest"))).withColumn("shard", _number(F.col("order"), 17) % F.col("shards"))
+    sized = dealt.groupBy("place", "shard").agg(F.sum("size").alias("shard_size")).join(sources.select("place", "seats", "block"), "place")
+    quotas = apportioned(sized, ["place"], "shard_size", F.col("seats"), ["shard"])
+    block, size = F.col("block"), F.col("shard_size")
+    start = (_number(_seeded(seed, F.col("place"), F.col("shard")), 1) % F.greatest(F.ceil(size / block), F.lit(1))) * block
+    taken = F.least(F.col("quota") * block, size * MOST)
+    quotas = quotas.withColumn("start", start).withColumn("whole", F.floor(taken / F.greatest(size, F.lit(1)))).withColumn("run", taken - F.col("whole") * size)
     quotas = materialize(quotas.select("place", "shard", "shard_size", "start", "whole", "run"), "mix-quotas")
     line = W.partitionBy("place", "shard").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = dealt.withColumn("hi", F.sum("size").over(line)).withColumn("lo", F.col("hi") - F.col("size"))
@@ -111,33 +127,45 @@ def _overlap(lo: Column, hi: Column) -> Column:
     return F.greatest(F.least(F.col("hi"), hi) - F.greatest(F.col("lo"), lo), F.lit(0))
 
 
-def mix_words(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, most_shards: int = MOST_SHARDS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
-    sizes = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
-    laid = _intervals(sizes, block_words, shard_words, most_shards, seed)
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _counts(docs: DataFrame, block_words: int = BLOCK_WORDS, least_blocks: int = LEAST_BLOCKS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
+    """doc_id, digest, size, source_size, target, taken of every document."""
+    text = F.col("text").cast("string")
+    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), _digest(text).alias("digest"), words(text).alias("size"))
+    laid = _intervals(materialize(sizes, "mix-sizes"), block_words, least_blocks, shard_words, seed)
     end = F.col("start") + F.col("run")
     taken = F.col("whole") * F.col("size") + _overlap(F.col("start"), F.least(end, F.col("shard_size"))) + _overlap(F.lit(0), end - F.col("shard_size"))
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "digest", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix_words(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    return _counts(docs, **options).drop("digest")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, in the columns of ``docs``.
 
     A document taken n times is n rows; of one taken in part the row holds its
-    first words, as many as are taken. Documents with equal ids share a count.
-    ``n_chars``, where there is one, follows the text.
+    first words, as many as are taken. ``n_chars``, where there is one, follows
+    the text.
     """
-    counts = mix_words(docs, **options).filter("taken > 0").groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("mix"))
-    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    counts = _counts(docs, **options).groupBy("doc_id", "digest").agg(F.floor(F.avg("taken")).cast("long").alias("taken"), F.max("size").alias("size"))
+    counts = counts.filter("taken > 0").select(F.struct("doc_id", "digest", "taken", "size").alias("mix"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
+    joined = rows.join(counts, F.col("row.doc_id").eqNullSafe(F.col("mix.doc_id")) & (_digest(text) == F.col("mix.digest")))
     size, taken = F.greatest(F.col("mix.size"), F.lit(1)), F.col("mix.taken")
     rest = (taken % size).cast("int")
-    lead = F.when(F.regexp_like(F.element_at("_pieces", 1), F.lit("[^\x20\x09-\x0d]")), 0).otherwise(1)
-    part = F.array_join(F.slice(F.col("_pieces"), 1, rest + lead), "")
-    texts = F.concat(F.array_repeat("text", F.floor(taken / size).cast("int")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    counts = counts.withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_doc_id"]))
-    joined = joined.withColumn("_pieces", F.when(rest > 0, pieces))
-    mixed = joined.withColumn("text", F.explode(texts))
+    joined = joined.withColumn("pieces", F.when(rest > 0, F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")))
+    lead = F.when(F.regexp_like(F.element_at("pieces", 1), F.lit("[^\x20\x09-\x0d]")), 0).otherwise(1)
+    part = F.array_join(F.slice(F.col("pieces"), 1, rest + lead), "")
+    texts = F.concat(F.array_repeat(text, F.floor(taken / size).cast("int")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    mixed = joined.select("row", F.explode(texts).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return mixed.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
