@@ -191,8 +191,8 @@ def test_op1_against_all_pairs(spark):
     label = {i: lab for i, _, lab in rows}
     pairs = [(a, b) for a, b in itertools.combinations(unit, 2) if label[a] == label[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
     want = union(pairs, label)
-    for cell_rows, block_rows in ((4096, 2048), (16, 5)):
-        got = {r["vec_id"]: r for r in embedding_dups.near_duplicates(frame, cell_rows=cell_rows, block_rows=block_rows).collect()}
+    for options in ({}, {"cell_rows": 0.5, "block_rows": 5, "placed_rows": 20}, {"cell_rows": 100, "block_rows": 7}):
+        got = {r["vec_id"]: r for r in embedding_dups.near_duplicates(frame, **options).collect()}
         assert {i: r["component_id"] for i, r in got.items()} == want
         assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in p for p in pairs) for i in label}
         assert all(r["kept"] == (i == want[i]) for i, r in got.items())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("dst", "src"))
         lowest = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-        parents = materialize(lowest.select("node", F.least("node", "low").alias("root")), "component-parents")
+        parents = written = materialize(lowest.select("node", F.least("node", "low").alias("root")), "component-parents")
         while True:
             up = parents.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
             jumped = materialize(parents.join(up, parents["root"] == up["_node"]).select("node", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("moved")), "component-jumps")
-            moved = jumped.filter("moved").limit(1).count()
-            parents = jumped.drop("moved")
-            if not moved:
+            release(written)
+            written, parents = jumped, jumped.drop("moved")
+            if not jumped.filter("moved").limit(1).count():
                 break
-        labels = parents if labels is None else _follow(labels, parents)
+        before, labels = labels, parents if labels is None else _follow(labels, parents)
+        release(before)
         one, two = (parents.select(F.col("node").alias(f"_{x}"), F.col("root").alias(x)) for x in ("a", "b"))
         contracted = edges.join(one, edges["src"] == one["_a"]).select("a", "dst").join(two, F.col("dst") == two["_b"]).filter("a <> b")
         edges = materialize(contracted.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "component-edges")
