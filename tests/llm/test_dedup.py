@@ -79,7 +79,7 @@ def corpus():
 
 
 def test_op9_against_all_pairs(spark, corpus):
-    docs = spark.createDataFrame([(i, t, b"clash") for i, t in corpus] + [(None, corpus[0][1], b""), (200, None, b"")], "doc_id long, text string, node binary")
+    docs = spark.createDataFrame([(i, t, b"clash") for i, t in corpus] + [(None, corpus[0][1], b""), (200, None, b"")], "doc_id long, text string, digest binary")
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dups.groups(docs).collect()}
     hashed = {i: word_hashes(t) for i, t in corpus} | {200: word_hashes("")}
     text = dict(corpus) | {200: ""}
@@ -97,39 +97,81 @@ def test_op9_links_texts_at_the_rim_of_a_group(spark):
     base = words(rng, 100)
     member = [f"m{i}" if i % 7 == 3 else w for i, w in enumerate(base)]
     rim = [f"r{i}" if i % 7 == 5 else w for i, w in enumerate(member)]
-    texts = {bytes([i]): " ".join(t) for i, t in enumerate((base, member, rim, words(rng, 100)))}
-    rows = [(7, 30, n, 100) for n in texts] + [(8, 31, n, 100) for n in texts]
-    buckets = spark.createDataFrame(rows, "key long, band int, node binary, n_words int")
-    frame = spark.createDataFrame(list(texts.items()), "node binary, text string")
-    got = {bytes(r["node"]): bytes(r["root"]) for r in near_dups.links(buckets, frame).collect()}
-    assert got == {bytes([i]): bytes([0]) for i in range(3)}
-    live = buckets.withColumn("root", buckets["node"])
-    counts = near_dups.profiles(frame)
-    for most, block_rows in ((1, 2), (9, 1), (9, 128)):
-        pairs = near_dups.nearest(live, counts, most, 0.8, block_rows).collect()
-        assert {(bytes(r["leader"])[0], bytes(r["node"])[0]) for r in pairs} >= {(0, 1), (1, 2)}
-
-
-def test_similar_texts_share_a_key():
-    rng = np.random.default_rng(29)
-    for similarity, want in ((0.9, 0.98), (0.85, 0.88), (0.8, 0.6)):
-        met = 0
-        for _ in range(200):
-            one = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-            two = one.copy()
-            at = rng.choice(300, round(300 * (1 - similarity)), replace=False)
-            two[at] = rng.integers(0, 1 << 63, len(at)).astype(np.uint64)
-            met += bool(np.intersect1d(near_dups.order_min_hash(one), near_dups.order_min_hash(two)).size)
-        assert met / 200 >= want
-    plain = word_hashes(" ".join(map(str, range(100))))
-    assert set(near_dups.kmers(plain)) < set(near_dups.kmers(np.concatenate([plain, plain[:9]])))
+    texts = dict(enumerate(map(" ".join, (base, member, rim, words(rng, 100)))))
+    rows = [(k, band, n, 100) for n, t in texts.items() for band, k in enumerate(near_dups.order_min_hash(word_hashes(t)).tolist())]
+    buckets = spark.createDataFrame(rows, "key long, band int, node long, n_words int")
+    frame = spark.createDataFrame(list(texts.items()), "node long, text string")
+    got = {r["node"]: r["root"] for r in near_dups.links(buckets, frame).collect()}
+    assert got == {i: 0 for i in range(3)}
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 128])
+def test_op9_blocks_meet_all_pairs(spark, block_rows):
+    rng, rows = random.Random(29), []
+    base = words(rng, 40)
+    for i in range(24):
+        text = base[: rng.randint(20, 40)] + words(rng, rng.randint(0, 10))
+        rows.append((i, " ".join(edited(rng, text, rng.randint(0, 3)))))
+    hashed = {i: word_hashes(t) for i, t in rows}
+    keys = {i: set(near_dups.order_min_hash(w).tolist()) for i, w in hashed.items()}
+    pairs = [(a, b) for a, b in itertools.combinations(hashed, 2) if keys[a] & keys[b] and similar(hashed[a], hashed[b], 0.8)]
+    live = [(k, i, len(hashed[i]), min(i, 20)) for i in keys for k in keys[i]]  # 20 to 23 are linked
+    live = spark.createDataFrame(live, "key long, node long, n_words int, root long")
+    found = near_dups.remaining(live, spark.createDataFrame(rows, "node long, text string"), block_rows=block_rows).collect()
+    linked = [(20, 21), (20, 22), (20, 23)]
+    got = [tuple(sorted((r["node"], r["leader"]))) for r in found]
+    assert set(got) <= set(pairs) and union(got + linked, hashed) == union(pairs + linked, hashed)
+
+
+def scattered(rng, words, edits):
+    out = words.tolist()
+    for _ in range(edits):
+        at, kind = rng.integers(len(out)), rng.integers(3)
+        if kind == 0:
+            out[at] = int(rng.integers(1 << 62))
+        elif kind == 1:
+            out.insert(at, int(rng.integers(1 << 62)))
+        else:
+            del out[at]
+    return np.array(out, dtype=np.uint64)
+
+
+@pytest.mark.parametrize("n", [6, 10, 16, 22, 30, 45, 60, 120, 400])
+@pytest.mark.parametrize("low, high", [(0.8, 0.85), (0.85, 0.9), (0.9, 1.0)])
+def test_similar_texts_share_a_key(n, low, high):
+    rng, met = np.random.default_rng(29), []
+    for _ in range(150):
+        one = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        two = scattered(rng, one, int(rng.uniform(1 - high, 1 - low) * n + 1e-9))
+        if similar(one, two, low) and not (high < 1 and similar(one, two, high)):
+            met.append(bool(np.intersect1d(near_dups.order_min_hash(one), near_dups.order_min_hash(two)).size))
+    assert not met or sum(met) / len(met) >= 0.9
 
 
 def test_occurrence_labels_and_order():
-    repeated = near_dups.kmers(word_hashes("a b c d e " * 6))
+    plain = word_hashes(" ".join(map(str, range(100))))
+    assert set(near_dups.kmers(plain, 5)) < set(near_dups.kmers(np.concatenate([plain, plain[:9]]), 5))
+    repeated = near_dups.kmers(word_hashes("a b c d e " * 6), 5)
     assert len(set(repeated.tolist())) == len(repeated)
     one, two = (near_dups.order_min_hash(word_hashes(t)) for t in ("a b c d e f g h i j k l", "g h i j k l a b c d e f"))
-    assert len(one) == near_dups.SKETCHES and not np.array_equal(one, two)
+    assert len(one) == 24 and not np.array_equal(one, two)
+
+
+def test_op9_recall_by_similarity(spark):
+    """Linked pairs of 40 a band: words replaced, inserted and deleted in texts of 12 to 300 words."""
+    rng = np.random.default_rng(31)
+    rows, bands = [], {}
+    for band, (low, high) in enumerate(((0.8, 0.85), (0.85, 0.9), (0.9, 0.99))):
+        while len(bands.get(band, ())) < 40:
+            n = int(rng.choice([12, 24, 45, 100, 300]))
+            one = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            two = scattered(rng, one, int(rng.uniform(1 - high, 1 - low) * n))
+            if similar(one, two, low) and not similar(one, two, high):
+                bands.setdefault(band, []).append(len(rows))
+                rows += [(len(rows), " ".join(map(str, one))), (len(rows) + 1, " ".join(map(str, two)))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(sum(got[i + 1] == i for i in ids) >= 0.9 * len(ids) for ids in bands.values()), bands
+    assert all(c in (i, i - i % 2) for i, c in got.items())
 
 
 def test_op7_against_a_plain_loop(spark):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -63,6 +65,18 @@ def release(*frames: DataFrame | None) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int = 64 << 20) -> Iterator[None]:
+    """Within, Arrow batches of what is run hold ``most`` bytes, for rows that are whole blocks."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

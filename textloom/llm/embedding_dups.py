@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from textloom.llm.common import materialize, release
+from textloom.llm.common import batch_bytes, materialize, release
 from textloom.llm.components import components
 
 LEAST, BLOCK_ROWS, BLOCK_BYTES, PLACED_ROWS = 0.93, 8192, 32 << 20, 50_000
@@ -248,7 +248,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_rows: float =
     centres = materialize(fit_cells(nodes, sizes, cell_rows), "cosine-centres")
     placed = materialize(in_cells(nodes, sizes, centres, placed_rows), "cosine-cells")
     blocks = materialize(in_blocks(placed, block_rows), "cosine-blocks")
-    found = materialize(linked(blocks, centres, least), "cosine-links")
+    with batch_bytes(vectors.sparkSession):
+        found = materialize(linked(blocks, centres, least), "cosine-links")
     release(nodes, placed, blocks)
     groups = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

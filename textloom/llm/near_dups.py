@@ -1,21 +1,21 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A text's k-mers are its runs of five words (all its words if it has fewer), each
-labelled with its occurrence. For each of ``sketches`` hash functions the two
-smallest labelled k-mers, kept in text order, make one key; texts agree in a key
-the likelier the higher their edit similarity. Texts that share a key are
-candidates; they are similar if their word sequences align with 1 - distance /
-longer length >= ``least``, found exactly within a band.
-
-Exact copies are one node from the start (aggregated before any shuffle). In a
-key's bucket each text is aligned with the bucket's leader, not with every
-other, unless links found before connect the two. Then, in buckets that links do
-not wholly connect, each text meets those of other components whose words do not
-rule a link out, the nearest first, four times as many each round, until it is
-linked or none is left. So a large group costs a few alignments a text, and only texts that share a key without
-being similar cost more. Leaders are the smallest digests, so a group's buckets
-mostly share theirs. Links make components; each keeps the document with the
-smallest id.
+A text's k-mers are its runs of five words, each labelled with its occurrence.
+For each of 64 hash functions the two smallest labelled k-mers, kept in text
+order, make one key; texts agree in a key the likelier the higher their edit
+similarity. Five-word runs are too few in short texts, which therefore have keys
+of shorter runs (``CLASSES``; a text near a border has both kinds, so that similar
+texts always have one kind in common). Texts that share a key are candidates; they
+are similar if their word sequences align with 1 - distance / longer length >=
+``least``, found exactly within a band.
+
+Exact copies are one node from the start (aggregated before any shuffle). First
+each text is aligned with the leaders of its buckets, of a few keys and then of
+more, unless links found before connect the two; that joins a large group at a few
+alignments a text. Then, in buckets that links do not wholly connect, all texts of
+different components meet, block by block: those that share no smaller key, and
+whose lengths and words do not rule a link out, are aligned until connected. Links
+make components; each keeps the document with the smallest id.
 
 Defined results: a null text is the empty text. Texts without words are linked
 only to their exact copies. Rows with equal id and text are one document. Rows
@@ -25,21 +25,28 @@ by :func:`keep_representatives`); an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.alignment import similar
-from textloom.llm.common import materialize
+from textloom.llm.common import batch_bytes, materialize, release
 from textloom.llm.components import components
 from textloom.llm.words import word_hashes
 
-#: Word counts of a profile; nodes of a bucket that are compared at once.
-PROFILE, BLOCK_ROWS = 512, 128
-SHINGLE, SKETCHES, PICKED, LEAST = 5, 40, 2, 0.8
+#: Word counts of a profile; nodes of a bucket, and their words, that are compared at once; words that a worker keeps.
+PROFILE, BLOCK_ROWS, BLOCK_WORDS, KNOWN_WORDS = 512, 128, 200_000, 4_000_000
+NO_KEY = np.int64(-(2**63))
+#: Words of a text from and to, words of a k-mer, keys.
+CLASSES = ((0, 24, 2, 24), (20, 50, 3, 32), (40, 1 << 31, 5, 64))
+PICKED, LEAST = 2, 0.8
+#: Keys that are met in turn, each with what the ones before have connected.
+SLICES = ((0, 2), (2, 8), (8, 1 << 31))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,13 +55,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def kmers(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+def kmers(words: np.ndarray, shingle: int) -> np.ndarray:
     """Hashes of the k-mers in text order, each labelled with its occurrence."""
     k = min(shingle, len(words))
     if not k:
         return words
     n = len(words) - k + 1
-    h = np.zeros(n, dtype=np.uint64)
+    h = np.full(n, k, dtype=np.uint64)
     for j in range(k):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n]
     h = _mixed(h)
@@ -70,24 +77,31 @@ def kmers(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     return h
 
 
-def order_min_hash(words: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED, shingle: int = SHINGLE) -> np.ndarray:
-    """One int64 key for each hash function; none for a text without words."""
-    h = kmers(words, shingle)
-    if not len(h):
-        return np.zeros(0, dtype=np.int64)
+def _keys(h: np.ndarray, sketches: int, picked: int) -> np.ndarray:
     odd = _mixed(np.arange(1, sketches + 1, dtype=np.uint64)) | np.uint64(1)
     size, step = min(picked, len(h)), max(1, (1 << 20) // len(h))
     keys = _mixed(odd)
     for first in range(0, sketches, step):  # few functions at once for long texts
         some = slice(first, first + step)
-        at = np.argpartition(h[None, :] * odd[some, None], size - 1, axis=1)[:, :size]
+        hashed = h[None, :] * odd[some, None]
+        row, at = np.arange(len(hashed)), np.empty((len(hashed), size), dtype=np.int64)
+        for j in range(size):
+            at[:, j] = hashed.argmin(axis=1)
+            hashed[row, at[:, j]] = np.uint64(2**64 - 1)
         at.sort(axis=1)
         for j in range(size):
             keys[some] = _mixed(keys[some] ^ h[at[:, j]])
-    return keys.view(np.int64)
+    return keys
+
+
+def order_min_hash(words: np.ndarray, classes: tuple = CLASSES, picked: int = PICKED) -> np.ndarray:
+    """The int64 keys of each class of lengths that the text is in; none for a text without words."""
+    n = len(words)
+    found = [_keys(kmers(words, k), sketches, picked) for low, high, k, sketches in classes if n and low <= n <= high]
+    return np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
 
 
-def signatures(docs: DataFrame, sketches: int = SKETCHES, picked: int = PICKED, shingle: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, classes: tuple = CLASSES, picked: int = PICKED) -> DataFrame:
     """doc_id, node (the text's digest), n_words, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +114,7 @@ def signatures(docs: DataFrame, sketches: int = SKETCHES, picked: int = PICKED,
                     words = word_hashes(text)
                     nodes.append(hashlib.md5(text.encode()).digest())
                     sizes.append(len(words))
-                    keys.append(order_min_hash(words, sketches, picked, shingle))
+                    keys.append(order_min_hash(words, classes, picked))
                 columns = [part.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_words", "keys"])
 
@@ -123,13 +137,12 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
     own = texts.select("node", "text")
     other = texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text"))
     both = pairs.join(own, "node").join(other, "leader").select("node", "leader", "text", "leader_text")
-    return both.mapInArrow(run, "node binary, leader binary, near boolean")
+    return both.mapInArrow(run, "node long, leader long, near boolean")
 
 
 def _shared(rows: DataFrame, what: str) -> DataFrame:
     """The rows (key, ...) whose key has several values of ``what``."""
-    h = F.xxhash64(what)
-    several = rows.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
+    several = rows.groupBy("key").agg(F.min(what).alias("lo"), F.max(what).alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
     return rows.join(several, F.col("key") == F.col("_key"), "left_semi")
 
 
@@ -141,71 +154,107 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(known, rows["node"] == known["_node"], "left").select(*rows.columns, F.coalesce("_root", "node").alias("root"))
 
 
-def profiles(texts: DataFrame) -> DataFrame:
-    """node and profile: how many of the text's words hash to each of ``PROFILE`` buckets, 255 at most.
-
-    An edit changes two counts by one at most, so texts are at least half the
-    sum of their profiles' differences apart: an exact filter before alignment.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.bincount((word_hashes(t.as_py()) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts], pa.binary())], names=["_of", "profile"])
-
-    return texts.select("node", "text").mapInArrow(run, "_of binary, profile binary")
-
-
-def _nearest(rows: list[dict], others: list[dict], most: int, least: float) -> Iterator[tuple[bytes, bytes, bool]]:
-    """node, leader, more: the ``most`` of ``others`` nearest to each of ``rows`` by profile, and whether there are more.
-
-    Only those of other components that lengths and profiles allow to be similar.
+class _Known(dict):
+    """Words, keys (one column a class and function) and profile of the texts last met, by node."""
+
+    def __init__(self, classes: tuple, picked: int):
+        super().__init__()
+        self.classes, self.picked, self.size = classes, picked, 0
+
+    def add(self, node: int, text: str) -> tuple:
+        if node not in self:
+            words = word_hashes(text)
+            self.size += len(words) + 300
+            if self.size > KNOWN_WORDS:
+                self.clear()
+                self.size = len(words) + 300
+            keys = np.full(sum(c[3] for c in self.classes), NO_KEY)
+            at = 0
+            for c in self.classes:
+                found = order_min_hash(words, (c,), self.picked)
+                keys[at : at + len(found)] = found
+                at += c[3]
+            counts = np.bincount((words % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE)
+            self[node] = words, keys, np.minimum(counts, 255).astype(np.int16)
+        return self[node]
+
+    def block(self, rows: list[dict]) -> dict:
+        found = [self.add(r["node"], r["text"]) for r in rows]
+        words, keys, profile = zip(*found)
+        return {"node": [r["node"] for r in rows], "root": np.array([r["root"] for r in rows]), "n": np.array([len(w) for w in words]), "words": words, "keys": np.stack(keys), "profile": np.stack(profile)}
+
+
+def block_links(key: int, one: dict, two: dict, least: float) -> Iterator[tuple[int, int]]:
+    """Similar pairs that join the components of two blocks of a bucket, or of one.
+
+    All pairs count that are in different components, have ``key`` as the
+    smallest they share (so each pair is met in one bucket), and whose lengths and
+    profiles allow them to be similar: an edit changes two of a profile's counts
+    by one at most, so texts are at least half the sum of the differences apart.
+    Those are aligned, nearest profiles first, unless pairs found before connect them.
     """
-    size, profile = (np.array([r["n_words"] for r in others]), np.frombuffer(b"".join(r["profile"] for r in others), dtype=np.uint8).reshape(len(others), -1).astype(np.int16))
-    roots = np.array([r["root"] for r in others], dtype=object)
-    for row in rows:
-        n, own = row["n_words"], np.frombuffer(row["profile"], dtype=np.uint8).astype(np.int16)
-        longer = np.maximum(size, n)
-        at = np.flatnonzero((np.minimum(size, n) >= longer * least) & (roots != row["root"]))
-        apart = np.abs(profile[at] - own).sum(axis=1, dtype=np.int64)
-        open_ = apart <= longer[at] * (2 * (1 - least)) + 1e-9
-        at, apart = at[open_], apart[open_]
-        more = len(at) > most
-        for i in at[np.argsort(apart, kind="stable")[:most]]:
-            one, two = row["node"], others[i]["node"]
-            yield max(one, two), min(one, two), more
-
-
-def nearest(live: DataFrame, counts: DataFrame, most: int, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """key, node, leader, more of the pairs that the nodes of ``live`` (key, node, n_words, root) form in each bucket.
-
-    Buckets are cut into blocks by hash, and pairs of blocks are compared.
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, (n, root, keys) in enumerate(zip(one["n"], one["root"], one["keys"])):
+        mask = (np.minimum(two["n"], n) >= np.maximum(two["n"], n) * least) & (two["root"] != root)
+        if two is one:
+            mask[: i + 1] = False
+        at = np.flatnonzero(mask)
+        common = (two["keys"][at] == keys) & (keys != NO_KEY)
+        at = at[np.where(common, keys, np.iinfo(np.int64).max).min(axis=1) == key] if len(at) else at
+        apart = np.abs(two["profile"][at] - one["profile"][i]).sum(axis=1, dtype=np.int64)
+        open_ = apart <= np.maximum(two["n"][at], n) * (2 * (1 - least)) + 1e-9
+        for j in at[open_][np.argsort(apart[open_], kind="stable")]:
+            a, b = find(int(root)), find(int(two["root"][j]))
+            if a != b and similar(one["words"][i], two["words"][j], least):
+                parent[max(a, b)] = min(a, b)
+                yield one["node"][i], two["node"][j]
+
+
+def remaining(live: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picked: int = PICKED, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """node, leader of similar pairs that join the components in each bucket of ``live`` (key, node, n_words, root).
+
+    A bucket of more than ``block_rows`` nodes is cut by lengths, of which only
+    neighbouring ones can be similar, and by hash. Pairs of blocks are met, but
+    for those of the bucket's largest component with each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(classes, picked)
         for batch in batches:
-            keys, found = [], []
+            found = []
             for key, rows, others in zip(*(batch.column(i) for i in range(3))):
-                rows, others = rows.as_py(), others.as_py()
-                pairs = set(_nearest(rows, rows if others is None else others, most, least))
-                if others is not None:
-                    pairs.update(_nearest(others, rows, most, least))
-                found += pairs
-                keys += [key.as_py()] * len(pairs)
-            nodes, leaders, more = zip(*found) if found else ((), (), ())
-            columns = [pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(leaders, pa.binary()), pa.array(more, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "leader", "more"])
-
-    sizes = live.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    cut = live.join(sizes, F.col("key") == F.col("_key")).withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")))
-    cut = cut.join(counts, F.col("node") == F.col("_of"))
-    cut = cut.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "n_words", "root", "profile")).alias("rows"))
+                one = known.block(rows.as_py())
+                two = one if others.as_py() is None else known.block(others.as_py())
+                found += block_links(key.as_py(), one, two, least)
+            columns = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "leader"])
+
+    by_root = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    main = by_root.agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    main = main.select(F.col("key").alias("_key"), F.col("main.root").alias("main"), (F.col("n") > block_rows).alias("large"))
+    span = F.floor(F.log(F.greatest("n_words", F.lit(1))) / math.log(1.0001 / least)).cast("int")
+    cut = live.join(main, F.col("key") == F.col("_key")).select("key", "node", "root", "n_words", F.when(F.col("large"), span).otherwise(0).alias("span"), (F.col("large") & (F.col("root") == F.col("main"))).alias("main"))
+    sizes = cut.groupBy("key", "span", "main").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n_words") / BLOCK_WORDS)).alias("parts"))
+    sizes = sizes.select(F.struct("key", "span", "main").alias("_cut"), "parts")
+    cut = cut.join(sizes, (F.struct("key", "span", "main") == F.col("_cut"))).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.col("parts")))
+    cut = cut.join(texts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    cut = cut.groupBy("key", "span", "main", "part").agg(F.collect_list(F.struct("node", "root", "text")).alias("rows"))
     cut = materialize(cut, "near-blocks")
-    other = cut.filter("blocks > 1").select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("rows").alias("others"))
-    crossed = cut.filter("blocks > 1").join(other, (F.col("key") == F.col("_key")) & (F.col("block") < F.col("_block")))
-    alone = cut.select("key", "rows", F.lit(None).cast(other.schema["others"].dataType).alias("others"))
-    both = alone.unionByName(crossed.select("key", "rows", "others"))
-    return both.mapInArrow(run, "key long, node binary, leader binary, more boolean")
+    place = F.struct("span", "main", "part").alias("place")
+    two = cut.filter("not main").select(F.col("key").alias("_key"), place.alias("_place"), F.col("rows").alias("others"))
+    order = F.when(F.col("main"), F.abs(F.col("span") - F.col("_place.span")) <= 1).otherwise((place < F.col("_place")) & (F.col("_place.span") - F.col("span") <= 1))
+    crossed = cut.join(two, (F.col("key") == F.col("_key")) & order).select("key", "rows", "others")
+    alone = cut.filter("not main").select("key", "rows", F.lit(None).cast(two.schema["others"].dataType).alias("others"))
+    with batch_bytes(live.sparkSession):
+        found = materialize(alone.unionByName(crossed).mapInArrow(run, "node long, leader long"), "near-rest")
+    release(cut)
+    return found
 
 
 def _distinct_buckets(rows: DataFrame) -> DataFrame:
@@ -216,80 +265,86 @@ def _distinct_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(kept, F.col("key") == F.col("_key"), "left_semi")
 
 
-def links(buckets: DataFrame, texts: DataFrame, sketches: int = SKETCHES, least: float = LEAST) -> DataFrame:
+def links(buckets: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picked: int = PICKED, least: float = LEAST) -> DataFrame:
     """node, root of the nodes that similar pairs connect.
 
-    ``buckets`` (key, band, node, n_words) are met in two slices of bands with one
-    leader a bucket, which joins a large group at a few alignments a text. Buckets
-    whose nodes are all connected by then are dropped. In the others all nodes
-    stay, as a node unlike the leader may be similar to one connected with it;
-    nodes meet their 4, 16, ... nearest of other components until none is left.
+    ``buckets`` (key, band, node, n_words) are met in slices of bands with one
+    leader a bucket. Buckets whose nodes are all connected by then are dropped. In
+    the others all nodes stay, as a node unlike the leader may be similar to one
+    connected with it, and all pairs of different components are met.
     """
-    empty = buckets.select("node", F.col("node").alias("root")).limit(0)
-    known = roots = None
-    rest: list[DataFrame] = []
-    cut = max(1, sketches // 8)
-
-    def met(pairs: DataFrame) -> None:
-        nonlocal known, roots
-        fresh = pairs.select("node", "leader").distinct()
-        if known is not None:
-            fresh = fresh.join(known, ["node", "leader"], "left_anti")
-        found = materialize(aligned(fresh, texts, least), "near-aligned")
-        known = found if known is None else known.unionByName(found)
-        if found.filter("near").limit(1).count():
-            near = known.filter("near")
+    near: DataFrame | None = None
+    known: DataFrame | None = None
+    roots: DataFrame | None = None
+
+    def connect(found: DataFrame) -> None:
+        nonlocal near, roots
+        near = found if near is None else near.unionByName(found)
+        if found.limit(1).count():
             roots = components(near.select(F.col("node").alias("src"), F.col("leader").alias("dst")))
 
-    for rows in (buckets.filter(F.col("band") < cut), buckets.filter(F.col("band") >= cut)):
-        live = materialize(_shared(_rooted(rows, roots), "root"), "near-live")
-        first = F.row_number().over(W.partitionBy("key").orderBy("node"))
-        lead = live.withColumn("rank", first).filter("rank = 1")
-        lead = materialize(lead.select(F.col("key").alias("_key"), F.col("node").alias("leader"), F.col("n_words").alias("_n"), F.col("root").alias("_root")), "near-leaders")
+    def living(rows: DataFrame) -> DataFrame:
+        rooted = materialize(_rooted(rows, roots), "near-rooted")
+        live = materialize(_shared(rooted, "root"), "near-live")
+        release(rooted)
+        return live
+
+    rest: list[DataFrame] = []
+    for low, high in SLICES:
+        live = living(buckets.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band"))
+        lead = live.groupBy("key").agg(F.min(F.struct("node", "n_words", "root")).alias("lead"))
+        lead = lead.select(F.col("key").alias("_key"), F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("_n"), F.col("lead.root").alias("_root"))
+        lead = materialize(lead, "near-leaders")
         alike = F.least("n_words", "_n") >= F.greatest("n_words", "_n") * least
         open_pair = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & alike
-        met(live.join(lead, open_pair).select("node", "leader"))
-        rest.append(live.select(*rows.columns))
-    counts = materialize(profiles(texts), "near-profiles")
-    rows, most = _distinct_buckets(rest[0].unionByName(rest[1])), 4
-    while True:
-        live = materialize(_shared(_rooted(rows, roots), "root"), "near-live")
-        if not live.limit(1).count():
-            return empty if roots is None else roots
-        pairs = materialize(nearest(live, counts, most, least), "near-pairs")
-        met(pairs)
-        more = pairs.filter("more").select(F.col("key").alias("_key")).distinct()
-        rows, most = live.join(more, F.col("key") == F.col("_key"), "left_semi").select(*rows.columns), 4 * most
-
-
-def groups(docs: DataFrame, sketches: int = SKETCHES, picked: int = PICKED, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """doc_id, node, n_words, component_id, kept of every row."""
+        # Of several leaders of one component one is tried; the last part meets the others.
+        fresh = live.join(lead, open_pair).groupBy("node", "_root").agg(F.min("leader").alias("leader")).select("node", "leader").distinct()
+        if known is not None:
+            fresh = fresh.join(known, ["node", "leader"], "left_anti")
+        met = materialize(aligned(fresh, texts, least), "near-aligned")
+        known = met if known is None else known.unionByName(met)
+        connect(met.filter("near").select("node", "leader"))
+        release(lead)
+        rest.append(live.drop("root"))
+    live = living(_distinct_buckets(functools.reduce(DataFrame.unionByName, rest)))
+    if live.limit(1).count():
+        connect(remaining(live, texts, classes, picked, least))
+    return buckets.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+
+
+def groups(docs: DataFrame, classes: tuple = CLASSES, picked: int = PICKED, least: float = LEAST) -> DataFrame:
+    """doc_id, digest (of the text), n_words, component_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = materialize(signatures(docs, sketches, picked, shingle), "near-signatures")
-    nodes = signed.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    nodes = materialize(nodes.select(F.col("node").alias("_node"), "first_id"), "near-nodes")
-    one_each = signed.join(nodes, (signed["doc_id"] == nodes["first_id"]) & (signed["node"] == nodes["_node"]))
-    keyed = materialize(one_each.select("node", "n_words", "first_id", "keys"), "near-keyed")
-    exploded = keyed.select(F.posexplode("keys").alias("band", "key"), "node", "n_words")
+    signed = materialize(signatures(docs, classes, picked).withColumnRenamed("node", "digest"), "near-signatures")
+    nodes = signed.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    nodes = materialize(nodes.select(F.col("digest").alias("_digest"), "first_id", F.monotonically_increasing_id().alias("node")), "near-nodes")
+    one_each = signed.join(nodes, (signed["doc_id"] == nodes["first_id"]) & (signed["digest"] == nodes["_digest"]))
+    exploded = one_each.select("node", "n_words", F.posexplode("keys").alias("band", "key"))
+    exploded = materialize(exploded, "near-keys")
     buckets = materialize(_shared(exploded, "node").distinct(), "near-buckets")
-    wanted = buckets.select("node").distinct().join(nodes, F.col("node") == F.col("_node")).select("_node", "first_id")
-    texts = docs.join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.unhex(F.md5("text")) == F.col("_node")))
-    texts = materialize(texts.select(F.col("_node").alias("node"), "text").dropDuplicates(["node"]), "near-texts")
-    found = links(buckets, texts, sketches, least)
-    linked = found.join(nodes, F.col("node") == F.col("_node")).select("node", "root", "first_id")
+    release(exploded)
+    wanted = buckets.select(F.col("node").alias("_wanted")).distinct()
+    wanted = nodes.join(wanted, F.col("node") == F.col("_wanted")).select("first_id", "_digest", "node")
+    texts = docs.withColumn("digest", F.unhex(F.md5("text"))).join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.col("digest") == F.col("_digest")))
+    texts = materialize(texts.groupBy("doc_id", "digest").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "near-texts")
+    found = links(buckets, texts, classes, picked, least)
+    linked = found.join(nodes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select("node", "root", "first_id")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lowest = materialize(lowest.select(F.col("root").alias("_root"), "component_id"), "near-lowest")
-    linked = materialize(linked.join(lowest, F.col("root") == F.col("_root")).select("node", "component_id"), "near-linked")
-    named = nodes.join(linked, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = linked.join(lowest, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id")
+    named = nodes.join(linked, F.col("node") == F.col("_node"), "left").select("_digest", F.coalesce("component_id", "first_id").alias("component_id"))
     named = materialize(named, "near-named")
-    out = signed.join(named, F.col("node") == F.col("_node"), "left")
+    release(buckets, texts, nodes)
+    out = signed.join(named, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "node", "n_words", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "digest", "n_words", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, one document of each group, with all their columns."""
-    gone = groups(docs, **options).filter("not kept").select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node"))
+    gone = groups(docs, **options).filter("not kept").select(F.struct("doc_id", "digest").alias("gone"))
     gone = materialize(gone.distinct(), "near-gone")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(gone, (docs["doc_id"] == gone["_doc_id"]) & (F.unhex(F.md5(text)) == gone["_node"]), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    digest = F.unhex(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
+    same = (F.col("row.doc_id").cast("long") == F.col("gone.doc_id")) & (digest == F.col("gone.digest"))
+    return rows.join(gone, same, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -47,7 +47,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.groups(table(spark, sf_dir, "documents")).drop("node")
+    return near_dups.groups(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
