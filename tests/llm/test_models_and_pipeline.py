@@ -1,6 +1,8 @@
 """Classifiers by held-out accuracy, the mix against its SQL and targets, the pipeline stage by stage."""
 
+import hashlib
 import heapq
+import math
 import os
 import random
 
@@ -52,12 +54,101 @@ def test_toxicity(spark, labelled):
     assert {r["score"] for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_ftrl_is_sparse():
+def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal a coordinate at a time, as published."""
+    z, n, bias = {}, {}, [0.0, 0.0]
+
+    def weight(zi, ni, l1):
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(ni)) / alpha + l2)
+
+    for _ in range(epochs):
+        for at, y in zip(rows, labels):
+            w = {i: weight(z.get(i, 0.0), n.get(i, 0.0), l1) for i in at}
+            b = weight(*bias, 0.0)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y
+            for i in at:
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+            s = (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / alpha
+            bias = [bias[0] + g - s * b, bias[1] + g * g]
+    return weight(*bias, 0.0), {i: weight(z[i], n[i], l1) for i in z if abs(z[i]) > l1}
+
+
+def test_ftrl_is_the_published_one_and_sparse():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.append(rng.integers(10, 1000, 20), i % 2)) for i in range(400)]
-    model = toxicity.fit(rows, np.array([i % 2 for i in range(400)]), bits=10)
+    labels = [i % 2 for i in range(400)]
+    state = toxicity.Ftrl(10)
+    for _ in range(3):
+        for at, y in zip(rows, labels):
+            state.learn(at, y)
+    model = state.model()
+    bias, weights = plain_ftrl([r.tolist() for r in rows], labels, 3, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    assert model.coordinates.tolist() == sorted(weights) and abs(model.bias - bias) < 1e-9
+    assert np.allclose(model.weights, [weights[i] for i in model.coordinates], atol=1e-5)
     assert len(model.weights) < 300 and model.dense()[1] > 1 > -1 > model.dense()[0]
-    assert len(toxicity.fit(rows, np.array([i % 2 for i in range(400)]), bits=10, most_weights=2).weights) == 2
+
+
+def test_toxicity_query_against_a_plain_model(spark, labelled):
+    """Scores of the operator from features, order and sums written out."""
+    from textloom.llm.words import word_hashes
+
+    docs, labels = labelled
+    y = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["toxic"] is not None and fold_of(r["doc_id"], 3) != 1:
+            y[r["doc_id"]] = max(r["toxic"], y.get(r["doc_id"], 0))
+    texts = {}
+    for r in docs.collect():
+        if r["doc_id"] in y:
+            texts[r["doc_id"]] = max(r["text"] or "", texts.get(r["doc_id"], ""))
+
+    def plain_features(text):
+        h, odd = [int(x) for x in word_hashes(text or "")], [int(x) for x in toxicity._ODD]
+        found = [*h, *(a * odd[1] + b * odd[2] for a, b in zip(h, h[1:])), *(a * odd[3] + b * odd[4] for a, b in zip(h, h[2:]))]
+        return sorted({(x * odd[0] & (1 << 64) - 1) >> 64 - toxicity.BITS for x in found})
+
+    ids = [i for epoch in range(1, toxicity.EPOCHS + 1) for _, i in sorted((hashlib.md5(f"toxic|{epoch}|{i}".encode()).hexdigest(), i) for i in texts)]
+    bias, weights = plain_ftrl([plain_features(texts[i]) for i in ids], [y[i] for i in ids], 1, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    want = sorted((str(r["doc_id"]), 1 / (1 + math.exp(-bias - sum(weights.get(i, 0.0) for i in plain_features(r["text"]))))) for r in docs.collect())
+    got = sorted((str(r["doc_id"]), r["score"]) for r in toxicity.score_documents(docs, labels).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-4)
+
+
+def test_a_score_at_the_threshold_is_predicted(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
+    model = toxicity.Model(float(np.log(0.7 / 0.3)), np.zeros(0, np.int64), np.zeros(0, np.float32), 4)
+    exact = toxicity.score(rows, model).first()["score"]
+    assert {r["predicted"] for r in toxicity.score(rows, model, exact).collect()} == {1}
+    assert {r["predicted"] for r in toxicity.score(rows, model, exact + 1e-12).collect()} == {0}
+
+
+def plain_probability(net, text):
+    """The network's forward pass in loops."""
+    raw = (text or "").encode()
+    raw += bytes(max(0, quality.WIDTH - len(raw)))
+    response = [[sum(float(net.taps[j][raw[i + j]][f]) for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for i in range(len(raw) - quality.WIDTH + 1)]
+    starts = range(0, len(response), quality.HALF)
+    chunks = [response[s : s + 2 * quality.HALF] for s in (starts if len(starts) == 1 else starts[:-1])]
+    pooled = [[max(0.0, max(r[f] for r in c) + float(net.offset[f])) for f in range(quality.FILTERS)] for c in chunks]
+    z = float(net.bias[0])
+    for f in range(quality.FILTERS):
+        z += max(c[f] for c in pooled) * float(net.peak[f]) + sum(c[f] for c in pooled) / len(pooled) * float(net.mean[f])
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 130, 131, 132, 259, 260, 700, 1500])
+def test_network_against_loops(n, monkeypatch):
+    rng, net = random.Random(n), quality.Network.random(5)
+    net.offset[:] = np.linspace(-0.5, 0.5, quality.FILTERS)
+    text = "".join(rng.choice("abcé ,.") for _ in range(n))
+    want = plain_probability(net, text)
+    assert abs(quality.probability(net, text) - want) < 1e-4
+    top, place = quality._halves(net.taps, quality._bytes(text), places=True)
+    monkeypatch.setattr(quality, "PIECE", 2 * quality.HALF)
+    assert abs(quality.probability(net, text) - want) < 1e-4
+    again, where = quality._halves(net.taps, quality._bytes(text), places=True)
+    assert np.array_equal(top, again) and np.array_equal(place, where)
 
 
 def test_quality(spark, labelled):

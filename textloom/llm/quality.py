@@ -6,15 +6,18 @@ responses over the whole text are max-pooled in overlapping chunks of
 over the document by their maximum and by their mean, and a logistic unit makes
 one probability of both. Gradients flow through the places of the maxima.
 
-Fitting uses a bounded sample: at most ``most_rows`` labelled rows outside the
-held-out fold, those with the smallest seeded hash of their id, and of each at
-most ``train_bytes`` bytes in evenly spread stretches. Scoring reads every byte
-of every text in one narrow pass; a worker holds ``PIECE`` positions at a time.
+Fitting uses a bounded sample: at most ``most_rows`` labelled documents outside
+the held-out fold, those with the smallest seeded hash of their id, with every
+byte of their texts. One task takes them in a seeded order, epoch by epoch, as a
+stream. Scoring reads every byte of every text in one narrow pass. Fitting and
+scoring hold the responses of ``PIECE`` positions at a time.
 
 Defined results: a null text is the empty text; texts shorter than a filter are
 padded with zero bytes. Null labels are left out; an id labelled twice counts
-with its largest label; without labelled rows every score is 0.5. Repeated rows
-get equal scores. Only doc_id and text of ``docs`` are read.
+with its largest label, and of an id with several texts the largest is learnt
+from; without labelled rows every score is 0.5. A score of exactly the threshold
+is predicted. Repeated rows get equal scores. Only doc_id and text of ``docs`` are
+read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import fold_of
-from textloom.llm.toxicity import training_rows
+from textloom.llm.toxicity import learnt, training_rows
 
 WIDTH, FILTERS, HALF, PIECE = 4, 16, 128, 1 << 18
-MOST_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, DECAY, SEED = 4000, 4096, 6, 32, 0.01, 1e-4, "quality"
+MOST_ROWS, EPOCHS, BATCH, RATE, DECAY, SEED = 4000, 6, 32, 0.01, 1e-4, "quality"
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 
 
@@ -54,8 +57,8 @@ class Network:
         return [getattr(self, f.name) for f in fields(self)]
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    raw = (text or "").encode()
+def _bytes(text: str | bytes | None) -> np.ndarray:
+    raw = text if isinstance(text, bytes) else (text or "").encode()
     return np.frombuffer(raw + bytes(max(0, WIDTH - len(raw))), dtype=np.uint8)
 
 
@@ -67,21 +70,22 @@ def _responses(taps: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _halves(taps: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Filter maxima of each stretch of HALF positions."""
-    n, parts = len(raw) - WIDTH + 1, []
+def _halves(taps: np.ndarray, raw: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Filter maxima of each stretch of HALF positions, and where they are."""
+    n, tops, at = len(raw) - WIDTH + 1, [], []
     for start in range(0, n, PIECE):
         response = _responses(taps, raw[start : min(n, start + PIECE) + WIDTH - 1])
         whole = len(response) // HALF * HALF
-        if whole:
-            parts.append(response[:whole].reshape(-1, HALF, FILTERS).max(axis=1))
-        if whole < len(response):
-            parts.append(response[whole:].max(axis=0, keepdims=True))
-    return np.concatenate(parts)
+        parts = [response[:whole].reshape(-1, HALF, FILTERS)] * (whole > 0) + [response[None, whole:]] * (whole < len(response))
+        tops += [p.max(axis=1) for p in parts]
+        if places:
+            firsts = [start + HALF * np.arange(len(p)) + offset for p, offset in zip(parts, (0, whole) if whole else (0,))]
+            at += [p.argmax(axis=1) + f[:, None] for p, f in zip(parts, firsts)]
+    return np.concatenate(tops), np.concatenate(at) if places else None
 
 
 def probability(net: Network, text: str | None) -> float:
-    halves = _halves(net.taps, _bytes(text))
+    halves, _ = _halves(net.taps, _bytes(text))
     chunks = np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
     chunks = np.maximum(chunks + net.offset, 0)
     z = chunks.max(axis=0) @ net.peak + chunks.mean(axis=0) @ net.mean + net.bias[0]
@@ -90,14 +94,7 @@ def probability(net: Network, text: str | None) -> float:
 
 def _gradient(net: Network, raw: np.ndarray, y: float, grads: list[np.ndarray]) -> None:
     """Adds the gradient of the log loss of one text."""
-    response = _responses(net.taps, raw)
-    n = len(response)
-    cuts = np.arange(0, n, HALF)
-    padded = np.full((len(cuts) * HALF, FILTERS), -np.inf, dtype=np.float32)
-    padded[:n] = response
-    blocks = padded.reshape(-1, HALF, FILTERS)
-    place = blocks.argmax(axis=1) + cuts[:, None]
-    top = blocks.max(axis=1)
+    top, place = _halves(net.taps, raw, places=True)
     if len(top) > 1:
         later = top[1:] > top[:-1]
         place, top = np.where(later, place[1:], place[:-1]), np.maximum(top[:-1], top[1:])
@@ -119,49 +116,48 @@ def _gradient(net: Network, raw: np.ndarray, y: float, grads: list[np.ndarray])
         np.add.at(taps[j], (raw[at + j], which), value)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 7) -> Network:
-    """Adam over shuffled batches."""
-    net, rng = Network.random(seed), np.random.default_rng(seed)
-    if not len(rows):
-        net.peak[:] = net.mean[:] = 0
-        return net
-    first, second, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(rows))
-        pace = rate * (1 - epoch / epochs)
-        for start in range(0, len(order), BATCH):
-            grads = [np.zeros_like(p) for p in net.parameters()]
-            some = order[start : start + BATCH]
-            for i in some:
-                _gradient(net, rows[i], float(labels[i]), grads)
-            step += 1
-            for p, g, m, v in zip(net.parameters(), grads, first, second):
-                g /= len(some)
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= pace * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + decay * p)
-    return net
-
-
-def stretches(raw: np.ndarray, most: int) -> np.ndarray:
-    """At most ``most`` bytes of a training text, in eight evenly spread stretches."""
-    if len(raw) <= most:
-        return raw
-    size = most // 8
-    return np.concatenate([raw[s : s + size] for s in np.linspace(0, len(raw) - size, 8).astype(int)])
-
-
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, train_bytes: int = TRAIN_BYTES, seed: str = SEED, **options) -> Network:
-    sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, most_rows, seed)
+class Adam:
+    """Trains a network on rows as they come, a batch a step."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [stretches(_bytes(t.as_py()), train_bytes).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], names=["doc_id", "y", "raw"])
+    def __init__(self, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 7):
+        self.net, self.epochs, self.rate, self.decay, self.step = Network.random(seed), epochs, rate, decay, 0
+        self.first, self.second, self.grads = ([np.zeros_like(p) for p in self.net.parameters()] for _ in range(3))
+        self.waiting, self.pace = 0, rate
+
+    def learn(self, epoch: int, raw: np.ndarray, y: int) -> None:
+        self.pace = self.rate * (1 - (epoch - 1) / self.epochs)
+        _gradient(self.net, raw, float(y), self.grads)
+        self.waiting += 1
+        if self.waiting == BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        self.step += 1
+        for p, g, m, v in zip(self.net.parameters(), self.grads, self.first, self.second):
+            g /= self.waiting
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= self.pace * (m / (1 - 0.9**self.step) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8) + self.decay * p)
+            g[...] = 0
+        self.waiting = 0
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, epochs: int = EPOCHS, seed: str = SEED, **options) -> Network:
+    sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, most_rows, seed)
 
-    found = sample.mapInArrow(run, "doc_id long, y int, raw binary").toArrow()  # at most most_rows * train_bytes
-    found = found.sort_by([("doc_id", "ascending"), ("raw", "ascending")])
-    return fit([np.frombuffer(r, dtype=np.uint8) for r in found["raw"].to_pylist()], found["y"].to_numpy(), **options)
+    def learn(rows: Iterator[tuple[int, bytes, int]]) -> Network:
+        state, seen = Adam(epochs, **options), 0
+        for epoch, x, y in rows:
+            state.learn(epoch, _bytes(x), y)
+            seen += 1
+        state.flush()
+        if not seen:
+            state.net.peak[:] = state.net.mean[:] = 0
+        return state.net
+
+    return learnt(sample.select("doc_id", F.col("text").cast("binary").alias("x"), "y"), epochs, seed, learn)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:

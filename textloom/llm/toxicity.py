@@ -4,32 +4,37 @@ Features of a text, each counted once: its words (lower case, ASCII punctuation
 dropped), pairs of neighbouring words, and pairs with one word between, hashed
 into ``1 << bits`` coordinates. Training keeps a learning rate for each
 coordinate and an L1 penalty leaves most weights exactly zero; what remains is
-broadcast (never more than ``most_weights`` pairs, the largest by size).
+broadcast: 12 bytes a weight, at most one a coordinate, so under 26 MB.
 
-Fitting uses a bounded sample: at most ``most_rows`` labelled rows outside the
-held-out fold, those with the smallest seeded hash of their id, positives and
-negatives alike. The sample's features (about 12 bytes a word) are computed on
-the executors. Scoring is one narrow pass over all documents and whole texts.
+Fitting uses a bounded sample: at most ``most_rows`` labelled documents outside
+the held-out fold, those with the smallest seeded hash of their id, positives and
+negatives alike, with their whole texts. Features are computed on all executors;
+one task then takes them in a seeded order, epoch by epoch, as a stream, so only
+one batch and the coordinates are in memory. Scoring is one narrow pass over all
+documents and whole texts.
 
 Defined results: a null or empty text has only the bias. Labels that are null
-are left out; an id labelled twice counts with its largest label; without
-labelled rows every score is 0.5. Repeated rows get equal scores. Columns of
-``docs`` other than doc_id and text are never read.
+are left out; an id labelled twice counts with its largest label, and of an id
+with several texts the largest text is learnt from; without labelled rows every
+score is 0.5. A score of exactly the threshold is predicted (and rejected).
+Repeated rows get equal scores. Columns of ``docs`` other than doc_id and text
+are never read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import fold, fold_of
+from textloom.llm.common import batch_bytes, fold, fold_of
 from textloom.llm.words import word_hashes
 
-BITS, MOST_ROWS, MOST_WEIGHTS, EPOCHS, SEED = 21, 12_000, 1 << 18, 6, "toxic"
+BITS, MOST_ROWS, EPOCHS, SEED = 21, 12_000, 6, "toxic"
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.01
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
@@ -60,64 +65,81 @@ class Model:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, most_weights: int = MOST_WEIGHTS) -> Model:
-    """FTRL-proximal over the rows (unique coordinates each), in the order given."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    bias_z = bias_n = 0.0
-
-    def weights(zi, ni):
-        return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
-
-    bias = 0.0
-    for _ in range(epochs):
-        for at, y in zip(rows, labels):
-            zi, ni = z[at], n[at]
-            w = weights(zi, ni)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
-            root = np.sqrt(ni + g * g)
-            z[at] = zi + g - (root - np.sqrt(ni)) / alpha * w
-            n[at] = ni + g * g
-            root = np.sqrt(bias_n + g * g)
-            bias_z += g - (root - np.sqrt(bias_n)) / alpha * bias
-            bias_n += g * g
-            bias = -bias_z / ((beta + np.sqrt(bias_n)) / alpha + l2)
-    w = weights(z, n)
-    kept = np.flatnonzero(w)
-    if len(kept) > most_weights:
-        kept = np.sort(kept[np.argsort(-np.abs(w[kept]), kind="stable")[:most_weights]])
-    return Model(float(bias), kept, w[kept].astype(np.float32), bits)
+class Ftrl:
+    """FTRL-proximal state: z and n of each coordinate, and of the bias (without L1)."""
+
+    def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+        self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
+        self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
+        self.bias_z = self.bias_n = self.bias = 0.0
+
+    def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+
+    def learn(self, at: np.ndarray, y: int) -> None:
+        """One row: its coordinates, each once, and its label."""
+        z, n = self.z[at], self.n[at]
+        w = self.weights(z, n)
+        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + self.bias, -35, 35))) - y
+        self.z[at] = z + g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[at] = n + g * g
+        self.bias_z += g - (np.sqrt(self.bias_n + g * g) - np.sqrt(self.bias_n)) / self.alpha * self.bias
+        self.bias_n += g * g
+        self.bias = -self.bias_z / ((self.beta + np.sqrt(self.bias_n)) / self.alpha + self.l2)
+
+    def model(self) -> Model:
+        w = self.weights(self.z, self.n)
+        kept = np.flatnonzero(w)
+        return Model(float(self.bias), kept, w[kept].astype(np.float32), self.bits)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most_rows: int, seed: str) -> DataFrame:
-    """doc_id, y and text of the bounded sample."""
+    """doc_id, y and text of the bounded sample, one row a document id."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y"))
     # Labels of documents that are not here must not fill the bound.
-    known = known.join(docs.select(F.col("doc_id").alias("_doc")), F.col("_id") == F.col("_doc"), "left_semi")
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("_doc")), F.col("_id") == F.col("_doc"), "left_semi")
     chosen = known.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("_id").cast("string"))), "_id").limit(most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("doc_id", "y", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_id"])
+    return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def learnt(sample: DataFrame, epochs: int, seed: str, learn: Callable[[Iterator[tuple[int, bytes, int]]], object]) -> object:
+    """What ``learn`` makes, in one task, of the stream (epoch, x, y) of ``sample`` (doc_id, x, y).
 
+    Each epoch has all rows, in a seeded order of its own. Spark sorts them, on
+    disk where they are many, so the task holds a batch. ``learn`` returns
+    something that can be pickled and whose size does not follow the rows.
+    """
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int = MOST_ROWS, seed: str = SEED, **options) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((e.as_py(), x.as_py(), y.as_py()) for b in batches for e, x, y in zip(b.column(0), b.column(1), b.column(2)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(rows))], pa.binary())], names=["made"])
+
+    each = sample.select(F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), "x", "y", "doc_id")
+    order = F.md5(F.concat_ws("|", F.lit(seed), "epoch", "doc_id"))
+    each = each.withColumn("order", order).repartition(1).sortWithinPartitions("epoch", "order", "doc_id").select("epoch", "x", "y")
+    with batch_bytes(sample.sparkSession):
+        made = each.mapInArrow(run, "made binary").collect()  # one row, none without a sample
+    return pickle.loads(made[0]["made"]) if made else learn(iter(()))
+
+
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int = MOST_ROWS, epochs: int = EPOCHS, seed: str = SEED, **options) -> Model:
     sample = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, most_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [np.unique(features(t.as_py(), bits)).astype("<u4").tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "y", "at"])
-
-    found = sample.mapInArrow(run, "doc_id long, y int, at binary").toArrow()  # at most most_rows rows
-    ids, y, rows = found["doc_id"].to_numpy(), found["y"].to_numpy(), []
-    for chunk in found["at"].chunks:  # views, not copies
-        ends = np.frombuffer(chunk.buffers()[1], dtype="<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
-        data = np.frombuffer(chunk.buffers()[2], dtype=np.uint8) if len(chunk) and ends[-1] else np.zeros(0, np.uint8)
-        rows += [data[a:b].view("<u4") for a, b in zip(ends[:-1], ends[1:])]
-    order = np.lexsort(([int(r.sum()) for r in rows], [len(r) for r in rows], ids)) if rows else np.zeros(0, np.int64)
-    order = order[np.random.default_rng(len(seed)).permutation(len(order))]
-    model = fit([rows[i] for i in order], y[order], bits, **options)
-    del rows, found
-    pa.default_memory_pool().release_unused()
-    return model
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
+
+    def learn(rows: Iterator[tuple[int, bytes, int]]) -> Model:
+        state = Ftrl(bits, **options)
+        for _, x, y in rows:
+            state.learn(np.frombuffer(x, dtype="<u4"), y)
+        return state.model()
+
+    return learnt(sample.mapInArrow(run, "doc_id long, y int, x binary"), epochs, seed, learn)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
