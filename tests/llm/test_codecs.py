@@ -79,9 +79,9 @@ def test_pack_round_trip(values):
 
 
 def test_op3_rows(spark, word_tokenizer):
-    rows = [(7, "b c"), (2, None), (5, "the thing, the THING."), (5, "again"), (None, "null id"), (9, "z" * 500 + " y")]
+    rows = [(7, "b c"), (2, None), (5, "the thing, the THING."), (5, "again"), (None, "null id"), (9, "z" * 500 + " y"), (10, "long " * 200_000)]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, start double")
-    got = sorted(tuple(r) for r in token_files.file_round_trip(docs, block_tokens=8).select(F.coalesce("doc_id", F.lit(-1)), "start", "n_tokens", "ids_crc32").collect())
+    got = sorted(tuple(r) for r in token_files.file_round_trip(docs, block_tokens=8, file_blocks=1).select(F.coalesce("doc_id", F.lit(-1)), "start", "n_tokens", "ids_crc32").collect())
     start, want = 0, []
     encoded = [(-1 if i is None else i, word_tokenizer.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in rows]
     for i, ids in sorted(encoded, key=lambda x: x[0]):
@@ -90,14 +90,23 @@ def test_op3_rows(spark, word_tokenizer):
     for doc, begin, n, _ in sorted(got, key=lambda g: g[1]):
         assert begin == start
         start += n
-    assert [g[0] for g in sorted(got, key=lambda g: g[1])] == [-1, 2, 5, 5, 7, 9]
+    assert [g[0] for g in sorted(got, key=lambda g: g[1])] == [-1, 2, 5, 5, 7, 9, 10]
     assert token_files.file_round_trip(docs.limit(0)).count() == 0
 
 
+def test_token_files_end_at_their_blocks(spark, tmp_path):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).coalesce(1)
+    token_files.token_files(docs, str(tmp_path / "t"), block_tokens=8, file_blocks=2)
+    sizes = [len(list(token_files.blocks(p.read_bytes()))) for p in (tmp_path / "t/tokens").glob("part-*")]
+    assert max(sizes) == 2 and sum(sizes) >= 30
+    got = token_files.read_files(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [r["start"] for r in got] == [4 * i for i in range(60)]
+
+
 def test_op8_ties_nulls_and_clashes(spark):
     big = "<p>x\r\n\r\nWARC/1.1 é</p>" * 10
     rows = [(5, "u\r\n5", big), (3, "u3", big), (3, "u3", big), (None, None, big), (9, None, None), (10, "u", "small"), (11, "u", "small"), (12, "z", big + "1")]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, bytes string")
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, row string")
     got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]): r["payload_digest"] for r in warc.archive_round_trip(pages).collect()}
     size = len(big.encode())
     assert set(got) == {(5, "revisit", 3, size), (3, "response", None, size), (None, "revisit", 3, size), (9, "response", None, 0), (10, "response", None, 5), (11, "response", None, 5), (12, "response", None, size + 1)}
@@ -107,9 +116,24 @@ def test_op8_ties_nulls_and_clashes(spark):
 
 def test_warc_records_are_well_formed(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "h" * 200), (2, "http://b/", "h" * 200)], "page_id long, url string, html string")
-    warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "w"), date="2024-05-06T07:08:09Z")
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
     records = list(warc.parse(raw))
     assert [r["warc-type"] for r in records] == ["response", "revisit"]
     assert records[1]["warc-refers-to"] == records[0]["warc-record-id"] and records[1]["warc-refers-to-target-uri"] == "http://a/"
     assert records[0]["block"].endswith(b"\r\n\r\n" + b"h" * 200) and b"h" * 10 not in records[1]["block"]
+    assert {r["warc-date"] for r in records} == {"2024-05-06T07:08:09Z"} == {records[1]["warc-refers-to-date"]}
+
+
+def test_warc_record_ids_are_unique_and_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc.pieces, "__defaults__", (1000,))
+    rows = [(None, "u", "h" * 300)] * 20 + [(7, "u", "h" * 300)] * 20 + [(8, "v", "x" * 50_000), (9, "v", "y" * 400_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), pieces_per_file=2)
+    files = list((tmp_path / "w").glob("part-*"))
+    records = [r for p in files for r in warc.parse(p.read_bytes())]
+    ids = {r["warc-record-id"]: r for r in records}
+    assert len(ids) == len(records) == len(rows) and len(files) > 5
+    assert all(ids[r["warc-refers-to"]]["warc-type"] == "response" for r in records if r["warc-type"] == "revisit")
+    got = warc.read_archives(spark, str(tmp_path / "w"))
+    assert got.filter("refers_to = 7").count() == 20 and got.filter("record_type = 'response'").count() == 22

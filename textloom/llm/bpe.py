@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.llm.common import bound_batches
+
 #: Fixed by the byte-level scheme: how a text falls into pre-tokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose encoding a worker remembers, and their longest length.
@@ -52,6 +54,9 @@ class BytePairCodec:
 
         with open(path or default_vocabulary(), encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("not a byte-level vocabulary with the usual pre-tokens")
         letters, model = _byte_letters(), spec["model"]
         vocab = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items()}
         rank_of = {bytes([b]): b for b in range(256)}
@@ -146,7 +151,7 @@ class BytePairCodec:
     def encode_text(self, text: str) -> str:
         """The ids of ``text`` in decimal, joined by commas."""
         out: list[str] = []
-        pieces = self._special.split(text) if self._special and "<" in text else [text]
+        pieces = self._special.split(text) if any(t in text for t in self.special) else [text]
         cached, word = self._cache.get, self._word
         for piece in pieces:
             if piece in self.special:
@@ -210,5 +215,6 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, keep_ids: b
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

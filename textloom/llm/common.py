@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 import zlib
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -65,16 +63,11 @@ def release(*frames: DataFrame | None) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-@contextlib.contextmanager
-def batch_bytes(spark: SparkSession, most: int = 64 << 20) -> Iterator[None]:
-    """Within, Arrow batches of what is run hold ``most`` bytes, for rows that are whole blocks."""
+def bound_batches(spark: SparkSession, most: int = 64 << 20) -> None:
+    """Let Arrow batches of the session end at ``most`` bytes, where it sets no limit: rows may be very long texts or blocks."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(most))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from textloom.llm.common import batch_bytes, materialize, release
+from textloom.llm.common import bound_batches, materialize, release
 from textloom.llm.components import components
 
 LEAST, BLOCK_ROWS, BLOCK_BYTES, PLACED_ROWS = 0.93, 8192, 32 << 20, 50_000
@@ -239,6 +239,7 @@ def linked(blocks: DataFrame, centres: DataFrame, least: float = LEAST) -> DataF
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_rows: float = CELL_ROWS, block_rows: int = BLOCK_ROWS, placed_rows: int = PLACED_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    bound_batches(vectors.sparkSession)
     ready = materialize(prepared(vectors), "cosine-vectors")
     counted = ready.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     counted = materialize(counted.withColumnRenamed("node", "_node"), "cosine-nodes")
@@ -248,8 +249,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_rows: float =
     centres = materialize(fit_cells(nodes, sizes, cell_rows), "cosine-centres")
     placed = materialize(in_cells(nodes, sizes, centres, placed_rows), "cosine-cells")
     blocks = materialize(in_blocks(placed, block_rows), "cosine-blocks")
-    with batch_bytes(vectors.sparkSession):
-        found = materialize(linked(blocks, centres, least), "cosine-links")
+    found = materialize(linked(blocks, centres, least), "cosine-links")
     release(nodes, placed, blocks)
     groups = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

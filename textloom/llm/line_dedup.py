@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import bound_batches, materialize
 
 #: Most rows of the broadcast set that filters documents before they are shuffled.
 FILTER_BUCKETS = 1 << 20
@@ -94,6 +94,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` without repeated chunks; with ``counts`` also n_lines and removed_lines."""
+    bound_batches(docs.sparkSession)
     row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
     ready = docs.select(row, F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
     spans = repeated_spans(ready.drop("row"))

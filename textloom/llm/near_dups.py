@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.alignment import similar
-from textloom.llm.common import batch_bytes, materialize, release
+from textloom.llm.common import bound_batches, materialize, release
 from textloom.llm.components import components
 from textloom.llm.words import word_hashes
 
@@ -251,8 +251,7 @@ def remaining(live: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picke
     order = F.when(F.col("main"), F.abs(F.col("span") - F.col("_place.span")) <= 1).otherwise((place < F.col("_place")) & (F.col("_place.span") - F.col("span") <= 1))
     crossed = cut.join(two, (F.col("key") == F.col("_key")) & order).select("key", "rows", "others")
     alone = cut.filter("not main").select("key", "rows", F.lit(None).cast(two.schema["others"].dataType).alias("others"))
-    with batch_bytes(live.sparkSession):
-        found = materialize(alone.unionByName(crossed).mapInArrow(run, "node long, leader long"), "near-rest")
+    found = materialize(alone.unionByName(crossed).mapInArrow(run, "node long, leader long"), "near-rest")
     release(cut)
     return found
 
@@ -314,6 +313,7 @@ def links(buckets: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picked
 
 def groups(docs: DataFrame, classes: tuple = CLASSES, picked: int = PICKED, least: float = LEAST) -> DataFrame:
     """doc_id, digest (of the text), n_words, component_id, kept of every row."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = materialize(signatures(docs, classes, picked).withColumnRenamed("node", "digest"), "near-signatures")
     nodes = signed.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))

@@ -9,16 +9,19 @@ a control byte of four 2-bit lengths and take 1 to 4 data bytes each, lowest
 byte first. The rank table lies beside the files. Decoding looks the lengths of
 a control byte up in a 256-row table and gathers the bytes with numpy.
 
-Steps: encode each text once (compressed ids are kept on the executors' disks,
-and encoded again if those are lost); count ids over all of them (one row an id and task is shuffled); part the
-documents by ranges of ascending id and write the blocks through Spark's text
-sink, which takes any bytes and commits each task's file once. Files are read
-with Spark's binary source; block sizes, not documents, bound a task's memory.
-The rank table is broadcast: it has one entry a vocabulary id.
+Steps: encode each text once (compressed ids go to the shared folder until the
+files are written); count ids over all of them (one row an id and task is
+shuffled); part the documents by ranges of ascending id, and within an id by a hash
+of the tokens, so that a frequent id is several parts; and write the blocks through
+Spark's text sink, which takes any bytes and commits each task's file once. A block
+ends at ``block_tokens`` tokens and a file at ``file_blocks`` blocks, so a file is
+under 300 MB unless one text is longer; it is read by one task with Spark's binary
+source, a block at a time. The rank table is broadcast: it has one entry a
+vocabulary id.
 
 Defined results: a null text is the empty text (only the end id); null ids come
-first; repeated ids stay together, ordered by their tokens. An empty table gives
-no blocks and no rows. Extra columns are ignored.
+first; repeated ids stay together, ordered by a hash of their tokens. An empty
+table gives no blocks and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from textloom.llm.common import materialize, shared_path
+from textloom.llm.common import bound_batches, materialize, release, shared_path
 
-END_ID, BLOCK_TOKENS, MAGIC = 1, 4_000_000, b"TLTOKEN1"
+END_ID, BLOCK_TOKENS, FILE_BLOCKS, MAGIC = 1, 4_000_000, 16, b"TLTOKEN1"
 HEADER = struct.Struct("<8sqqqq")
 #: Words that a worker remembers, and documents that it encodes at once.
 CACHE_WORDS, BATCH_DOCS = 300_000, 4096
@@ -208,6 +210,7 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, end_id: int
         counts = np.stack([seen, total[seen]]).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.binary())], names=["doc_id", "ids", "counts"])
 
+    bound_batches(docs.sparkSession)
     ready = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return ready.mapInArrow(run, "doc_id long, ids binary, counts binary")
 
@@ -244,7 +247,7 @@ def _block(ids: list, counts: list[int], ranks: np.ndarray) -> bytes:
     return header + known + nulls + np.array(counts, dtype="<i8").tobytes() + control + data
 
 
-def write_files(encoded: DataFrame, ranked: np.ndarray, path: str, block_tokens: int = BLOCK_TOKENS) -> None:
+def write_files(encoded: DataFrame, ranked: np.ndarray, path: str, block_tokens: int = BLOCK_TOKENS, file_blocks: int = FILE_BLOCKS) -> None:
     """``ranked``: the ids from rank 0 on."""
     spark = encoded.sparkSession
     rank_of = np.zeros(int(ranked.max(initial=0)) + 1, dtype=np.uint32)
@@ -273,8 +276,10 @@ def write_files(encoded: DataFrame, ranked: np.ndarray, path: str, block_tokens:
             yield flush()
 
     rows = encoded.filter(F.col("counts").isNull()).select("doc_id", "ids")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string")).write.text(f"{path}/tokens")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    ordered = rows.withColumn("hash", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order, "ids").select("doc_id", "ids")
+    lines = ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string"))
+    lines.write.option("maxRecordsPerFile", file_blocks).text(f"{path}/tokens")
     table = spark.createDataFrame(pa.table({"rank": pa.array(range(len(ranked)), pa.int64()), "id": pa.array(ranked, pa.int64())}))
     table.coalesce(1).write.parquet(f"{path}/ranks")
 
@@ -336,19 +341,20 @@ def read_files(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/tokens")
     rows = files.select("path", "content").mapInArrow(run, schema)
     totals = materialize(files.select("path", "content").mapInArrow(count, "file string, tokens long"), "token-totals")  # one row a file
-    order = W.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(W.unboundedPreceding, -1)
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")  # noqa: E731  of the task, and of its file
+    order = W.orderBy(number(r"/part-(\d+)-[^/]*$"), number(r"-c(\d+)\.txt$")).rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(F.col("file").alias("_file"), F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
     joined = rows.join(before, rows["file"] == before["_file"])
     return joined.select("doc_id", (F.col("place") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
-def token_files(docs: DataFrame, path: str, vocab_path: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
+def token_files(docs: DataFrame, path: str, vocab_path: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, file_blocks: int = FILE_BLOCKS) -> None:
     """Encode ``docs`` and write the files under ``path``."""
-    encoded = encode_documents(docs, vocab_path, end_id).persist(StorageLevel.DISK_ONLY)
+    encoded = materialize(encode_documents(docs, vocab_path, end_id), "token-ids")
     counts = count_ids(encoded).toPandas()  # one row a vocabulary id
     ranked = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
-    write_files(encoded, ranked, path, block_tokens)
-    encoded.unpersist()
+    write_files(encoded, ranked, path, block_tokens, file_blocks)
+    release(encoded)
 
 
 def file_round_trip(docs: DataFrame, **options) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import batch_bytes, fold, fold_of
+from textloom.llm.common import bound_batches, fold, fold_of
 from textloom.llm.words import word_hashes
 
 BITS, MOST_ROWS, EPOCHS, SEED = 21, 12_000, 6, "toxic"
@@ -95,6 +95,7 @@ class Ftrl:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most_rows: int, seed: str) -> DataFrame:
     """doc_id, y and text of the bounded sample, one row a document id."""
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y"))
     # Labels of documents that are not here must not fill the bound.
@@ -120,8 +121,7 @@ def learnt(sample: DataFrame, epochs: int, seed: str, learn: Callable[[Iterator[
     each = sample.select(F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), "x", "y", "doc_id")
     order = F.md5(F.concat_ws("|", F.lit(seed), "epoch", "doc_id"))
     each = each.withColumn("order", order).repartition(1).sortWithinPartitions("epoch", "order", "doc_id").select("epoch", "x", "y")
-    with batch_bytes(sample.sparkSession):
-        made = each.mapInArrow(run, "made binary").collect()  # one row, none without a sample
+    made = each.mapInArrow(run, "made binary").collect()  # one row, none without a sample
     return pickle.loads(made[0]["made"]) if made else learn(iter(()))
 
 

@@ -5,13 +5,18 @@ digest to find, for each digest with several payloads of at least ``least_bytes`
 bytes, the one with the smallest page id; the payloads stay where they are. Rows
 then join their digest's original: the original and all single rows become
 ``response`` records, the others ``revisit`` records with fresh headers that
-refer to it and carry no payload.
+refer to it, with its date and address, and carry no payload.
 
 The digest table is written first, so the join is planned by its true size:
 broadcast if small, else sorted and merged, where skewed digests are split. The
 archives are Spark text output (WARC's record separator as line separator), so
-any store works and a lost task is committed once. A file holds at most
-``records_per_file`` records and is read back whole by one task.
+any store works and a lost task is committed once. Records are written in pieces
+of ``PIECE_BYTES``, so a file holds at most ``pieces_per_file`` of those and as
+many longest records; it is read back by one task.
+
+Record ids come from page id, digest and the row's number in ``pages``, so they
+are unique; ``pages`` is read twice and must come in the same partitions both
+times, as files do.
 
 Defined results: null html is an empty payload (always a response); a null url
 leaves the target header out; a null page id leaves its header out, orders after
@@ -22,37 +27,39 @@ An empty table gives no records. Extra columns are ignored.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.common import materialize, shared_path
+from textloom.llm.common import bound_batches, materialize, shared_path
 
-LEAST_BYTES, RECORDS_PER_FILE, DATE = 100, 2000, "1970-01-01T00:00:00Z"
+LEAST_BYTES, PIECE_BYTES, PIECES_PER_FILE = 100, 16 << 20, 16
+SEPARATOR = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit("page"), F.coalesce(page_id.cast("string"), F.lit("")), digest))
+def record_id(row: Column, page_id: Column, digest: Column) -> Column:
+    h = F.md5(F.concat_ws("|", row.cast("string"), F.coalesce(page_id.cast("string"), F.lit("")), digest))
     part = lambda at, n: F.substring(h, at, n)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
 
 
 def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, bytes, digest; and original_id, original_url of revisits."""
+    """row, page_id, url, payload, bytes, digest; and original_row, original_id, original_url of revisits."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace("url", r"[\r\n]", " ").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    headers = rows.filter(F.col("bytes") >= least_bytes).select("digest", "page_id", "url")
-    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
+    headers = rows.filter(F.col("bytes") >= least_bytes).select("digest", "page_id", "row", "url")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url")))
     shared = headers.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("original")).filter("n > 1 and original is not null")
-    shared = shared.select(F.col("digest").alias("_digest"), F.col("original.page_id").alias("original_id"), F.col("original.url").alias("original_url"))
+    shared = shared.select(F.col("digest").alias("_digest"), *[F.col(f"original.{c}").alias(a) for c, a in (("row", "original_row"), ("page_id", "original_id"), ("url", "original_url"))])
     shared = materialize(shared, "warc-originals")
     joined = rows.join(shared, rows["digest"] == shared["_digest"], "left").drop("_digest")
     is_original = F.col("page_id").eqNullSafe(F.col("original_id"))
-    return joined.withColumns({c: F.when(~is_original, F.col(c)) for c in ("original_id", "original_url")})
+    return joined.withColumns({c: F.when(~is_original, F.col(c)) for c in ("original_row", "original_id", "original_url")})
 
 
 def _lines(*lines: Column) -> Column:
@@ -60,8 +67,9 @@ def _lines(*lines: Column) -> Column:
     return F.concat(*[F.coalesce(F.concat(line, F.lit("\r\n")), F.lit("")) for line in lines])
 
 
-def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
-    """One string a record, without the separator after it."""
+def records(resolved: DataFrame, date: str | None = None) -> DataFrame:
+    """One string a record, without the separator after it; ``date`` is the capture's, by default now."""
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("original_id").isNotNull()
     header = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     http = _lines(F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), header("Content-Length", F.col("bytes").cast("string")))
@@ -69,23 +77,43 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
     head = _lines(
         F.lit("WARC/1.1"),
         header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        header("WARC-Record-ID", record_id(F.col("page_id"), F.col("digest"))),
+        header("WARC-Record-ID", record_id(F.col("row"), F.col("page_id"), F.col("digest"))),
         F.lit(f"WARC-Date: {date}"),
         header("WARC-Target-URI", F.col("url")),
         header("WARC-Page-ID", F.col("page_id").cast("string")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(revisit, header("WARC-Refers-To", record_id(F.col("original_id"), F.col("digest")))),
+        F.when(revisit, header("WARC-Refers-To", record_id(F.col("original_row"), F.col("original_id"), F.col("digest")))),
         F.when(revisit, header("WARC-Refers-To-Target-URI", F.col("original_url"))),
+        F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.lit("Content-Type: application/http; msgtype=response"),
         header("Content-Length", F.octet_length("block").cast("string")),
     )
     return resolved.withColumn("block", block).select(F.concat(head, F.lit("\r\n"), F.col("block")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    lines = records(resolve(pages, least_bytes))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+def pieces(lines: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Runs of the records of ``lines``, with separators between, that end at ``piece_bytes`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            waiting, size = [], 0
+            for value in batch.column(0).cast(pa.binary()):
+                waiting.append(value.as_py())
+                size += len(waiting[-1])
+                if size >= piece_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(waiting)], pa.binary())], names=["value"])
+                    waiting, size = [], 0
+            if waiting:
+                yield pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(waiting)], pa.binary())], names=["value"])
+
+    return lines.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, pieces_per_file: int = PIECES_PER_FILE, date: str | None = None) -> None:
+    bound_batches(pages.sparkSession)
+    found = pieces(records(resolve(pages, least_bytes), date))
+    found.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", pieces_per_file).text(path)
 
 
 def parse(content: bytes) -> Iterator[dict]:
