@@ -63,13 +63,6 @@ def release(*frames: DataFrame | None) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def bound_batches(spark: SparkSession, most: int = 64 << 20) -> None:
-    """Let Arrow batches of the session end at ``most`` bytes, where it sets no limit: rows may be very long texts or blocks."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(most))
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from textloom.llm.common import bound_batches, materialize, release, shared_path
+from textloom.llm.common import materialize, release, shared_path
 
 END_ID, BLOCK_TOKENS, FILE_BLOCKS, MAGIC = 1, 4_000_000, 16, b"TLTOKEN1"
 HEADER = struct.Struct("<8sqqqq")
@@ -210,7 +210,6 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, end_id: int
         counts = np.stack([seen, total[seen]]).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.binary())], names=["doc_id", "ids", "counts"])
 
-    bound_batches(docs.sparkSession)
     ready = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return ready.mapInArrow(run, "doc_id long, ids binary, counts binary")
 
