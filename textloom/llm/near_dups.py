@@ -28,6 +28,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from textloom.llm.components import components
 from textloom.llm.words import word_hashes
 
 #: Word counts of a profile; nodes of a bucket, and their words, that are compared at once; words that a worker keeps.
-PROFILE, BLOCK_ROWS, BLOCK_WORDS, KNOWN_WORDS = 512, 128, 200_000, 4_000_000
+PROFILE, BLOCK_ROWS, BLOCK_WORDS, KNOWN_WORDS = 512, 256, 200_000, 8_000_000
 NO_KEY = np.int64(-(2**63))
 #: Words of a text from and to, words of a k-mer, keys.
 CLASSES = ((0, 24, 2, 24), (20, 50, 3, 32), (40, 1 << 31, 5, 64))
@@ -155,11 +156,15 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 class _Known(dict):
-    """Words, keys (one column a class and function) and profile of the texts last met, by node."""
+    """Words, keys (one column a class and function) and profile of the texts last met, by node.
 
-    def __init__(self, classes: tuple, picked: int):
+    A worker keeps one for its later tasks; ``run`` tells the node numbers of
+    different calls apart.
+    """
+
+    def __init__(self, run: str, classes: tuple, picked: int):
         super().__init__()
-        self.classes, self.picked, self.size = classes, picked, 0
+        self.run, self.classes, self.picked, self.size = run, classes, picked, 0
 
     def add(self, node: int, text: str) -> tuple:
         if node not in self:
@@ -184,6 +189,15 @@ class _Known(dict):
         return {"node": [r["node"] for r in rows], "root": np.array([r["root"] for r in rows]), "n": np.array([len(w) for w in words]), "words": words, "keys": np.stack(keys), "profile": np.stack(profile)}
 
 
+_known: list[_Known] = []
+
+
+def known_texts(run: str, classes: tuple, picked: int) -> _Known:
+    if not _known or _known[0].run != run:
+        _known[:] = [_Known(run, classes, picked)]
+    return _known[0]
+
+
 def block_links(key: int, one: dict, two: dict, least: float) -> Iterator[tuple[int, int]]:
     """Similar pairs that join the components of two blocks of a bucket, or of one.
 
@@ -224,8 +238,10 @@ def remaining(live: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picke
     for those of the bucket's largest component with each other.
     """
 
+    call = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(classes, picked)
+        known = known_texts(call, classes, picked)
         for batch in batches:
             found = []
             for key, rows, others in zip(*(batch.column(i) for i in range(3))):
@@ -240,9 +256,10 @@ def remaining(live: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picke
     main = main.select(F.col("key").alias("_key"), F.col("main.root").alias("main"), (F.col("n") > block_rows).alias("large"))
     span = F.floor(F.log(F.greatest("n_words", F.lit(1))) / math.log(1.0001 / least)).cast("int")
     cut = live.join(main, F.col("key") == F.col("_key")).select("key", "node", "root", "n_words", F.when(F.col("large"), span).otherwise(0).alias("span"), (F.col("large") & (F.col("root") == F.col("main"))).alias("main"))
+    cut = materialize(cut, "near-cut")
     sizes = cut.groupBy("key", "span", "main").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n_words") / BLOCK_WORDS)).alias("parts"))
     sizes = sizes.select(F.struct("key", "span", "main").alias("_cut"), "parts")
-    cut = cut.join(sizes, (F.struct("key", "span", "main") == F.col("_cut"))).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.col("parts")))
+    dealt, cut = cut, cut.join(sizes, (F.struct("key", "span", "main") == F.col("_cut"))).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.col("parts")))
     cut = cut.join(texts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
     cut = cut.groupBy("key", "span", "main", "part").agg(F.collect_list(F.struct("node", "root", "text")).alias("rows"))
     cut = materialize(cut, "near-blocks")
@@ -252,7 +269,7 @@ def remaining(live: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picke
     crossed = cut.join(two, (F.col("key") == F.col("_key")) & order).select("key", "rows", "others")
     alone = cut.filter("not main").select("key", "rows", F.lit(None).cast(two.schema["others"].dataType).alias("others"))
     found = materialize(alone.unionByName(crossed).mapInArrow(run, "node long, leader long"), "near-rest")
-    release(cut)
+    release(cut, dealt)
     return found
 
 
