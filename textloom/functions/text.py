@@ -121,9 +121,21 @@ def char_ids(word: Column, size: int = 32, ends: bool = True) -> Column:
     return F.struct(pad(ids, size).alias("ids"), pad(flags, size).alias("flags"), F.size(ids).alias("len"))
 
 
-def canonical_name(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """The name of the first rule whose pattern the lower-cased value contains, else the value."""
+# Patterns of tokenizer names, the first that matches counts.
+TOKENIZER_NAMES = (
+    ("morpheus", "Morpheus"),
+    ("morfessor", "Morfessor"),
+    ("byte", "ByteBPE"),
+    ("^bpe", "BPE"),
+    ("unigram", "Unigram"),
+    ("wordpiece", "WordPiece"),
+    ("turkish-tokenizer|turkishtokenizer", "TurkishTokenizer"),
+)
+
+
+def canonical_name(c: Column, rules: tuple[tuple[str, str], ...] = TOKENIZER_NAMES) -> Column:
+    """The name of the first rule whose pattern matches the value in lower case with hyphens, else the value."""
     out = F.lit(None).cast("string")
     for pattern, name in reversed(rules):
-        out = F.when(F.regexp_like(F.lower(c), F.lit(pattern)), F.lit(name)).otherwise(out)
+        out = F.when(F.regexp_like(F.translate(F.lower(c), "_", "-"), F.lit(pattern)), F.lit(name)).otherwise(out)
     return F.coalesce(out, c)

@@ -18,8 +18,12 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / at_least_one(b)
 
 
-def entropies(counts: DataFrame, by: list[str], alpha: float = 2.5) -> DataFrame:
-    """Shannon and Renyi entropy (bits) and Renyi efficiency of (by, token, n) counts."""
+def entropies(counts: DataFrame, by: list[str], alpha: float = 2.5, vocab_size: int | None = None) -> DataFrame:
+    """Shannon and Renyi entropy (bits) and Renyi efficiency of (by, token, n) counts.
+
+    The efficiency divides by the bits of the types that occur, and with
+    ``vocab_size`` (as ``renyi_efficiency_vocab``) also by those of the vocabulary.
+    """
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
     p = F.col("n") / F.col("total")
     joined = counts.join(total, by) if by else counts.crossJoin(F.broadcast(total))  # one row
@@ -28,7 +32,8 @@ def entropies(counts: DataFrame, by: list[str], alpha: float = 2.5) -> DataFrame
     )
     renyi = F.log2("_power") / (1 - alpha) if abs(alpha - 1) > TINY else F.col("shannon")
     out = sums.withColumn("renyi", renyi)
-    return out.withColumn("renyi_efficiency", F.col("renyi") / F.log2(F.greatest("types", F.lit(2)))).drop("_power")
+    out = out.withColumn("renyi_efficiency", F.col("renyi") / F.log2(F.greatest("types", F.lit(2)))).drop("_power")
+    return out.withColumn("renyi_efficiency_vocab", F.col("renyi") / F.log2(F.lit(max(vocab_size, 2)))) if vocab_size else out
 
 
 def fertility(segmented: DataFrame, by: list[str]) -> DataFrame:
@@ -105,6 +110,38 @@ def inflection_rates(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def boundary_diagnosis(pairs: DataFrame) -> DataFrame:
+    """word, true_cuts, model_cuts, output, shifted: gold and predicted boundaries side by side.
+
+    ``shifted`` says that the model's cuts are the true ones plus one, all of them.
+    """
+    gold, own = S.boundary_set(F.col("gold")), S.boundary_set(F.col("predicted"))
+    text = lambda c: F.array_join(F.transform(c, lambda b: b.cast("string")), ",")
+    shifted = (F.size(gold) > 0) & (F.transform(gold, lambda b: b + 1) == own)
+    return pairs.select("word", text(gold).alias("true_cuts"), text(own).alias("model_cuts"), S.piped(S.from_boundaries(F.col("word"), own)).alias("output"), shifted.alias("shifted"))
+
+
+def tokenizer_bundle(words: DataFrame, vocab: DataFrame, by: str = "name", least_chars: int = 4) -> DataFrame:
+    """The standard metrics of each tokenizer, one row each.
+
+    ``words`` has name, word, freq, segs and gold (the reference pieces) of each
+    distinct word; ``vocab`` name and token. Pieces outside a tokenizer's
+    vocabulary are unknown; boundaries count for words of ``least_chars`` or more.
+    """
+    base = fertility(words, [by]).select(by, "tokens", "fertility", "compression")
+    pieces = words.select(by, F.explode("segs").alias("token"), "freq").groupBy(by, "token").agg(F.sum("freq").alias("n"))
+    known = pieces.join(vocab.select(by, "token", F.lit(1).alias("known")), [by, "token"], "left")
+    unknown = known.groupBy(by).agg(F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("unknown"))
+    entropy = entropies(pieces, [by]).select(by, F.col("shannon").alias("subword_entropy"))
+    both = S.overlaps(S.boundary_set(F.col("gold")), S.boundary_set(F.col("segs")))
+    cells = words.select(by, "freq", F.when(F.length("word") >= least_chars, both).alias("o"))
+    aligned = cells.groupBy(by).agg((100.0 * F.coalesce(F.sum(F.col("o.matched") * F.col("freq")), F.lit(0)) / at_least_one(F.sum(F.col("o.n_gold") * F.col("freq")))).alias("morfem_alignment"))
+    sizes = vocab.groupBy(by).agg(F.count(F.lit(1)).alias("vocab_size"))
+    out = base.join(unknown, by).join(entropy, by).join(aligned, by).join(sizes, by, "left")
+    rate = 100.0 * F.col("unknown") / at_least_one(F.col("tokens"))
+    return out.select(by, "fertility", "compression", "subword_entropy", "morfem_alignment", rate.alias("oov_rate"), (100.0 - rate).alias("vocab_coverage"), F.coalesce("vocab_size", F.lit(0)).alias("vocab_size"), F.col("tokens").alias("n_tokens"))
+
+
 def exactness(rows: DataFrame, by: list[str]) -> DataFrame:
     """Percent of words whose root, number, lengths and pieces equal the gold; (by, gold, predicted)."""
     gold, own = F.col("gold"), F.col("predicted")

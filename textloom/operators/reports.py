@@ -6,6 +6,8 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from textloom.operators.ranking import top_per_group
+
 # Weight of each normalised metric, and those where less is better.
 WEIGHTS = {"fertility": 0.35, "compression": 0.20, "subword_entropy": 0.15, "vocab_coverage": 0.15, "morfem_alignment": 0.10, "oov_rate": 0.03, "encode_ms": 0.02}
 LESS_IS_BETTER = ("fertility", "oov_rate", "encode_ms")
@@ -18,8 +20,60 @@ def merge_runs(runs: dict[str, DataFrame], tag: str = "run") -> DataFrame:
 
 
 def pivot_metric(long: DataFrame, rows: str, columns: str, values: list[str], value: str = "value") -> DataFrame:
-    """First value of each (row, column) cell; ``values`` names the columns, so one pass is enough."""
-    return long.groupBy(rows).pivot(columns, values).agg(F.first(value, ignorenulls=True))
+    """One value of each (row, column) cell; ``values`` names the columns, so one pass is enough.
+
+    Of several values in a cell the smallest is taken, so reruns agree.
+    """
+    return long.groupBy(rows).pivot(columns, values).agg(F.min(value))
+
+
+#: The ablation report's tables: name, category, metric, model (any if None).
+ABLATIONS = (
+    ("coherence", "coherence", "delta", None),
+    ("boundary_f1", "boundary_vs_morfessor", "f1", None),
+    ("fertility", "fertility", "tokens_per_word", "morpheus"),
+    ("agreement", "mas_vs_morfessor", "boundary_agreement_pct", "morpheus"),
+)
+
+
+def ablation_report(merged: DataFrame, strata: list[str], tables: tuple = ABLATIONS) -> dict[str, DataFrame]:
+    """Pivots of the run by the stratum, one a table of ``tables``; ``merged`` has run, category, metric, stratum, model, value."""
+    out = {}
+    for name, category, metric, model in tables:
+        rows = merged.filter((F.col("category") == category) & (F.col("metric") == metric))
+        rows = rows.filter(F.col("model") == model) if model else rows
+        out[name] = pivot_metric(rows, "run", "stratum", strata)
+    return out
+
+
+def stacked(tables: dict[str, DataFrame]) -> DataFrame:
+    """Pivots with the same columns as one table, named by ``report``."""
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("report"), "*") for name, df in tables.items()])
+
+
+def subset(df: DataFrame, name: str, wanted: str | None) -> DataFrame:
+    """The rows whose ``name`` is in a comma list; an empty list or None keeps all."""
+    names = [x.strip() for x in (wanted or "").split(",") if x.strip()]
+    return df.filter(F.col(name).isin(names)) if names else df
+
+
+def named(df: DataFrame, pattern: str, name: str = "name") -> DataFrame:
+    """The rows whose name contains the pattern, such as '32K|32000'."""
+    return df.filter(F.regexp_like(name, F.lit(pattern)))
+
+
+def curves(df: DataFrame, order: str, name: str = "name") -> DataFrame:
+    """``df`` with ``method`` (the name up to its first hyphen) and ``step``, the place in its method by ``order``."""
+    method = F.get(F.split(name, "-"), F.lit(0))
+    step = F.row_number().over(W.partitionBy("method").orderBy(order, name))
+    return df.withColumn("method", method).withColumn("step", step)
+
+
+def inference_rates(df: DataFrame) -> DataFrame:
+    """``df`` (tokens_per_sec, ms_per_token, tokens_per_char) with characters a second and milliseconds a character."""
+    fertility = F.col("tokens_per_char")
+    rate = F.when(fertility > 0, F.col("tokens_per_sec") / fertility)
+    return df.withColumns({"chars_per_sec": rate, "ms_per_char": F.col("ms_per_token") * fertility})
 
 
 def unpivot(wide: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
@@ -51,6 +105,11 @@ def leaderboard(df: DataFrame, metric: str, name: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.orderBy(F.desc(metric), name)))
 
 
+def best_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    return top_per_group(df, group, order, n).drop("rank")
+
+
 def in_order(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """``df`` with ``place`` in a caller's list; unknown names come last."""
     at = F.array_position(F.array(*map(F.lit, order)), F.col(name))
@@ -84,6 +143,11 @@ def schedule(step: Column, start: float, decay: float, end: float) -> Column:
     return F.greatest(F.lit(end), F.lit(start) * F.pow(F.lit(decay), F.greatest(step - 1, F.lit(0))))
 
 
+def winner(df: DataFrame, name: str = "name", weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The row with the highest weighted score, ties by name."""
+    return weighted_ranking(df, weights).orderBy(F.desc("weighted_score"), name).limit(1)
+
+
 def wide_segments(long: DataFrame, models: list[str]) -> DataFrame:
     """word with one column of pieces and one of their number a model."""
     return long.groupBy("word").pivot("model", models).agg(F.first("seg").alias("seg"), F.first("n").alias("n"))

@@ -42,6 +42,12 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     return found.select("query", "rank", "id", "sim")
 
 
+def neighbour_purity(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+    """n and share: of the ``k`` nearest of each query, how many have its label."""
+    found = nearest(queries, rows, k).join(rows.select("id", "label"), "id").join(queries.select(F.col("id").alias("query"), F.col("label").alias("query_label")), "query")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("query_label")).cast("int")).alias("share"))
+
+
 def side_by_side(one: DataFrame, two: DataFrame) -> DataFrame:
     """Two neighbour lists by query and rank; missing neighbours are empty."""
     a, b = (x.select("query", "rank", F.col("id").alias(f"{n}_id"), F.col("sim").alias(f"{n}_sim")) for x, n in ((one, "one"), (two, "two")))
@@ -96,6 +102,16 @@ def same_label_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, "label").filter(F.col("one") < F.col("other")).select("one", "other", "label")
 
 
+def batch_positives(rows: DataFrame) -> DataFrame:
+    """one, other: ordered pairs of a training batch's rows (batch, id, root) with the same known root.
+
+    Batches have a fixed size, which bounds the pairs of a row.
+    """
+    a = rows.filter("root > 0").select("batch", "root", F.col("id").alias("one"))
+    b = rows.filter("root > 0").select("batch", "root", F.col("id").alias("other"))
+    return a.join(b, ["batch", "root"]).filter(F.col("one") != F.col("other")).select("one", "other")
+
+
 def coherence(rows: DataFrame, least: int = 2) -> DataFrame:
     """Mean cosine inside labels (mean of label means), between labels, and the difference.
 

@@ -120,6 +120,22 @@ def token_blocks(stream: DataFrame, size: int) -> DataFrame:
     return stream.select("*", F.floor(F.col("pos") / size).alias("block"), (F.col("pos") % size).alias("offset"), F.lead("id").over(order).alias("target"))
 
 
+def chunk_stats(chunks: DataFrame, root_length: int = 3, word_vocab: int = 0, root_vocab: int = 0) -> DataFrame:
+    """n_sentences, n_words, words a sentence, characters and pieces a word of :func:`sentence_chunks`, in one row."""
+    sums = chunks.select(F.size("words").alias("n"), F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w)).alias("chars"), F.aggregate("words", F.lit(0), lambda s, w: s + F.ceil(F.length(w) / root_length).cast("int")).alias("pieces"))
+    out = sums.agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_words"), F.sum("chars").alias("chars"), F.sum("pieces").alias("pieces"))
+    mean = lambda a, b: (F.col(a) / F.greatest(b, F.lit(1))).cast("double")
+    return out.select(
+        "n_sentences", "n_words", mean("n_words", F.col("n_sentences")).alias("words_per_sentence"), mean("chars", F.col("n_words")).alias("word_length"),
+        mean("pieces", F.col("n_words")).alias("pieces_per_word"), F.lit(word_vocab).cast("long").alias("word_vocab"), F.lit(root_vocab).cast("long").alias("root_vocab"),
+    )
+
+
+def segment_characters(segmented: DataFrame) -> DataFrame:
+    """ch: the distinct characters of all pieces (column ``segs``)."""
+    return segmented.select(F.explode("segs").alias("seg")).distinct().select(F.explode(characters(F.col("seg"))).alias("ch")).distinct()
+
+
 def context_pairs(words: DataFrame, window: int = 2) -> DataFrame:
     """doc_id, word, context within ``window`` places: the in-row form of the band join."""
     grouped = words.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))

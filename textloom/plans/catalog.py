@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import corpus_queries, metric_queries, vector_queries, vocab_queries  # noqa: F401
+from textloom.plans import adapter_queries, corpus_queries, metric_queries, vector_queries, vocab_queries  # noqa: F401
 from textloom.plans.registry import QUERIES, SQL, Query
 
 

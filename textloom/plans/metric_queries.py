@@ -95,23 +95,6 @@ def qualitative_exactness(spark, sf_dir):
     return metrics.exactness(_pairs(spark, sf_dir), ["stratum"])
 
 
-_DECODED = "CASE WHEN length(word) > 12 THEN left(word, 12) ELSE word END"
-
-
-@query(f"""WITH {P.WORDS}, {P.COUNTS}, {_PAIRS} SELECT stratum, count(*) AS n, count(*) FILTER (WHERE length(word) <= 12) / greatest(count(*), 1) AS accuracy,
-  100.0::DOUBLE * count(*) FILTER (WHERE length(word) > 12) / greatest(count(*), 1) AS fail_percent FROM pairs GROUP BY stratum""")
-def roundtrip_rate(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("stratum", "word", F.array_join(F.slice("predicted", 1, 4), "").alias("decoded"))
-    return metrics.round_trips(rows, ["stratum"])
-
-
-@query(f"""WITH {P.WORDS}, {P.COUNTS}, {_PAIRS} SELECT stratum, word, {_DECODED} AS decoded FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY word) AS r FROM pairs WHERE length(word) > 12) WHERE r <= 200""")
-def roundtrip_failures(spark, sf_dir):
-    """The first 200 failures a stratum, the report's own limit."""
-    rows = _pairs(spark, sf_dir).select("stratum", "word", F.array_join(F.slice("predicted", 1, 4), "").alias("decoded"))
-    return metrics.failures(rows, ["stratum"])
-
-
 @query(f"""WITH {P.WORDS}, {P.COUNTS}, {_ROOTS}, lex AS (SELECT root AS word FROM roots UNION SELECT suffix FROM sfx),
 flags AS (SELECT word, word IN (SELECT word FROM lex) AS pure, word IN (SELECT word FROM lex) OR word IN (SELECT word FROM splits) AS valid FROM counts),
 t AS (SELECT lang, word, count(*) AS n FROM words JOIN documents USING (doc_id) GROUP BY ALL)

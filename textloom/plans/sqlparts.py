@@ -33,7 +33,7 @@ LINES = r"""lines AS (
     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
   WHERE line <> '')"""
 
-COUNTS = "counts AS (SELECT word, count(*) AS freq FROM words GROUP BY word)"
+COUNTS = "counts AS MATERIALIZED (SELECT word, count(*) AS freq FROM words GROUP BY word)"
 
 
 def every(c: str, n: int) -> str:

@@ -54,12 +54,12 @@ def encode_words(spark, sf_dir):
 def _token_vocab(counts):
     best = vocab.top_words(counts, 2000).select(F.concat(F.lit(X.MARKER), F.col("word")).alias("segment"), "freq")
     chars = [*X.LETTERS, *[X.MARKER + c for c in X.LETTERS]]
-    return vocab.token_vocab(best, chars, [], 1500)
+    return vocab.token_vocab(best, chars, SUFFIXES, 1500)
 
 
 _CHARS = "string_split('abcçdefgğhıijklmnoöprsştuüvyz', '')"
-_TOKENS = f"""fixed AS (SELECT unnest(list_concat(['<UNK>', '<BOS>', '<EOS>', '<PAD>', '<MASK>'], {_CHARS}, list_transform({_CHARS}, lambda c: '▁' || c))) AS token, generate_subscripts(range(63), 1) - 1 AS id),
-tokens AS (SELECT * FROM fixed UNION ALL SELECT token, 62 + row_number() OVER (ORDER BY freq DESC, token) AS id FROM (
+_TOKENS = f"""fixed AS (SELECT unnest(list_concat(['<UNK>', '<BOS>', '<EOS>', '<PAD>', '<MASK>'], {_CHARS}, list_transform({_CHARS}, lambda c: '▁' || c), list_filter({_LIST}, lambda s: s <> 's'))) AS token, generate_subscripts(range(70), 1) - 1 AS id),
+tokens AS (SELECT * FROM fixed UNION ALL SELECT token, 69 + row_number() OVER (ORDER BY freq DESC, token) AS id FROM (
   SELECT '▁' || word AS token, freq FROM top WHERE '▁' || word NOT IN (SELECT token FROM fixed)) QUALIFY id < 1500),
 pieces AS (SELECT doc_id, pos, 0 AS sub, '▁' || word AS token, tokens.id FROM words LEFT JOIN tokens ON tokens.token = '▁' || word),
 spelled AS (SELECT doc_id, pos, sub, CASE WHEN sub = 0 THEN '▁' ELSE '' END || ch AS token FROM (

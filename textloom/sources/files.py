@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions.text import split_words, tr_lower
+from textloom.sources.scratch import hadoop_path
 
 # Features that name a category rather than a suffix.
 STRUCTURAL = ["V", "N", "ADJ", "ADV", "PRO", "DECL", "IND", "INTR", "POS", "NEG", "LGSPEC01", "LGSPEC02", "LGSPEC03", "LGSPEC04"]
@@ -19,9 +20,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_articles(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Articles (a Parquet column ``text``) as lines: article, line_no, line."""
-    articles = spark.read.schema("text string").parquet(path).withColumn("article", F.xxhash64("text"))
-    articles = articles.orderBy("article").limit(limit) if limit else articles
+    """Articles (a Parquet column ``text``) as lines: article (its number, also of equal texts), line_no, line."""
+    articles = spark.read.schema("text string").parquet(path).withColumn("article", F.monotonically_increasing_id())
+    articles = articles.orderBy("article").limit(limit) if limit else articles  # the first ones, in file order
     return articles.select("article", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
@@ -91,14 +92,45 @@ def nearest_size(candidates: DataFrame, preferred: int) -> DataFrame:
     return candidates.groupBy("kind").agg(F.min_by("path", F.struct(F.abs(F.col("size") - preferred), "path")).alias("path"))
 
 
+def files_of(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, name, size, modified of matching files; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def preferred_file(files: DataFrame, preferred: list[str]) -> DataFrame:
+    """path of the first of the preferred names that is there, else of the newest file; no row without files."""
+    at = F.array_position(F.array(*map(F.lit, preferred)).cast("array<string>"), F.col("name"))
+    place = F.when(at > 0, at).otherwise(len(preferred) + 1)
+    return files.orderBy(place, F.desc("modified"), "path").limit(1).select("path")
+
+
+def ingest_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Copy a text file or folder, unless the target already has as many bytes; whether it was copied."""
+    (one, files_of_one), (two, files_of_two) = hadoop_path(spark, source), hadoop_path(spark, target)
+    size = files_of_one.getContentSummary(one).getLength()
+    if files_of_two.exists(two) and files_of_two.getContentSummary(two).getLength() == size:
+        return False
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(files_of_one, one, files_of_two, two, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+    return True
+
+
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
     df.select(F.col(column).cast("string")).write.mode(mode).text(path)
 
 
-def write_token_lines(encoded: DataFrame, path: str) -> None:
-    """One line of blank-separated ids a document, from doc_id, pos, sub, id rows."""
+def write_token_lines(encoded: DataFrame, path: str) -> DataFrame:
+    """One line of blank-separated ids a document, in ascending doc_id, from doc_id, pos, sub, id rows.
+
+    Lines follow the order of the part files. Returns documents, tokens and
+    distinct ids of what was written, in one row.
+    """
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "id"))), lambda x: x["id"].cast("string"))
-    encoded.groupBy("doc_id").agg(F.array_join(ids, " ").alias("value")).select("value").write.text(path)
+    lines = encoded.groupBy("doc_id").agg(F.array_join(ids, " ").alias("value"))
+    lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    found = encoded.sparkSession.read.text(path).select(F.split("value", " ").alias("ids"))
+    counts = found.select(F.explode("ids").alias("id")).filter("id <> ''").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct_ids")).crossJoin(found.agg(F.count(F.lit(1)).alias("documents")))  # one row each
 
 
 def write_once(df: DataFrame, path: str) -> None:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions.text import line_key
 from textloom.operators.corpus import LineRules, clean_lines, document_lines
+from textloom.sources.scratch import hadoop_path, shared_path
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -45,14 +44,52 @@ def event_windows(events: DataFrame, window: str = "1 day", delay: str = "1 day"
     return counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding_windows(events: DataFrame, window: str = "1 day", slide: str = "6 hours", delay: str = "1 day") -> DataFrame:
+    """As :func:`event_windows`, for overlapping windows."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    counts = timed.groupBy(F.window("ts", window, slide), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, user: str = "user_id", gap: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """user, start, end, n: each user's runs of events that are less than ``gap`` apart."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    counts = timed.groupBy(user, F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
 def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything available now, as a batch DataFrame."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Everything available now, as a batch DataFrame over files in the shared folder.
+
+    Each batch is a folder that a repeated batch replaces; in complete mode the
+    last batch is the whole result.
+    """
+    return _ran(stream, mode, checkpoint)[0]
+
+
+def _ran(stream: DataFrame, mode: str, checkpoint: str | None) -> tuple[DataFrame, list]:
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else batch_id}")
+
+    writer = stream.writeStream.foreachBatch(add).outputMode(mode).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or shared_path(spark, "stream-state")).start()
+    query.awaitTermination()
+    folder, files = hadoop_path(spark, path)
+    found = spark.read.schema(stream.schema).parquet(f"{path}/batch=*") if files.exists(folder) else spark.createDataFrame([], stream.schema)
+    return found, query.recentProgress
+
+
+def kept_lines_with_progress(docs: DataFrame, rules: LineRules = LineRules(), checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cleaned lines of a stream, and batch, lines_in, kept, keep_rate of each micro-batch, observed on the way."""
+    lines = clean_lines(document_lines(docs), rules)
+    lines = lines.observe("progress", F.count(F.lit(1)).alias("lines_in"), F.count_if(F.col("reason").isNull()).alias("kept"))
+    found, progress = _ran(lines.filter("reason is null").drop("reason"), "append", checkpoint)
+    rows = [(p["batchId"], int(p["observedMetrics"]["progress"]["lines_in"]), int(p["observedMetrics"]["progress"]["kept"])) for p in progress if "progress" in p["observedMetrics"]]
+    counts = docs.sparkSession.createDataFrame(rows, "batch long, lines_in long, kept long")
+    return found, counts.withColumn("keep_rate", 100.0 * F.col("kept") / F.greatest("lines_in", F.lit(1)))
 
 
 def merge_counts(stream: DataFrame, path: str, checkpoint: str, key: str = "word") -> None:
