@@ -1,62 +1,131 @@
 """Learned segmenters over distinct words, and simple classifiers.
 
 Learners see (word, freq) tables, never running text. Merge learning keeps one
-row a distinct word and counts pairs in a distributed aggregation; only the best
-pair of a round, one row, reaches the driver.
+row a distinct word and counts pairs in a distributed aggregation; only the most
+frequent pairs of a round, a bounded list, reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.text import characters
+from textloom.sources.scratch import hadoop_path, shared_path
 
 
-def learn_merges(counts: DataFrame, merges: int, save_every: int = 20, folder: str | None = None) -> tuple[list[tuple[str, str]], DataFrame]:
-    """The first ``merges`` BPE merges of (word, freq), and word, freq, segs after them.
+#: Most frequent pairs that are looked at in one round.
+ROUND_PAIRS = 1000
+
 
-    Ties go to the smaller pair. Every ``save_every`` rounds the table is
-    checkpointed (to ``folder`` as Parquet if given), which bounds its lineage.
+def safe_merges(pairs: list[tuple[str, str, int]], symbols: set[str], most: int, join: Callable[[str, str], str]) -> list[tuple[str, str]]:
+    """How many of the most frequent pairs (a, b, n), in order, merge at once as they would one after another.
+
+    A merge changes only counts of pairs that share a symbol with it, and makes
+    pairs no more frequent than those were. So the next pair follows as long as
+    no pair as frequent or more shares a symbol with the merges before it. A merge
+    that makes a known symbol ends the round.
     """
-    state = counts.select("word", "freq", characters(F.col("word")).alias("segs"))
+    out: list[tuple[str, str]] = []
+    dirty: set[str] = set()
+    for at, (a, b, n) in enumerate(pairs):
+        tied = [p for p in pairs[at:] if p[2] == n]
+        cut = len(pairs) == ROUND_PAIRS and pairs[-1][2] == n
+        if out and (cut or any({x, y} & dirty for x, y, _ in tied)):
+            break
+        out.append((a, b))
+        dirty |= {a, b}
+        if len(out) == most or join(a, b) in symbols:
+            break
+        symbols.add(join(a, b))
+    return out
+
+
+def _learn(state: DataFrame, merges: int, join: Callable[[str, str], str], least: int = 1) -> tuple[list[tuple[str, str]], DataFrame]:
+    """Merges of (word, freq, segs), and the table after them; the table is written once a round."""
+    spark = state.sparkSession
+    state = _saved(state, "merges")
+    symbols = {r[0] for r in bounded(state.select(F.explode("segs")).distinct())}
     found: list[tuple[str, str]] = []
-    before: DataFrame | None = None
-    for done in range(merges):
+    while len(found) < merges:
         inner = F.greatest(F.size("segs") - 1, F.lit(0))
         both = F.zip_with(F.slice("segs", F.lit(1), inner), F.slice("segs", F.lit(2), inner), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        pairs = state.select("freq", F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"))
-        best = pairs.orderBy(F.desc("n"), "a", "b").limit(1).collect()
-        if not best or best[0]["n"] < 1:
+        pairs = state.select("freq", F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.sum("freq").alias("n")).filter(F.col("n") >= least)
+        best = [(r["a"], r["b"], r["n"]) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(ROUND_PAIRS).collect()]
+        some = safe_merges(best, symbols, merges - len(found), join)
+        if not some:
             break
-        a, b = best[0]["a"], best[0]["b"]
-        found.append((a, b))
-        # Each round's table is kept until the next is made, so expressions do not nest.
-        stale, before, state = before, state, state.withColumn("segs", merged(F.col("segs"), a, b)).persist()
-        if stale is not None:
-            stale.unpersist()
-        if (done + 1) % save_every == 0:
-            if folder:
-                state.write.mode("overwrite").parquet(f"{folder}/merges-{done + 1}")
-                state = state.sparkSession.read.parquet(f"{folder}/merges-{done + 1}")
-            elif state.sparkSession.sparkContext.getCheckpointDir():
-                state = state.checkpoint()
+        found += some
+        wanted = {p: join(*p) for p in some}
+
+        def run(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(segs=[merged(list(s), wanted) for s in batch["segs"]])
+
+        before, state = state, _saved(state.mapInPandas(run, state.schema), "merges")
+        folder, files = hadoop_path(spark, before._path)
+        files.delete(folder, True)
     return found, state
 
 
-def merged(segs: Column, a: str, b: str) -> Column:
-    """``segs`` with each adjacent (a, b), from the left, joined."""
-    blank = F.array().cast("array<string>")
+def _saved(df: DataFrame, tag: str) -> DataFrame:
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def merged(segs: list[str], wanted: dict[tuple[str, str], str]) -> list[str]:
+    """``segs`` with each adjacent wanted pair, from the left, joined."""
+    out, at = [], 0
+    while at < len(segs):
+        whole = wanted.get(tuple(segs[at : at + 2]))
+        out.append(segs[at] if whole is None else whole)
+        at += 1 if whole is None else 2
+    return out
+
+
+def learn_merges(counts: DataFrame, merges: int) -> tuple[list[tuple[str, str]], DataFrame]:
+    """The first ``merges`` BPE merges of (word, freq), and word, freq, segs after them.
+
+    Ties go to the smaller pair. Several merges that cannot affect each other are
+    made in one round; the result is that of one at a time.
+    """
+    return _learn(counts.select("word", "freq", characters(F.col("word")).alias("segs")), merges, str.__add__)
+
+
+def plain_words(counts: DataFrame) -> DataFrame:
+    """word, freq in canonical decomposition and lower case, without accents; counts of equal ones summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = ["".join(c for c in unicodedata.normalize("NFD", unicodedata.normalize("NFD", w).lower()) if unicodedata.category(c) != "Mn") for w in batch["word"]]
+            yield batch.assign(word=words)
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(last, s)))
-        return F.when((F.size(out) > 0) & (last == a) & (s == b), joined).otherwise(F.concat(out, F.array(s)))
+    plain = counts.select("word", "freq").mapInPandas(run, "word string, freq long")
+    return plain.filter("word <> ''").groupBy("word").agg(F.sum("freq").alias("freq"))
 
-    return F.when(F.array_contains(segs, a) & F.array_contains(segs, b), F.aggregate(segs, blank, step)).otherwise(segs)
+
+def learn_wordpiece(counts: DataFrame, size: int, least: int = 2, marker: str = "##") -> DataFrame:
+    """token, id of a WordPiece vocabulary: the unknown token, characters, then merges, up to ``size``.
+
+    Words are :func:`plain_words`; pieces inside a word carry ``marker``; pairs
+    under ``least`` are not merged. :func:`longest_match` encodes with it.
+    """
+    words = plain_words(counts)
+    chars = characters(F.col("word"))
+    segs = F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(marker), c)))
+    state = words.select("word", "freq", segs.alias("segs"))
+    first = sorted(r[0] for r in bounded(state.select(F.explode("segs")).distinct()))
+    tokens = ["[UNK]", *first]
+    merges, _ = _learn(state, max(0, size - len(tokens)), lambda a, b: a + b.removeprefix(marker), least)
+    tokens = list(dict.fromkeys([*tokens, *(a + b.removeprefix(marker) for a, b in merges)]))[:size]
+    return counts.sparkSession.createDataFrame(list(enumerate(tokens)), "id int, token string").select("token", "id")
 
 
 def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
@@ -103,15 +172,27 @@ def segment_words(words: DataFrame, segment: Callable[[str], list[str]], cache:
     return words.select("word").distinct().mapInPandas(run, "word string, segs array<string>, failed boolean")
 
 
+#: Entries of a vocabulary or lexicon that is broadcast.
+MOST_ENTRIES = 2_000_000
+
+
+def bounded(entries: DataFrame, most: int = MOST_ENTRIES) -> list:
+    """The rows of a vocabulary on the driver; an error if there are more than ``most``."""
+    found = entries.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} entries")
+    return found
+
+
 def longest_match(pieces: DataFrame, words: DataFrame, marker: str = "##", longest: int = 30) -> DataFrame:
     """word, segs by greedy longest match; a word with a gap is ['[UNK]'].
 
     ``pieces`` has token (inner ones with ``marker``), a bounded vocabulary.
     """
-    known = frozenset(r["token"] for r in pieces.select("token").distinct().collect())  # a vocabulary
+    shared = words.sparkSession.sparkContext.broadcast(frozenset(r["token"] for r in bounded(pieces.select("token").distinct())))
 
     def segment(word: str) -> list[str]:
-        out, at = [], 0
+        known, out, at = shared.value, [], 0
         while at < len(word):
             for end in range(min(len(word), at + longest), at, -1):
                 piece = (marker if at else "") + word[at:end]
@@ -137,10 +218,10 @@ def cheapest_path(costs: DataFrame, words: DataFrame, unknown: float = 20.0, lon
 
     Ties go to the longer last piece. ``costs`` is a bounded lexicon.
     """
-    cost = {r["token"]: r["cost"] for r in costs.select("token", "cost").collect()}  # a lexicon
+    shared = words.sparkSession.sparkContext.broadcast({r["token"]: r["cost"] for r in bounded(costs.select("token", "cost"))})
 
     def segment(word: str) -> list[str]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
+        cost, best = shared.value, [(0.0, 0)]
         for end in range(1, len(word) + 1):
             options = []
             for start in range(max(0, end - longest), end):
@@ -189,7 +270,7 @@ def linear_probe(rows: DataFrame, label: str, vector: str, fold: str = "fold", b
         sizes = data.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
         data = data.join(F.broadcast(sizes), "label")  # one row a class
         weight = 1.0 / F.col("_n")
-    data = data.withColumn("weight", weight).select("label", "features", fold, "weight").persist()
+    data = data.withColumn("weight", weight).select("label", "features", fold, "weight")
     out = None
     for k in sorted(r[0] for r in data.select(fold).distinct().collect()):  # a handful of folds
         model = LogisticRegression(maxIter=50, regParam=0.01, weightCol="weight").fit(data.filter(F.col(fold) != k))
@@ -212,5 +293,3 @@ def masked_positions(words: DataFrame, keys: list[str], percent: int = 20, seed:
     """``words`` with ``masked``: a seeded share of the positions."""
     return words.withColumn("masked", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(100)) < percent)
 
-
-SEGMENTS = T.ArrayType(T.StringType())

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def hashed_rank(df: DataFrame, key: Column, ties: list[str], digits: int = 3) -> DataFrame:
-    """``df`` with ``position`` (1, 2, ...) in the order of the md5 of ``key``, then ``ties``.
+#: Rows that a range of hashes should hold.
+RANGE_ROWS = 250_000
+
+
+def hashed_rank(df: DataFrame, key: Column, ties: list[str], by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """``df`` with ``position`` (1, 2, ... in each group of ``by``) in the order of the md5 of ``key``, then ``ties``.
 
     md5 is uniform, so its first digits part the rows into 16 ** digits even
     ranges: rows are ranked within a range (a window partition each) and ranges
-    are offset by their counts, a table of 4096 rows.
+    are offset by their counts. The number of digits follows the number of rows.
     """
+    by = by or []
+    if digits is None:
+        digits = max(1, min(6, math.ceil(math.log(max(1, df.count() / RANGE_ROWS), 16))))
     df = df.withColumn("_h", F.md5(key)).withColumn("_part", F.substring("_h", 1, digits))
-    order = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    counts = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy("_h", *ties))
-    ranked = df.withColumn("_own", own).join(F.broadcast(before), "_part")  # at most 4096 rows
-    return ranked.withColumn("position", F.col("_own") + F.col("_before")).drop("_h", "_part", "_own", "_before")
+    order = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = df.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.struct(*by, "_part").alias("_range"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*by, "_part").orderBy("_h", *ties))
+    ranked = df.withColumn("_own", own).join(before, F.struct(*by, "_part").eqNullSafe(F.col("_range")))
+    return ranked.withColumn("position", F.col("_own") + F.col("_before")).drop("_h", "_part", "_own", "_before", "_range")
 
 
 def seeded(seed: int, *keys: str) -> Column:
@@ -38,9 +47,9 @@ def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> Dat
 
 
 def stratified_folds(df: DataFrame, label: str, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold``: labels dealt evenly in seeded order."""
-    order = W.partitionBy(label).orderBy(F.md5(seeded(seed, *keys)), *keys)
-    return df.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    """``df`` with ``fold``: labels dealt evenly in seeded order; a frequent label is many ranges."""
+    ranked = hashed_rank(df, seeded(seed, *keys), keys, [label])
+    return ranked.withColumn("fold", ((F.col("position") - 1) % k).cast("int")).drop("position")
 
 
 def batches(df: DataFrame, keys: list[str], size: int, seed: int = 42, drop_last: bool = True) -> DataFrame:

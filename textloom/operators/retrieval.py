@@ -13,6 +13,8 @@ from textloom.functions import vectors as V
 
 #: Most bytes of queries that are broadcast at once.
 BROADCAST_BYTES = 64 << 20
+#: Ranges of similarity to a unit of cosine.
+RANGES = 2048
 
 
 def unit_vectors(df: DataFrame, id: str, vector: str, label: str) -> DataFrame:
@@ -20,18 +22,23 @@ def unit_vectors(df: DataFrame, id: str, vector: str, label: str) -> DataFrame:
     return df.filter(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(label).alias("label"), V.unit(V.doubles(F.col(vector))).alias("unit"))
 
 
+def meet(asked: DataFrame, rows: DataFrame, key: str, size: Column) -> DataFrame:
+    """Each row with each query of ``asked``: broadcast, or dealt to blocks where its bytes (``size``) are too many.
+
+    ``asked`` and ``rows`` have no column in common.
+    """
+    total = asked.agg(F.sum(size)).first()[0] or 0
+    if total <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(asked), F.lit(True))
+    blocks = -(-int(total) // BROADCAST_BYTES)
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+
+
 def similarities(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """query, query_label, id, label, sim of each query with each other row."""
     asked = queries.select(F.col("id").alias("query"), F.col("label").alias("query_label"), F.col("unit").alias("query_unit"))
-    size = asked.agg(F.sum(F.size("query_unit") * 8 + 16)).first()[0] or 0
-    small = size <= BROADCAST_BYTES
-    if not small:  # deal rows and queries to blocks: each row meets each block of queries
-        blocks = -(-size // BROADCAST_BYTES)
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        both = rows.join(asked, "block")
-    else:
-        both = rows.join(F.broadcast(asked), F.lit(True))
+    both = meet(asked, rows, "query", F.size("query_unit") * 8 + 16)
     return both.filter(F.col("query") != F.col("id")).select("query", "query_label", "id", "label", V.dot(F.col("query_unit"), F.col("unit")).alias("sim"))
 
 
@@ -59,11 +66,17 @@ def retrieval_metrics(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFr
 
     Queries without a relevant row add nothing but count in every mean but purity.
     """
-    order = W.partitionBy("query").orderBy(F.desc("sim"), "id")
-    relevant = (F.col("label") == F.col("query_label")).cast("int")
-    ranked = similarities(queries, rows).withColumns({"rank": F.row_number().over(order), "rel": relevant})
-    running = ranked.withColumn("hits", F.sum("rel").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    running = running.withColumn("n_rel", F.sum("rel").over(W.partitionBy("query")))
+    # Similarities are parted into ranges; ranks and hits within one are offset by
+    # those of the ranges before, so no task sorts all rows of a query.
+    relevant = F.coalesce(F.col("label") == F.col("query_label"), F.lit(False)).cast("int")
+    sims = similarities(queries, rows).withColumns({"rel": relevant, "range": F.floor((1 - F.col("sim")) * RANGES).cast("int")})
+    counts = sims.groupBy("query", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("rel").alias("r"))
+    down = W.partitionBy("query").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offset = lambda c, name: F.coalesce(F.sum(c).over(down), F.lit(0)).alias(name)
+    before = counts.select("query", "range", offset("n", "_n"), offset("r", "_r"), F.sum("r").over(W.partitionBy("query")).alias("n_rel"))
+    order = W.partitionBy("query", "range").orderBy(F.desc("sim"), "id")
+    own = sims.withColumns({"_rank": F.row_number().over(order), "_hits": F.sum("rel").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    running = own.join(before, ["query", "range"]).withColumns({"rank": F.col("_rank") + F.col("_n"), "hits": F.col("_hits") + F.col("_r")})
     within = lambda n: F.sum(F.when(F.col("rank") <= n, F.col("rel")).otherwise(0))
     n_rel = F.first("n_rel")
     each = running.groupBy("query").agg(
@@ -158,7 +171,7 @@ def analogy_accuracy(analogies: DataFrame, rows: DataFrame, k: int = 10) -> Data
     target = V.unit(V.offset(F.col("a_unit"), F.col("a2_unit"), F.col("b_unit")))
     asked = named.select("a", "a2", "b", "b2", target.alias("target"), F.col("b2_unit"))
     asked = asked.withColumn("gold", V.dot(F.col("target"), F.col("b2_unit"))).drop("b2_unit")
-    both = rows.join(F.broadcast(asked), ~F.col("id").isin(F.col("a"), F.col("a2"), F.col("b")))
+    both = meet(asked, rows.select("id", "unit"), "a", F.size("target") * 8 + 64).filter(~F.col("id").isin(F.col("a"), F.col("a2"), F.col("b")))
     nearer = F.count_if(V.dot(F.col("unit"), F.col("target")) > F.col("gold")).alias("nearer")
     ranks = both.groupBy("a", "a2", "b", "b2").agg(nearer).withColumn("rank", F.col("nearer") + 1)
     return ranks.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("rank") <= k).cast("int")).alias("accuracy"), F.avg("rank").alias("mean_rank"))
@@ -172,12 +185,13 @@ def mean_pool(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     return means.groupBy(*by).agg(vectors.alias("mean"))
 
 
-def negative_pairs(rows: DataFrame, n: int, buckets: int = 64) -> DataFrame:
-    """Up to ``n`` hash-chosen pairs with different labels, within hash buckets."""
+def negative_pairs(rows: DataFrame, n: int, bucket_rows: int = 10_000) -> DataFrame:
+    """Up to ``n`` hash-chosen pairs with different labels, within hash buckets of about ``bucket_rows`` rows."""
+    buckets = max(1, rows.count() // bucket_rows)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     order = W.partitionBy("bucket").orderBy(F.md5(F.col("id").cast("string")), "id")
     ahead = F.array(*[F.struct(F.lead("id", j).over(order).alias("id"), F.lead("label", j).over(order).alias("label")) for j in range(1, 9)])
-    met = dealt.select("id", "label", F.explode(ahead).alias("o")).filter(F.col("o.id").isNotNull() & (F.col("label") != F.col("o.label")))
+    met = dealt.withColumn("ahead", ahead).select("id", "label", F.explode("ahead").alias("o")).filter(F.col("o.id").isNotNull() & (F.col("label") != F.col("o.label")))
     chosen = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("o.id").cast("string")))
     return met.select(F.col("id").alias("one"), F.col("o.id").alias("other"), chosen.alias("_h")).orderBy("_h").limit(n).drop("_h")
 

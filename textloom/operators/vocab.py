@@ -76,6 +76,18 @@ def encode_with_chars(tokens: DataFrame, vocab: DataFrame, unk: int = 0) -> Data
     return whole.unionByName(spelled.select("doc_id", "pos", "sub", "token", "id"))
 
 
+def encode_distinct(words: DataFrame, vocab: DataFrame, unk: int = 0) -> DataFrame:
+    """word, ids of each distinct word: its token's id, else its characters' ids, else unknown.
+
+    The first column of ``words`` is looked at once a distinct word, so running
+    text joins the result once, whatever its length.
+    """
+    marked = words.select("word").distinct().select(F.col("word").alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit(MARKER), F.col("word")).alias("token"))
+    spelled = encode_with_chars(marked, vocab, unk)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("sub", "id"))), lambda x: x["id"])
+    return spelled.groupBy(F.col("doc_id").alias("word")).agg(ids.alias("ids"))
+
+
 def decode_tokens(encoded: DataFrame, vocab: DataFrame, skip: list[int]) -> DataFrame:
     """doc_id, text: tokens of the ids in order, marker as blank, ``skip`` ids left out."""
     kept = encoded.filter(~F.col("id").isin(skip)) if skip else encoded

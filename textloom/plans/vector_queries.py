@@ -81,14 +81,11 @@ def pair_features(spark, sf_dir):
     return made.select("vec_id", F.size("f").cast("long").alias("size"), F.round(part(2), 6).alias("distance"), F.round(part(3), 6).alias("product"))
 
 
-@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:4]::DOUBLE[], lambda x: 1 / (1 + exp(-x))) AS p FROM embeddings),
-s AS (SELECT vec_id, [1 - p[1], p[1], 0, 0] AS f, p FROM p),
-t AS (SELECT vec_id, [f[1] * (1 - p[2]), f[2] * (1 - p[2]) + f[1] * p[2], f[2] * p[2], 0] AS f, p FROM s),
-u AS (SELECT vec_id, [f[1] * (1 - p[3]), f[2] * (1 - p[3]) + f[1] * p[3], f[3] + f[2] * p[3]] AS f, p FROM t),
-v AS (SELECT vec_id, [f[1] * (1 - p[4]), f[2] * (1 - p[4]) + f[1] * p[4], f[3] + f[2] * p[4]] AS f FROM u)
-SELECT vec_id, round(f[1], 9) AS first, round(f[2], 9) AS second, round(f[3], 9) AS third FROM v""")
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: [1 / (1 + exp(-x))]) AS p FROM embeddings),
+r AS (SELECT vec_id, list_reduce(p, lambda f, q: [f[1] * (1 - q[1]), f[2] * (1 - q[1]) + f[1] * q[1], f[3] + f[2] * q[1]], [1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS f FROM p)
+SELECT vec_id, round(f[1], 9) AS first, round(f[2], 9) AS second, round(f[3], 9) AS third FROM r""")
 def soft_membership(spark, sf_dir):
-    probabilities = F.transform(F.slice(V.doubles(F.col("embedding")), 1, 4), V.sigmoid)
+    probabilities = F.transform(V.doubles(F.col("embedding")), V.sigmoid)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.soft_membership(probabilities, 3).alias("f"))
     return rows.select("vec_id", *[F.round(F.get("f", F.lit(i)), 9).alias(n) for i, n in enumerate(("first", "second", "third"))])
 

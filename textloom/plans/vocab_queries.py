@@ -10,6 +10,8 @@ from textloom.operators import learners, vocab
 from textloom.plans import sqlparts as P
 from textloom.plans.registry import query, table
 
+#: Merges that the query learns: a vocabulary of that size above the characters.
+MERGES = 300
 SUFFIXES = ["s", "ed", "er", "en", "ing", "tion", "ment", "ly"]
 _LIST = "[" + ", ".join(f"'{s}'" for s in SUFFIXES) + "]"
 
@@ -76,8 +78,12 @@ def _encoded(spark, sf_dir):
 
 @query(f"WITH {P.WORDS}, {P.COUNTS}, {sql_top(2000)}, {_TOKENS} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE id = 0) AS n_unknown, sum(id)::BIGINT AS id_sum FROM encoded GROUP BY doc_id")
 def encode_char_fallback(spark, sf_dir):
-    encoded, _ = _encoded(spark, sf_dir)
-    return encoded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("id") == 0).alias("n_unknown"), F.sum("id").alias("id_sum"))
+    words = words_of(spark, sf_dir)
+    counts = vocab.word_counts(words)
+    coded = vocab.encode_distinct(counts, _token_vocab(counts))
+    sums = coded.select("word", F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i == 0)).alias("unknown"), F.aggregate("ids", F.lit(0), lambda s, i: s + i).cast("long").alias("id_sum"))
+    joined = words.select("doc_id", "word").join(sums, "word")
+    return joined.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("unknown").alias("n_unknown"), F.sum("id_sum").alias("id_sum"))
 
 
 @query(f"""WITH {P.WORDS}, {P.COUNTS}, {sql_top(2000)}, {_TOKENS}
@@ -130,11 +136,13 @@ def token_blocks(spark, sf_dir):
     return blocks.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("inputs"), F.sum("target").alias("targets"))
 
 
-@query(f"""WITH {P.WORDS} SELECT a.word, b.word AS context, count(*) AS n FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2
-GROUP BY ALL HAVING n >= 20""")
+@query(f"""WITH {P.WORDS} SELECT word, count(*) AS contexts, sum(n)::BIGINT AS pairs, max(n) AS most FROM (
+  SELECT a.word, b.word AS context, count(*) AS n FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 GROUP BY ALL) GROUP BY word""")
 def skipgram_pairs(spark, sf_dir):
-    pairs = vocab.context_pairs(words_of(spark, sf_dir), 2)
-    return pairs.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    """Distinct contexts, pairs and the most frequent context's count of each word; all pairs are counted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.clean_words(F.col("text")).alias("words"))
+    pairs = vocab.pairs_of_arrays(docs, 2).groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("word").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("pairs"), F.max("n").alias("most"))
 
 
 @query(f"WITH {P.WORDS}, {P.COUNTS} SELECT word, round(pow(freq, 0.75) / (SELECT sum(pow(freq, 0.75)) FROM counts), 12) AS weight FROM counts")
@@ -174,17 +182,17 @@ def _flags(counts):
     return counts.join(known, "word", "left").join(split, "word", "left").select("word", "freq", flag("pure").alias("is_pure"), (flag("pure") | flag("split")).alias("is_valid"))
 
 
-@query(f"""WITH {P.WORDS}, {P.COUNTS}, e AS (SELECT word, list_transform(string_split(word[1:30], ''), lambda c: CASE WHEN instr('abcçdefgğhıijklmnoöprsştuüvyz', c) > 0 THEN instr('abcçdefgğhıijklmnoöprsştuüvyz', c) + 3 ELSE 1 END) AS ids FROM counts WHERE freq >= 5)
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, e AS (SELECT word, list_transform(string_split(word[1:30], ''), lambda c: CASE WHEN instr('abcçdefgğhıijklmnoöprsştuüvyz', c) > 0 THEN instr('abcçdefgğhıijklmnoöprsştuüvyz', c) + 3 ELSE 1 END) AS ids FROM counts)
 SELECT word, array_to_string(list_resize(list_concat([2], ids, [3]), 32, 0), ' ') AS ids, (len(ids) + 2)::INT AS len FROM e""")
 def char_id_arrays(spark, sf_dir):
-    coded = counts_of(spark, sf_dir).filter("freq >= 5").select("word", X.char_ids(F.col("word")).alias("c"))
+    coded = counts_of(spark, sf_dir).select("word", X.char_ids(F.col("word")).alias("c"))
     return coded.select("word", F.array_join(F.transform("c.ids", lambda i: i.cast("string")), " ").alias("ids"), F.col("c.len").cast("int").alias("len"))
 
 
 _SEG = P.every("word", 3)
 
 
-@query(f"""WITH {P.WORDS}, {P.COUNTS}, {_ROOTS}, s AS (SELECT word, {_SEG} AS segs, root_end FROM counts LEFT JOIN splits USING (word) WHERE freq >= 3),
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, {_ROOTS}, s AS (SELECT word, {_SEG} AS segs, root_end FROM counts LEFT JOIN splits USING (word)),
 l AS (SELECT *, list_transform(range(31), lambda i: list_contains({P.boundaries('segs')}, i)::INT) AS labels FROM s)
 SELECT word, array_to_string(segs, ' | ') AS piped, array_to_string(labels, '') AS labels,
   CASE WHEN len(segs) <= 1 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.3::DOUBLE, length(word) / len(segs) / 4.0::DOUBLE)) END AS confidence,
@@ -192,7 +200,7 @@ SELECT word, array_to_string(segs, ' | ') AS piped, array_to_string(labels, '')
     THEN list_transform(labels, lambda x, i: CASE WHEN i - 1 >= 1 AND i - 1 < root_end THEN 0 ELSE x END) ELSE labels END, '') AS corrected FROM l""")
 def boundary_labels(spark, sf_dir):
     counts = counts_of(spark, sf_dir)
-    rows = counts.filter("freq >= 3").join(_root_splits(counts), "word", "left").withColumn("segs", S.every(F.col("word"), 3))
+    rows = counts.join(_root_splits(counts), "word", "left").withColumn("segs", S.every(F.col("word"), 3))
     rows = rows.withColumn("labels", S.labels(S.boundaries(F.col("segs"))))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "")
     corrected = S.correct_root(F.col("labels"), F.col("root_end"), F.col("word"))
@@ -219,17 +227,23 @@ def root_vocab(spark, sf_dir):
 
 @query()
 def bpe_merges(spark, sf_dir):
-    """The first twelve merges; tested against a plain loop."""
-    merges, _ = learners.learn_merges(counts_of(spark, sf_dir).persist(), 12)
+    """The first merges over all words; the learner is tested against a plain loop."""
+    merges, _ = learners.learn_merges(counts_of(spark, sf_dir), MERGES)
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, a string, b string")
 
 
+@query()
+def wordpiece_vocabulary(spark, sf_dir):
+    """A vocabulary of 500 word pieces over all words; the learner is tested against a plain loop."""
+    return learners.learn_wordpiece(counts_of(spark, sf_dir), 500)
+
+
 @query()
 def longest_match_words(spark, sf_dir):
     """Greedy pieces of every distinct word; tested against a plain loop."""
     counts = counts_of(spark, sf_dir)
     pieces = vocab.weighted_counts(counts.select(S.every(F.col("word"), 3).alias("segs"), "freq")).withColumnRenamed("segment", "word")
-    inner = vocab.top_words(pieces, 1500).select(F.explode(F.array("word", F.concat(F.lit("##"), F.col("word")))).alias("token"))
+    inner = pieces.select(F.explode(F.array("word", F.concat(F.lit("##"), F.col("word")))).alias("token"))
     return learners.longest_match(inner, counts.select("word"))
 
 
@@ -238,4 +252,4 @@ def unigram_segments(spark, sf_dir):
     """Least-cost pieces of every distinct word; tested against exhaustive search."""
     counts = counts_of(spark, sf_dir)
     pieces = vocab.weighted_counts(counts.select(S.every(F.col("word"), 3).alias("segs"), "freq"))
-    return learners.cheapest_path(learners.segment_costs(vocab.top_words(pieces.withColumnRenamed("segment", "word"), 2000).withColumnRenamed("word", "segment")), counts.select("word"))
+    return learners.cheapest_path(learners.segment_costs(pieces), counts.select("word"))
