@@ -204,6 +204,22 @@ def test_op7_against_a_plain_loop(spark):
     assert line_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_op7_boundaries_follow_the_lines(spark):
+    rng = random.Random(41)
+    lines = [rng.getrandbits(64) for _ in range(400)]
+    for divisor in (1, 3, 8):
+        ends = line_dedup.boundaries(lines, divisor)
+        rolled = [sum(h * pow(line_dedup._FACTOR, j) for j, h in enumerate(reversed(lines[max(0, i - 1) : i + 1]))) % (1 << 64) for i in range(400)]
+        assert ends == [i for i, r in enumerate(rolled) if (r >> 17) % divisor == 0]
+        assert divisor == 1 and ends == list(range(400)) or 400 / divisor / 2 < len(ends) < 400 / divisor * 2
+        shifted = line_dedup.boundaries([5, *lines], divisor)
+        assert [e + 1 for e in ends if e > 1] == [e for e in shifted if e > 2]
+    texts = [f"line {x}" for x in lines[:60]]
+    docs = spark.createDataFrame([(1, "\n".join(texts)), (2, "\n".join(["own", *texts, "end"]))], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.remove_repeats(docs, divisor=4).collect()}
+    assert kept[1] == texts and kept[2][0] == "own" and kept[2][-1] == "end" and 2 <= len(kept[2]) < 30
+
+
 def test_op7_removes_whole_passages(spark):
     rng = random.Random(17)
     long = lambda n: [" ".join(words(rng, 30)) for _ in range(n)]
@@ -247,10 +263,15 @@ def shingles(text):
 
 
 def test_op4_against_exact_sets(spark, corpus):
-    rows = [(i, t) for i, t in corpus] + [(500, None), (500, "twice"), (501, "a b c d e " * 400)]
+    rows = [(i, t) for i, t in corpus] + [(500, None), (500, "twice"), (501, "a b c d e " * 400), (502, "日本語" * 100)]
+    rows += [(7, f"seven {i}") for i in range(60)] + [(None, f"nothing {i}") for i in range(40)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, bucket string")
     got = fingerprints.edited_neighbours(docs).collect()
-    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    hashes = {r["text"]: r["h"] for r in docs.na.fill("").select("text", fingerprints.F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((-1 if i is None else i, hashes[t or ""], t or "") for i, t in rows), reverse=True)
+    order = [(None if i < 0 else i, t) for i, _, t in order]
+    bounds, parts = fingerprints.id_bounds(docs, 16)
+    assert parts[0] > 1 and max(parts[1:]) > 1 and len(parts) == len(bounds) + 2
     assert len(got) == len(rows)
     found = {(r["doc_id"], r["edited_sha256"]): r for r in got}
     import hashlib

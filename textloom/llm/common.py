@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+from textloom.sources.scratch import hadoop_path, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent a local folder serves, but only for a local
-    master: on a cluster each machine would see a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return LOCAL_CHECKPOINTS
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the session's part of the shared folder, which goes when the application ends."""
-    home = f"{shared_root(spark)}/textloom/{spark.sparkContext.applicationId}"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return f"{home}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -58,9 +34,8 @@ def release(*frames: DataFrame | None) -> None:
     for frame in frames:
         path = getattr(frame, "_scratch", None)
         if path:
-            context = frame.sparkSession.sparkContext
-            folder = context._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            folder, files = hadoop_path(frame.sparkSession, path)
+            files.delete(folder, True)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -17,6 +17,8 @@ equal ones. Extra columns are ignored, empty tables give no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.llm.common import materialize
@@ -24,7 +26,7 @@ from textloom.llm.common import materialize
 K, SHINGLE = 256, 5
 HASHES = 1 << 63
 #: Buckets of consecutive ids, and the bytes of their first texts that may be broadcast.
-MOST_BUCKETS, BROADCAST_BYTES = 8192, 32 << 20
+MOST_BUCKETS, BROADCAST_BYTES = 32_768, 32 << 20
 
 
 def with_word_hashes(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -78,39 +80,51 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.hex(h))), ",")
 
 
-def id_bounds(docs: DataFrame, buckets: int) -> list[int]:
-    """Ids that part ``docs`` into about equal ranges; a bounded driver-side list."""
+def id_bounds(docs: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+    """Ids that part ``docs`` into about equal ranges, and how many parts each range has; bounded driver-side lists.
+
+    An id that fills several ranges is a range of its own in several parts, and so
+    are the null ids, the first range.
+    """
     steps = [i / buckets for i in range(1, buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", steps, 100_000)).first()[0]
-    return sorted(set(found or []))
+    row = docs.agg(F.percentile_approx("doc_id", steps, 100_000), F.count(F.lit(1)), F.count("doc_id")).first()
+    times = Counter(row[0] or [])
+    bounds = sorted({*times, *(v + 1 for v, n in times.items() if n > 1)})
+    nulls = -(-(row[1] - row[2]) * buckets // max(1, row[1]))
+    return bounds, [max(1, nulls), 1, *[1 + times[v] if times[v] > 1 else 1 for v in bounds]]
 
 
 def bucket_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of ``bounds`` are at most ``doc_id``, by binary search; null: 0."""
+    """How many of ``bounds`` are at most ``doc_id``, by binary search; null: -1."""
     if not bounds:
-        return F.lit(0)
+        return F.when(doc_id.isNull(), -1).otherwise(0)
     top = 1 << (len(bounds).bit_length() - 1)
     padded = F.lit(bounds + [None] * (2 * top - 1 - len(bounds)))
     steps = F.lit([top >> i for i in range(top.bit_length())])
-    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(padded, at + step - 1) <= doc_id, step).otherwise(F.lit(0)))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(padded, at + step - 1) <= doc_id, step).otherwise(F.lit(0)))
+    return F.when(doc_id.isNull(), -1).otherwise(found)
 
 
 def edited_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Every document against its edit and against the next document.
 
-    "Next" is by descending id (ties: descending text; null ids last), after
-    the last the first. Ids are parted into ranges of about equal count; a range
-    is a window partition, and its last document finds its next among the first
-    documents of the ranges, one small table. The text is shuffled once.
+    "Next" is by descending id (ties: descending hash of the text, then text;
+    null ids last), after the last the first. Ids are parted into ranges of about
+    equal count, and ranges of one id by the hash; each part is a window partition,
+    and its last document finds its next among the first documents of the parts,
+    one small table. The text is shuffled once.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = id_bounds(docs, buckets)
-    docs = docs.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
-    tops = F.broadcast(docs.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")))  # one row a bucket
-    tops = tops.withColumnsRenamed({"bucket": "_bucket", "doc_id": "_doc_id"})
-    at_top = (docs["bucket"] == tops["_bucket"]) & docs["doc_id"].eqNullSafe(tops["_doc_id"])
+    bounds, parts = id_bounds(docs, buckets)
+    docs = docs.withColumns({"hash": F.xxhash64("text"), "range": bucket_of(F.col("doc_id"), bounds)})
+    of_range = F.get(F.lit(parts), F.col("range") + 1)
+    part = F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * of_range), of_range - 1)
+    docs = docs.withColumn("bucket", (F.col("range") + 1) * (1 << 20) + part).drop("range")
+    tops = F.broadcast(docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "hash")).alias("top")))  # one row a bucket
+    tops = tops.withColumnRenamed("bucket", "_bucket")
+    at_top = (docs["bucket"] == tops["_bucket"]) & F.struct("doc_id", "hash").eqNullSafe(F.col("top"))
     first = docs.join(tops, at_top, "left_semi").groupBy("bucket").agg(F.max("text").alias("text"))
     order = W.orderBy(F.col("bucket").desc())
     following = [F.coalesce(F.lead(c).over(order), F.first(c).over(order)).alias(f"first_{c}") for c in ("text",)]
@@ -119,12 +133,12 @@ def edited_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
     heads = heads.withColumnRenamed("bucket", "_at")
     heads = F.broadcast(heads) if size <= BROADCAST_BYTES else heads
 
-    line = W.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    line = W.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc())
     own = with_fingerprint(docs.repartition("bucket"), "text", "fp", k, shingle)
     own = own.withColumns({"next_text": F.lead("text").over(line), "next_fp": F.lead("fp").over(line)})
     # Only a range's last document looks its next up; the others get keys that
     # match nothing, spread so that no join partition collects them.
-    key = F.when(F.col("next_text").isNull(), F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).cast("int")
+    key = F.when(F.col("next_text").isNull(), F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 20))).cast("long")
     both = own.withColumn("_key", key).join(heads, F.col("_key") == heads["_at"], "left")
     both = both.withColumns({"next_text": F.coalesce("next_text", "first_text"), "next_fp": F.coalesce("next_fp", "first_fp")})
     n = F.char_length("text")
@@ -136,4 +150,5 @@ def edited_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         resemblance(F.col("fp"), F.col("edited_fp"), k).alias("near_edited"), resemblance(F.col("fp"), F.col("next_fp"), k).alias("near_next"),
+        distinct_shingles(F.col("fp"), k).alias("distinct_shingles"), containment(F.col("fp"), F.col("edited_fp"), k).alias("contained_in_edited"),
     )

@@ -1,10 +1,17 @@
 """Removal of repeated passages of several lines.
 
-Every two neighbouring lines of a document, with the blank lines between them,
-are a chunk; blank lines alone are none. Chunks whose 128-bit hash occurs more
-than once are fetched and compared byte by byte with the first occurrence
-(smallest doc_id, then line); occurrences equal to it are removed, the first
-stays. As chunks overlap, all lines of a repeated passage go, wherever it stands.
+A rolling hash over the hashes of ``WINDOW`` neighbouring lines chooses boundaries:
+a line ends a segment where the hash is divisible by ``divisor``, which depends on
+those lines alone, so an insertion elsewhere shifts nothing. A chunk is every two
+neighbouring segments; blank lines count for neither hash nor chunk but stay
+inside. With the divisor 1 every line ends a segment and chunks are all pairs of
+neighbouring lines: a repeated passage, mostly two to four lines, then goes whole,
+while sparser boundaries would leave most (a larger divisor moves fewer rows).
+
+Chunks whose 128-bit hash occurs more than once are fetched and compared byte by
+byte with the first occurrence (smallest doc_id, then line); occurrences equal to
+it are removed, the first stays. As chunks overlap, all lines of a repeated
+passage between its outer boundaries go, wherever it stands.
 
 Only hashes and line numbers are counted over the corpus; texts move in two
 joins by document (in the first only those likely to hold repeats), and the text
@@ -28,15 +35,33 @@ from textloom.llm.common import materialize
 
 #: Most rows of the broadcast set that filters documents before they are shuffled.
 FILTER_BUCKETS = 1 << 20
+#: Lines that a rolling hash covers; one hash in so many is a boundary.
+WINDOW, DIVISOR = 2, 1
+_FACTOR, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def cut(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk."""
-    words = [i for i, line in enumerate(lines) if line.strip()]
-    return [(i, j + 1 - i) for i, j in zip(words, words[1:])]
+def boundaries(hashes: list[int], divisor: int = DIVISOR, window: int = WINDOW) -> list[int]:
+    """The places after which a segment ends: where the rolling hash of the last ``window`` hashes is divisible."""
+    ends, rolling, leaving = [], 0, pow(_FACTOR, window, 1 << 64)
+    for i, h in enumerate(hashes):
+        rolling = (rolling * _FACTOR + h - (hashes[i - window] * leaving if i >= window else 0)) & _MASK
+        if (rolling >> 17) % divisor == 0:
+            ends.append(i)
+    return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def cut(lines: list[bytes], divisor: int = DIVISOR) -> list[tuple[int, int]]:
+    """(first line, number of lines) of each chunk: two neighbouring segments of several lines in all."""
+    from xxhash import xxh3_64_intdigest
+
+    at = [i for i, line in enumerate(lines) if line.strip()]
+    ends = boundaries([xxh3_64_intdigest(lines[i]) for i in at], divisor)
+    ends = [-1, *ends, *([len(at) - 1] if at and (not ends or ends[-1] < len(at) - 1) else [])]
+    pairs = zip(ends, ends[2:] if len(ends) > 2 else ends[1:])
+    return [(at[a + 1], at[b] + 1 - at[a + 1]) for a, b in pairs if b - a > 1]
+
+
+def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, version, first, n, key of every chunk; ``docs`` has version and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +71,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             ids, versions, first, sizes, keys = [], [], [], [], []
             for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 lines = (text.as_py() or "").encode().split(b"\n")
-                for start, n in cut(lines):
+                for start, n in cut(lines, divisor):
                     ids.append(doc)
                     versions.append(version)
                     first.append(start)
@@ -64,9 +89,9 @@ def _of_document(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return docs.join(spans, same, how).drop("_doc_id", "_version")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, version, spans (first, n) to remove; ``docs`` has doc_id, version, text."""
-    found = materialize(chunks(docs), "line-chunks")
+    found = materialize(chunks(docs, divisor), "line-chunks")
     at = F.struct("doc_id", "version", "first")
     shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("origin")).filter("times > 1")
     shared = materialize(shared.select(F.col("key").alias("_key"), "origin"), "line-shared")
@@ -92,11 +117,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return equal.groupBy("doc_id", "version").agg(F.collect_set(F.struct(F.col("start").alias("first"), (F.col("first") + F.col("n") - F.col("start")).alias("n"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, counts: bool = False, divisor: int = DIVISOR) -> DataFrame:
     """``docs`` without repeated chunks; with ``counts`` also n_lines and removed_lines."""
     row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
     ready = docs.select(row, F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-    spans = repeated_spans(ready.drop("row"))
+    spans = repeated_spans(ready.drop("row"), divisor)
     lines = F.split("text", "\n")
     joined = _of_document(ready, spans, "left").withColumn("lines", lines)
     gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))

@@ -38,7 +38,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from textloom.llm.common import materialize, release, shared_path
+from textloom.llm.common import materialize, release
+from textloom.sources.scratch import shared_path
 
 END_ID, BLOCK_TOKENS, FILE_BLOCKS, MAGIC = 1, 4_000_000, 16, b"TLTOKEN1"
 HEADER = struct.Struct("<8sqqqq")

@@ -34,7 +34,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.common import materialize, shared_path
+from textloom.llm.common import materialize
+from textloom.sources.scratch import shared_path
 
 LEAST_BYTES, PIECE_BYTES, PIECES_PER_FILE = 100, 16 << 20, 16
 SEPARATOR = b"\r\n\r\n"
