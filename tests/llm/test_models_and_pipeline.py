@@ -276,3 +276,171 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.filter(F.length("text") != F.col("n_chars")).count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == n and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(last.columns)
+
+
+def messy_documents(spark):
+    """Clean, toxic, repeated, near-equal, null, empty and very long documents, repeated rows, clashing columns."""
+    rng = random.Random(77)
+    texts = ["\n".join(noise(rng, rng.randint(6, 12)) for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    passage = "\n".join(noise(rng, 30) for _ in range(3))
+    texts += [f"{noise(rng, 9)}\n{passage}\n{noise(rng, 9)}" for _ in range(6)]
+    texts += [t + " vile brute" for t in texts[:12]]
+    texts += [texts[20], texts[20], texts[21].replace(" ", "  ", 3), texts[22] + " tail", "", None, "one", "\n".join(noise(rng, 40) for _ in range(4000))]
+    rows = [(i, t, f"src{i % 3}" if i % 7 else None) for i, t in enumerate(texts)]
+    rows += [rows[25], rows[25], (None, texts[30], "src0"), (None, None, None)]
+    rows = [(i, t, s, None if t is None else len(t), 1, "x", b"y") for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size int, mix string, digest binary")
+    labels = spark.createDataFrame([(i, int("vile brute" in (t or "")), 1) for i, t, *_ in rows if i is not None], "doc_id long, toxic int, quality int")
+    return docs, labels
+
+
+def plain_stage_two(rows):
+    """Rows (doc_id, text, ...) without repeated pairs of neighbouring lines."""
+    from textloom.llm import line_dedup
+
+    first, gone = {}, {}
+    order = {r["text"]: r["h"] for r in rows[0]}
+    for i, t in sorted({(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows[1] if r["text"] is not None}, key=lambda x: (x[0], order[x[1]])):
+        lines = t.encode().split(b"\n")
+        for start, n in line_dedup.cut(lines):
+            first.setdefault(b"\n".join(lines[start : start + n]), (i, t, start))
+    for i, t in {(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows[1] if r["text"] is not None}:
+        lines = t.encode().split(b"\n")
+        for start, n in line_dedup.cut(lines):
+            origin = first[b"\n".join(lines[start : start + n])]
+            if origin != (i, t, start):
+                begin = max(start, origin[2] + n) if origin[:2] == (i, t) else start
+                gone.setdefault((i, t), set()).update(range(begin, start + n))
+    out = []
+    for r in rows[1]:
+        key = (-1 if r["doc_id"] is None else r["doc_id"], r["text"])
+        lost = gone.get(key, ())
+        text = r["text"] if not lost else "\n".join(x for j, x in enumerate(r["text"].split("\n")) if j not in lost)
+        out.append({**r, "text": text, "n_chars": r["n_chars"] if not lost else len(text)})
+    return out
+
+
+def plain_stage_three(rows):
+    """Rows but for near copies of a row with a smaller id."""
+    from textloom.llm.alignment import similar
+    from textloom.llm.words import word_hashes
+
+    known = sorted({(r["doc_id"], r["text"] or "") for r in rows if r["doc_id"] is not None})
+    words = [word_hashes(t) for _, t in known]
+    parent = list(range(len(known)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(known)):
+        for b in range(a):
+            if known[a][1] == known[b][1] or len(words[a]) and len(words[b]) and similar(words[a], words[b], 0.8):
+                one, two = sorted((find(a), find(b)))
+                parent[two] = one
+    kept = {known[find(i)] for i in range(len(known))}
+    return [r for r in rows if r["doc_id"] is None or (r["doc_id"], r["text"] or "") in kept]
+
+
+def plain_stage_four(rows, tmp_path):
+    """The mix by its SQL, cut into texts here."""
+    import duckdb
+    import pyarrow as pa
+    import re
+
+    from textloom.llm.mixing_sql import MIX_SQL
+
+    documents = pa.table({c: [r[c] for r in rows] for c in ("doc_id", "text", "source")}, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string())]))
+    con = duckdb.connect()
+    con.register("documents", documents)
+    sql = MIX_SQL.replace("SELECT doc_id, size, source_size, target,", "SELECT doc_id, digest, size,").replace("d.doc_id, d.size, s.place", "d.doc_id, d.digest, d.size, s.place")
+    counts = {}
+    for doc, digest, size, taken in con.execute(sql).fetchall():
+        counts.setdefault((doc, digest), []).append((size, taken))
+    out = []
+    for r in rows:
+        found = counts[r["doc_id"], hashlib.md5((r["text"] or "").encode()).hexdigest()]
+        size, taken = found[0][0], sum(t for _, t in found) // len(found)
+        if not taken:
+            continue
+        texts = [r["text"]] * (taken // size)
+        if taken % size:
+            texts.append(re.match(r"(?s)[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){%d}" % (taken % size), r["text"])[0])
+        out += [{**r, "text": t, "n_chars": len(t)} for t in texts]
+    return out
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Every stage on its predecessor's rows, and the last result, against loops, the library and SQL."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from textloom.llm import bpe
+
+    docs, labels = messy_documents(spark)
+    sf = str(tmp_path / "sf")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    key = lambda r: repr(sorted((k, str(v)) for k, v in r.items()))
+    rows = lambda df: sorted((r.asDict() for r in df.collect()), key=key)
+
+    scored = {(r["doc_id"]): r["predicted"] for r in toxicity.score_documents(docs, labels).collect()}
+    clean = stages["toxicity"](spark, docs, sf)
+    assert clean.columns == columns and 0 < clean.count() < docs.count()
+    assert {r["doc_id"] for r in clean.collect() if r["doc_id"] is not None} == {i for i, p in scored.items() if i is not None and not p}
+    clean.write.parquet(f"{sf}/1")
+    clean = spark.read.parquet(f"{sf}/1")
+
+    hashes = [r.asDict() for r in clean.select("text", F.xxhash64("text").alias("h")).distinct().collect()]
+    deduped = stages["line dedup"](spark, clean, sf)
+    want = sorted(plain_stage_two((hashes, rows(clean))), key=key)
+    assert deduped.columns == columns and rows(deduped) == want and want != rows(clean)
+    deduped.write.parquet(f"{sf}/2")
+    deduped = spark.read.parquet(f"{sf}/2")
+
+    single = stages["near duplicates"](spark, deduped, sf)
+    want = sorted(plain_stage_three(rows(deduped)), key=key)
+    assert single.columns == columns and rows(single) == want and len(want) < deduped.count()
+    single.write.parquet(f"{sf}/3")
+    single = spark.read.parquet(f"{sf}/3")
+
+    mixed = stages["mixing"](spark, single, sf)
+    want = sorted(plain_stage_four(rows(single), tmp_path), key=key)
+    assert mixed.columns == columns and rows(mixed) == want
+    mixed.write.parquet(f"{sf}/4")
+
+    library, expected = Tokenizer.from_file(bpe.default_vocabulary()), []
+    for r in want:
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        expected.append((str(r["doc_id"]), len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    got = [(str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_pipeline_stages_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = messy_documents(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for empty in (docs.limit(0), docs.filter("text is null")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, empty, str(tmp_path))
+            assert out.count() <= 2 and (name == "bpe" or out.columns == docs.columns), name
+
+
+def test_every_query_takes_nulls_repeats_and_long_texts(spark):
+    from textloom.llm import bpe, fingerprints, line_dedup, near_dups, token_files
+
+    docs, labels = messy_documents(spark)
+    n = docs.count()
+    results = {
+        "toxicity": toxicity.score_documents(docs, labels), "quality": quality.score_documents(docs, labels), "files": token_files.file_round_trip(docs),
+        "fingerprints": fingerprints.edited_neighbours(docs), "mix": mixing.mix_words(docs), "lines": line_dedup.remove_repeats(docs, counts=True),
+        "copies": near_dups.groups(docs), "bpe": bpe.encode_documents(docs),
+    }
+    for name, df in results.items():
+        assert df.count() == n, name
