@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run`
 writes each result as Parquet and rereads it as the next stage's documents.
+
+Defined results, from the operators: a null text is scored and compared as the
+empty text, keeps being null, and has no words, so mixing leaves it out. Rows with
+a null doc_id pass the near-duplicate stage. Rows with equal id and text are one
+document and stay alike until mixing. Extra columns are kept up to the last stage,
+whatever their names; ``n_chars`` follows the text. Empty documents give no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import bpe, line_dedup, mixing, near_dups, toxicity
-from textloom.llm.common import shared_path, table
+from textloom.llm.common import table
+from textloom.sources.scratch import shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Models, sketches and tokens are beyond SQL; the tests compare with brute force.
+#: Models, sketches and tokens are beyond SQL; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
