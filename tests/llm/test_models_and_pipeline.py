@@ -115,6 +115,11 @@ def test_toxicity_query_against_a_plain_model(spark, labelled):
     assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-4)
 
 
+@pytest.mark.parametrize("at", [[], [0], [0, 1, 70_000], [65_535, 65_536], [65_536], [(1 << 21) - 1]])
+def test_coordinates_round_trip(at):
+    assert toxicity.unpacked(toxicity.packed(np.array(at, dtype=np.int64))).tolist() == at
+
+
 def test_a_score_at_the_threshold_is_predicted(spark):
     rows = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
     model = toxicity.Model(float(np.log(0.7 / 0.3)), np.zeros(0, np.int64), np.zeros(0, np.float32), 4)

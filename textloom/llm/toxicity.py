@@ -50,6 +50,17 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     return (np.concatenate([h, near, skip]) * _ODD[0] >> shift).astype(np.int64)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Sorted coordinates as the gaps between them, in two bytes each where that is enough (first byte: 2 or 4)."""
+    gaps = np.diff(at, prepend=0)
+    size = 2 if gaps.max(initial=0) < 1 << 16 else 4
+    return bytes([size]) + gaps.astype(f"<u{size}").tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, dtype=f"<u{x[0]}", offset=1), dtype=np.int64)
+
+
 @dataclass
 class Model:
     """Sparse weights; ``coordinates`` are sorted."""
@@ -129,13 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.unique(features(t.as_py(), bits)).astype("<u4").tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
+            rows = [packed(np.unique(features(t.as_py(), bits))) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     def learn(rows: Iterator[tuple[int, bytes, int]]) -> Model:
         state = Ftrl(bits, **options)
         for _, x, y in rows:
-            state.learn(np.frombuffer(x, dtype="<u4"), y)
+            state.learn(unpacked(x), y)
         return state.model()
 
     return learnt(sample.mapInArrow(run, "doc_id long, y int, x binary"), epochs, seed, learn)
