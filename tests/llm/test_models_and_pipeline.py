@@ -283,6 +283,60 @@ def test_pipeline_stages(spark, tmp_path):
     assert last.count() == n and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(last.columns)
 
 
+def plain_training(rows, epochs):
+    """Adam on the log loss of (epoch, bytes, label), each gradient from the whole response matrix."""
+    net = quality.Network.random()
+    parameters = net.parameters()
+    first, second, step = [np.zeros(p.shape) for p in parameters], [np.zeros(p.shape) for p in parameters], 0
+    for start in [(e, at) for e in range(1, epochs + 1) for at in range(0, len(rows[e]), quality.BATCH)]:
+        some = rows[start[0]][start[1] : start[1] + quality.BATCH]
+        grads = [np.zeros(p.shape) for p in parameters]
+        for raw, y in some:
+            n = len(raw) - quality.WIDTH + 1
+            response = sum(net.taps[j][raw[j : j + n]] for j in range(quality.WIDTH))
+            cuts = range(0, n, quality.HALF)
+            bounds = [(c, c + 2 * quality.HALF) for c in (cuts if len(cuts) == 1 else cuts[:-1])]
+            at = np.array([a + response[a:b].argmax(axis=0) for a, b in bounds])
+            pooled = np.maximum(np.array([response[a:b].max(axis=0) for a, b in bounds]) + net.offset, 0)
+            peak, mean = pooled.max(axis=0), pooled.mean(axis=0)
+            g = 1 / (1 + np.exp(-(peak @ net.peak + mean @ net.mean + net.bias[0]))) - y
+            grads[2] += g * peak
+            grads[3] += g * mean
+            grads[4] += g
+            for f in range(quality.FILTERS):
+                back = np.full(len(bounds), g * net.mean[f] / len(bounds))
+                back[pooled[:, f].argmax()] += g * net.peak[f]
+                for c in np.flatnonzero(pooled[:, f] > 0):
+                    grads[1][f] += back[c]
+                    for j in range(quality.WIDTH):
+                        grads[0][j, raw[at[c, f] + j], f] += back[c]
+        step += 1
+        pace = quality.RATE * (1 - (start[0] - 1) / epochs)
+        for p, g, m, v in zip(parameters, grads, first, second):
+            g /= len(some)
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= pace * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + quality.DECAY * p)
+    return net
+
+
+def test_quality_query_against_a_plain_network(spark):
+    rng = random.Random(12)
+    docs = [(i, (noise(rng, rng.randint(1, 90)) + " é good" * (i % 2)) if i != 5 else None) for i in range(90)] + [(3, "another text of three"), (None, "x")]
+    labels = [(i, i % 2, 0) for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    y = {i: q for i, q, _ in labels if fold_of(i, 4) != 2}
+    texts = {}
+    for i, t in docs:
+        if i in y:
+            texts[i] = max(t or "", texts.get(i, ""))
+    order = lambda e: [i for _, i in sorted((hashlib.md5(f"quality|{e}|{i}".encode()).hexdigest(), i) for i in texts)]
+    net = plain_training({e: [(quality._bytes(texts[i]), y[i]) for i in order(e)] for e in (1, 2)}, 2)
+    want = sorted((str(i), plain_probability(net, t)) for i, t in docs)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in quality.score_documents(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), epochs=2).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=2e-3)
+
+
 def messy_documents(spark):
     """Clean, toxic, repeated, near-equal, null, empty and very long documents, repeated rows, clashing columns."""
     rng = random.Random(77)

@@ -139,3 +139,19 @@ def remove_repeats(docs: DataFrame, counts: bool = False, divisor: int = DIVISOR
         n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
         out += [n.cast("long").alias("n_lines"), F.when(changed, n - F.size("kept")).otherwise(0).cast("long").alias("removed_lines")]
     return joined.select(*out)
+
+
+#: The query's rows, for tables in which an id has one text.
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+w AS (SELECT doc_id, lines, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT doc_id, a, b, array_to_string(lines[a:b], chr(10)) AS chunk FROM w WHERE b IS NOT NULL),
+o AS (SELECT *, first_value(doc_id) OVER f AS first_id, first_value(a) OVER f AS first_a FROM c WINDOW f AS (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, a)),
+g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id IS NOT DISTINCT FROM first_id THEN greatest(a, first_a + b + 1 - a) ELSE a END, b + 1)) AS i
+  FROM o WHERE doc_id IS DISTINCT FROM first_id OR a <> first_a),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS kept, count(g.i) AS gone
+  FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN k.gone > 0 THEN coalesce(k.kept, '') ELSE d.text END AS text, coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(k.gone, 0)::BIGINT AS removed_lines
+FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+"""

@@ -117,15 +117,17 @@ def _gradient(net: Network, raw: np.ndarray, y: float, grads: list[np.ndarray])
 
 
 class Adam:
-    """Trains a network on rows as they come, a batch a step."""
+    """Trains a network on rows as they come, a batch a step; an epoch's last batch may be smaller."""
 
     def __init__(self, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 7):
         self.net, self.epochs, self.rate, self.decay, self.step = Network.random(seed), epochs, rate, decay, 0
         self.first, self.second, self.grads = ([np.zeros_like(p) for p in self.net.parameters()] for _ in range(3))
-        self.waiting, self.pace = 0, rate
+        self.waiting, self.epoch = 0, 1
 
     def learn(self, epoch: int, raw: np.ndarray, y: int) -> None:
-        self.pace = self.rate * (1 - (epoch - 1) / self.epochs)
+        if epoch != self.epoch:
+            self.flush()
+            self.epoch = epoch
         _gradient(self.net, raw, float(y), self.grads)
         self.waiting += 1
         if self.waiting == BATCH:
@@ -135,11 +137,12 @@ class Adam:
         if not self.waiting:
             return
         self.step += 1
+        pace = self.rate * (1 - (self.epoch - 1) / self.epochs)
         for p, g, m, v in zip(self.net.parameters(), self.grads, self.first, self.second):
             g /= self.waiting
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            p -= self.pace * (m / (1 - 0.9**self.step) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8) + self.decay * p)
+            p -= pace * (m / (1 - 0.9**self.step) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8) + self.decay * p)
             g[...] = 0
         self.waiting = 0
 

@@ -70,6 +70,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_embedding_dups": embedding_dups.COSINE_SQL,
     "op5_mixing": MIX_SQL,
+    "op7_line_dedup": line_dedup.LINES_SQL,
     "op8_warc": warc.WARC_SQL,
 }
 
