@@ -171,7 +171,12 @@ def cuts(word):
 
 def test_unigram_and_failing_segmenter(spark):
     df = spark.createDataFrame([("evler", 5), ("evde", 4), ("ev", 9)], "word string, freq long")
-    assert learners.learn_unigram(df, 6, rounds=2).count() >= 6
+    lexicon = learners.learn_unigram(df, 6, rounds=2)
+    assert lexicon.count() >= 6
+    later = spark.createDataFrame([("kolde", 7), ("evde", 4)], "word string, freq long")
+    refined = learners.refine_unigram(lexicon, later, 6)
+    assert set("kolevd") <= {r["token"] for r in refined.collect()}
+    assert {"".join(r["segs"]) for r in learners.cheapest_path(refined, later).collect()} == {"kolde", "evde"}
 
     def broken(word):
         raise ValueError(word)

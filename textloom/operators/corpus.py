@@ -11,9 +11,11 @@ from textloom.operators.ranking import exact_split, first_per_key
 
 # The cleaner's default function words and patterns.
 STOPWORDS = (
-    "ve bir bu da de ki ile için çok daha en gibi ama ya veya ne şu her hem ise ancak çünkü kadar sonra önce olarak"
-    " olan var yok değil mi mı mu mü ben sen biz siz onlar bütün olduğu olduğunu tarafından arasında üzerine göre değildir"
-).split()
+    "ve", "bir", "bu", "da", "de", "ki", "ile", "için", "çok", "daha", "en", "gibi", "ama", "ya", "veya", "ne", "şu",
+    "her", "hem", "ise", "ancak", "çünkü", "kadar", "sonra", "önce", "olarak", "olan", "var", "yok", "değil", "mi",
+    "mı", "mu", "mü", "ben", "sen", "biz", "siz", "onlar", "bütün", "olduğu", "olduğunu", "tarafından", "arasında",
+    "üzerine", "göre", "değildir",
+)
 MARKUP = r"https?://|www\.|\[\[|\]\]|\{\{|\}\}|\||={2,}|&[a-z]+;|<[^>]+>"
 REFERENCES = r"\[\d+\]|\[düzenle\]|\[kaynak belirtilmeli\]"
 
@@ -31,7 +33,7 @@ class LineRules:
     max_foreign: float = 0.02
     alphabet: str = LETTERS
     foreign: str = "qwx"
-    stopwords: tuple[str, ...] = tuple(STOPWORDS)
+    stopwords: tuple[str, ...] = STOPWORDS
 
 
 def document_lines(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -249,14 +249,28 @@ def learn_unigram(counts: DataFrame, size: int, longest: int = 8, rounds: int =
     starts = counts.select("word", "freq", spans)
     subs = starts.select("freq", "at", "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("at") + 1))).alias("len"))
     pieces = subs.select(F.substring(F.col("word"), F.col("at"), F.col("len")).alias("segment"), "freq").groupBy("segment").agg(F.sum("freq").alias("freq"))
+    pieces = _saved(pieces, "pieces")
     single = F.length("segment") == 1
     seeds = pieces.filter(single | (F.col("freq") >= min_freq)).orderBy(F.desc(F.col("freq") * F.length("segment")), "segment").limit(4 * size)
-    lexicon = seeds.unionByName(pieces.filter(single)).distinct()
+    lexicon = segment_costs(seeds.unionByName(pieces.filter(single)).distinct())
+    return refine_unigram(lexicon, counts, size, longest, rounds)
+
+
+def refine_unigram(costs: DataFrame, counts: DataFrame, size: int, longest: int = 8, rounds: int = 1) -> DataFrame:
+    """token, cost after further rounds from a lexicon (token, cost) on (word, freq).
+
+    The online form of :func:`learn_unigram`: as words arrive, their merged counts
+    (see ``streams.merge_counts``) refine the lexicon that is there. Characters
+    that are new to it join it; all characters stay.
+    """
+    chars = counts.select(F.explode(characters(F.col("word"))).alias("segment"), "freq").groupBy("segment").agg(F.sum("freq").alias("freq"))
     for _ in range(rounds):
-        segs = cheapest_path(segment_costs(lexicon), counts, longest=longest).join(counts, "word")
+        segs = cheapest_path(costs, counts, longest=longest).join(counts, "word")
         used = segs.select(F.explode("segs").alias("segment"), "freq").groupBy("segment").agg(F.sum("freq").alias("freq"))
-        lexicon = used.orderBy(F.desc("freq"), "segment").limit(size).unionByName(pieces.filter(single)).dropDuplicates(["segment"])
-    return segment_costs(lexicon)
+        kept = used.orderBy(F.desc("freq"), "segment").limit(size)
+        rest = chars.join(kept.select("segment"), "segment", "left_anti")
+        costs = segment_costs(_saved(kept.unionByName(rest), "lexicon"))
+    return costs
 
 
 def linear_probe(rows: DataFrame, label: str, vector: str, fold: str = "fold", balanced: bool = False) -> DataFrame:

@@ -94,14 +94,18 @@ def verification(pairs: DataFrame) -> DataFrame:
     """ROC AUC, average precision, best F1 and its threshold of (sim, same) pairs, in one row.
 
     Pairs are first counted by similarity, so the running sums go over distinct
-    scores. The best threshold is the lowest with the highest F1, chosen on the
-    pairs that are scored.
+    scores, within ranges that are offset by those before. The best threshold is
+    the lowest with the highest F1, chosen on the pairs that are scored.
     """
     pos, neg = F.sum(F.col("same").cast("int")).alias("pos"), F.sum(1 - F.col("same").cast("int")).alias("neg")
-    scores = pairs.groupBy("sim").agg(pos, neg)
-    down = W.orderBy(F.desc("sim")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.partitionBy()
-    run = scores.select("sim", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(everything).alias("p"), F.sum("neg").over(everything).alias("n"))
+    scores = pairs.groupBy("sim").agg(pos, neg).withColumn("range", F.floor((1 - F.col("sim")) * RANGES))
+    ranges = scores.groupBy("range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above, everything = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()  # a row a range
+    offset = lambda c, name: F.coalesce(F.sum(c).over(above), F.lit(0)).alias(name)
+    ranges = ranges.select("range", offset("pos", "_tp"), offset("neg", "_fp"), F.sum("pos").over(everything).alias("p"), F.sum("neg").over(everything).alias("n"))
+    down = W.partitionBy("range").orderBy(F.desc("sim")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = scores.withColumns({"_own_tp": F.sum("pos").over(down), "_own_fp": F.sum("neg").over(down)}).join(ranges, "range")
+    run = own.select("sim", "pos", "neg", (F.col("_own_tp") + F.col("_tp")).alias("tp"), (F.col("_own_fp") + F.col("_fp")).alias("fp"), "p", "n")
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.greatest("p", F.lit(1))
     f1 = F.when(F.col("tp") > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     run = run.withColumns({"f1": f1, "area": F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2.0), "step": precision * F.col("pos") / F.greatest("p", F.lit(1))})

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from textloom.functions.text import MARKER, characters, clean_words, split_words
+from textloom.functions import segments as S
+from textloom.functions.text import MARKER, char_ids, characters, clean_words, split_words
 
 UNK = "<UNK>"
 # The ids that every token vocabulary starts with.
@@ -132,6 +133,29 @@ def token_blocks(stream: DataFrame, size: int) -> DataFrame:
     return stream.select("*", F.floor(F.col("pos") / size).alias("block"), (F.col("pos") % size).alias("offset"), F.lead("id").over(order).alias("target"))
 
 
+def word_features(segmented: DataFrame, words: DataFrame, roots: DataFrame, size: int = 32) -> DataFrame:
+    """word, word_id, root_id, chars (ids, flags, len), labels, confidence of each distinct word of (word, segs).
+
+    ``words`` and ``roots`` are ranked vocabularies; a test split passes those of
+    the training split.
+    """
+    ids = lambda vocab, key, name: vocab.filter("id > 0").select(F.col("word").alias(key), F.col("id").alias(name))
+    known = segmented.select("word", "segs", F.get("segs", F.lit(0)).alias("_root")).join(ids(words, "word", "word_id"), "word", "left").join(ids(roots, "_root", "root_id"), "_root", "left")
+    cuts = S.labels(S.boundaries(F.col("segs")), size - 1)
+    return known.select(
+        "word", F.coalesce("word_id", F.lit(0)).alias("word_id"), F.coalesce("root_id", F.lit(0)).alias("root_id"), char_ids(F.col("word"), size).alias("chars"),
+        cuts.alias("labels"), S.confidence(F.col("segs"), F.col("word")).alias("confidence"),
+    )
+
+
+def sentence_cache(words: DataFrame, features: DataFrame, size: int = 32, least: int = 3) -> DataFrame:
+    """doc_id, chunk, sentence: runs of ``size`` words with their features, those under ``least`` dropped."""
+    chunk = F.floor(F.col("pos") / size).cast("int").alias("chunk")
+    rows = words.join(features, "word").groupBy("doc_id", chunk)
+    fields = F.struct("pos", *features.columns)
+    return rows.agg(F.array_sort(F.collect_list(fields)).alias("sentence")).filter(F.size("sentence") >= least)
+
+
 def chunk_stats(chunks: DataFrame, root_length: int = 3, word_vocab: int = 0, root_vocab: int = 0) -> DataFrame:
     """n_sentences, n_words, words a sentence, characters and pieces a word of :func:`sentence_chunks`, in one row."""
     sums = chunks.select(F.size("words").alias("n"), F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w)).alias("chars"), F.aggregate("words", F.lit(0), lambda s, w: s + F.ceil(F.length(w) / root_length).cast("int")).alias("pieces"))

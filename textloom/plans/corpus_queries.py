@@ -21,7 +21,7 @@ _REASON = f"""reasons AS (
     WHEN inside / greatest(letters, 1) < 0.92::DOUBLE THEN 'alphabet'
     WHEN odd / greatest(letters, 1) > 0.02::DOUBLE THEN 'foreign'
     WHEN other / greatest(length(c), 1) > 0.2::DOUBLE THEN 'other_chars'
-    WHEN NOT list_has_any({P.split('low')}, {corpus.STOPWORDS!r}) THEN 'no_stopword' END AS reason
+    WHEN NOT list_has_any({P.split('low')}, {list(corpus.STOPWORDS)!r}) THEN 'no_stopword' END AS reason
   FROM (SELECT *, length(regexp_replace(low, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(low, '[^abcçdefgğhıijklmnoöprsştuüvyz]', '', 'g')) AS inside,
       length(regexp_replace(low, '[^qwx]', '', 'g')) AS odd, length(regexp_replace(regexp_replace(c, '{P.SPACE}', '', 'g'), '\\p{{L}}', '', 'g')) AS other
     FROM (SELECT *, lower(c) AS low FROM (

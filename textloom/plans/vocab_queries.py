@@ -214,6 +214,22 @@ def segments_round_trip(spark, sf_dir):
     return segs.select("word", S.piped(F.col("segs")).alias("piped"), (back == F.col("segs")).alias("same"))
 
 
+@query(f"""WITH {P.WORDS}, {P.COUNTS}, {sql_top(999, 2)}, rc AS (SELECT left(word, 3) AS root, sum(freq) AS freq FROM counts GROUP BY 1),
+roots AS (SELECT root, row_number() OVER (ORDER BY freq DESC, root) AS id FROM rc WHERE freq >= 5 QUALIFY id <= 499)
+SELECT doc_id, pos // 32 AS chunk, count(*) AS n, sum(coalesce(top.id, 0))::BIGINT AS word_ids, sum(coalesce(roots.id, 0))::BIGINT AS root_ids, sum(least(length(word), 30) + 2)::BIGINT AS chars, sum((length(word) - 1) // 3)::BIGINT AS cuts
+FROM words LEFT JOIN top USING (word) LEFT JOIN roots ON roots.root = left(word, 3) GROUP BY ALL HAVING n >= 3""")
+def sentence_cache(spark, sf_dir):
+    """Sizes and id sums of the training cache's sentences: words, roots, characters, boundaries."""
+    words = words_of(spark, sf_dir)
+    counts = vocab.word_counts(words)
+    segmented = counts.select("word", "freq", S.every(F.col("word"), 3).alias("segs"))
+    features = vocab.word_features(segmented, vocab.ranked_vocab(counts, 1000, 2), vocab.root_vocab(segmented, 500, 5))
+    cache = vocab.sentence_cache(words, features)
+    total = lambda c, of=lambda x: x: F.aggregate(F.transform("sentence", lambda s: of(s[c])), F.lit(0).cast("long"), lambda a, x: a + x)
+    cuts = total("labels", lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x))
+    return cache.select("doc_id", F.col("chunk").cast("long"), F.size("sentence").cast("long").alias("n"), total("word_id").alias("word_ids"), total("root_id").alias("root_ids"), total("chars", lambda v: v["len"]).alias("chars"), cuts.alias("cuts"))
+
+
 @query(f"""WITH {P.WORDS}, {P.COUNTS} SELECT segment, sum(freq)::BIGINT AS freq FROM (SELECT unnest({_SEG}) AS segment, freq FROM counts) GROUP BY segment""")
 def weighted_segments(spark, sf_dir):
     return vocab.weighted_counts(counts_of(spark, sf_dir).select(S.every(F.col("word"), 3).alias("segs"), "freq"))
@@ -249,7 +265,6 @@ def longest_match_words(spark, sf_dir):
 
 @query()
 def unigram_segments(spark, sf_dir):
-    """Least-cost pieces of every distinct word; tested against exhaustive search."""
+    """Least-cost pieces of every distinct word under a learnt lexicon; the search is tested against all cuts."""
     counts = counts_of(spark, sf_dir)
-    pieces = vocab.weighted_counts(counts.select(S.every(F.col("word"), 3).alias("segs"), "freq"))
-    return learners.cheapest_path(learners.segment_costs(pieces), counts.select("word"))
+    return learners.cheapest_path(learners.learn_unigram(counts, 8000, rounds=2), counts.select("word"))
