@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.text import characters
-from textloom.sources.scratch import hadoop_path, shared_path
+from textloom.sources.scratch import forget, saved
 
 
 #: Most frequent pairs that are looked at in one round.
@@ -47,8 +47,7 @@ def safe_merges(pairs: list[tuple[str, str, int]], symbols: set[str], most: int,
 
 def _learn(state: DataFrame, merges: int, join: Callable[[str, str], str], least: int = 1) -> tuple[list[tuple[str, str]], DataFrame]:
     """Merges of (word, freq, segs), and the table after them; the table is written once a round."""
-    spark = state.sparkSession
-    state = _saved(state, "merges")
+    state = saved(state, "merges")
     symbols = {r[0] for r in bounded(state.select(F.explode("segs")).distinct())}
     found: list[tuple[str, str]] = []
     while len(found) < merges:
@@ -66,20 +65,11 @@ def _learn(state: DataFrame, merges: int, join: Callable[[str, str], str], least
             for batch in batches:
                 yield batch.assign(segs=[merged(list(s), wanted) for s in batch["segs"]])
 
-        before, state = state, _saved(state.mapInPandas(run, state.schema), "merges")
-        folder, files = hadoop_path(spark, before._path)
-        files.delete(folder, True)
+        before, state = state, saved(state.mapInPandas(run, state.schema), "merges")
+        forget(before)
     return found, state
 
 
-def _saved(df: DataFrame, tag: str) -> DataFrame:
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._path = path
-    return out
-
-
 def merged(segs: list[str], wanted: dict[tuple[str, str], str]) -> list[str]:
     """``segs`` with each adjacent wanted pair, from the left, joined."""
     out, at = [], 0
@@ -249,7 +239,7 @@ def learn_unigram(counts: DataFrame, size: int, longest: int = 8, rounds: int =
     starts = counts.select("word", "freq", spans)
     subs = starts.select("freq", "at", "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("at") + 1))).alias("len"))
     pieces = subs.select(F.substring(F.col("word"), F.col("at"), F.col("len")).alias("segment"), "freq").groupBy("segment").agg(F.sum("freq").alias("freq"))
-    pieces = _saved(pieces, "pieces")
+    pieces = saved(pieces, "pieces")
     single = F.length("segment") == 1
     seeds = pieces.filter(single | (F.col("freq") >= min_freq)).orderBy(F.desc(F.col("freq") * F.length("segment")), "segment").limit(4 * size)
     lexicon = segment_costs(seeds.unionByName(pieces.filter(single)).distinct())
@@ -269,7 +259,7 @@ def refine_unigram(costs: DataFrame, counts: DataFrame, size: int, longest: int
         used = segs.select(F.explode("segs").alias("segment"), "freq").groupBy("segment").agg(F.sum("freq").alias("freq"))
         kept = used.orderBy(F.desc("freq"), "segment").limit(size)
         rest = chars.join(kept.select("segment"), "segment", "left_anti")
-        costs = segment_costs(_saved(kept.unionByName(rest), "lexicon"))
+        costs = segment_costs(saved(kept.unionByName(rest), "lexicon"))
     return costs
 
 

@@ -9,6 +9,7 @@ from textloom.functions import text as X
 from textloom.operators import learners, vocab
 from textloom.plans import sqlparts as P
 from textloom.plans.registry import query, table
+from textloom.sources.scratch import saved
 
 #: Merges that the query learns: a vocabulary of that size above the characters.
 MERGES = 300
@@ -71,7 +72,7 @@ encoded AS (SELECT * FROM pieces WHERE id IS NOT NULL UNION ALL SELECT s.doc_id,
 
 def _encoded(spark, sf_dir):
     words = words_of(spark, sf_dir)
-    tokens = _token_vocab(vocab.word_counts(words))
+    tokens = saved(_token_vocab(vocab.word_counts(words)), "tokens")
     marked = words.select("doc_id", "pos", F.concat(F.lit(X.MARKER), F.col("word")).alias("token"))
     return vocab.encode_with_chars(marked, tokens), tokens
 
@@ -79,7 +80,7 @@ def _encoded(spark, sf_dir):
 @query(f"WITH {P.WORDS}, {P.COUNTS}, {sql_top(2000)}, {_TOKENS} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE id = 0) AS n_unknown, sum(id)::BIGINT AS id_sum FROM encoded GROUP BY doc_id")
 def encode_char_fallback(spark, sf_dir):
     words = words_of(spark, sf_dir)
-    counts = vocab.word_counts(words)
+    counts = saved(vocab.word_counts(words), "counts")
     coded = vocab.encode_distinct(counts, _token_vocab(counts))
     sums = coded.select("word", F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i == 0)).alias("unknown"), F.aggregate("ids", F.lit(0), lambda s, i: s + i).cast("long").alias("id_sum"))
     joined = words.select("doc_id", "word").join(sums, "word")

@@ -13,6 +13,17 @@ STRUCTURAL = ["V", "N", "ADJ", "ADV", "PRO", "DECL", "IND", "INTR", "POS", "NEG"
 GOLD_SCHEMA = "wordform string, stem string, lemma string, preceding_part string, following_part string, unique string, word_freq double"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A table in one file with one row group is one task, however many cores wait.
+    Tables of more parts than cores, all large ones, are left as they are. Rows
+    may come in another order.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """value: trimmed lines that are not blank."""
     lines = spark.read.text(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
@@ -36,3 +36,26 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     folder, files = hadoop_path(spark, home)
     files.deleteOnExit(folder)
     return f"{home}/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: what is used several times is computed once.
+
+    Lost executors cost no recomputation of what came before, and the planner sees
+    true sizes, on which it bases broadcasts. As many files are written as ``df``
+    has partitions; after a shuffle adaptive execution sets their number by bytes.
+    """
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete what :func:`saved` wrote for ``frames``, which nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "_scratch", None)
+        if path:
+            folder, files = hadoop_path(frame.sparkSession, path)
+            files.delete(folder, True)
