@@ -38,14 +38,22 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{home}/{tag}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+#: Files a core of tables whose rows are a few numbers.
+SMALL_FILES = 4
+
+
+def saved(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: what is used several times is computed once.
 
     Lost executors cost no recomputation of what came before, and the planner sees
     true sizes, on which it bases broadcasts. As many files are written as ``df``
     has partitions; after a shuffle adaptive execution sets their number by bytes.
+    Tables of a few numbers a row, made by a shuffle, are ``small``: they are
+    written as a few files a core, as starting a file costs more than its rows.
     """
     path = shared_path(df.sparkSession, tag)
+    if small:
+        df = df.coalesce(SMALL_FILES * max(1, df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
