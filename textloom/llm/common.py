@@ -6,38 +6,13 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textloom.sources.scratch import hadoop_path, shared_path
+from textloom.sources.scratch import forget as release, saved as materialize  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts lineage so that lost executors cost no recomputation of what came
-    before, and gives the planner true sizes, on which it bases broadcasts. As
-    many files are written as ``df`` has partitions, so the work before keeps its
-    parallelism; after a shuffle adaptive execution sets their number by bytes.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(*frames: DataFrame | None) -> None:
-    """Delete what :func:`materialize` wrote for ``frames``, which nothing will read again."""
-    for frame in frames:
-        path = getattr(frame, "_scratch", None)
-        if path:
-            folder, files = hadoop_path(frame.sparkSession, path)
-            files.delete(folder, True)
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("dst", "src"))
         lowest = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-        parents = written = materialize(lowest.select("node", F.least("node", "low").alias("root")), "component-parents")
+        parents = written = materialize(lowest.select("node", F.least("node", "low").alias("root")), "component-parents", small=True)
         while True:
             up = parents.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-            jumped = materialize(parents.join(up, parents["root"] == up["_node"]).select("node", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("moved")), "component-jumps")
+            jumped = materialize(parents.join(up, parents["root"] == up["_node"]).select("node", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("moved")), "component-jumps", small=True)
             release(written)
             written, parents = jumped, jumped.drop("moved")
             if not jumped.filter("moved").limit(1).count():
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         release(before)
         one, two = (parents.select(F.col("node").alias(f"_{x}"), F.col("root").alias(x)) for x in ("a", "b"))
         contracted = edges.join(one, edges["src"] == one["_a"]).select("a", "dst").join(two, F.col("dst") == two["_b"]).filter("a <> b")
-        edges = materialize(contracted.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "component-edges")
+        edges = materialize(contracted.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "component-edges", small=True)
         if not edges.limit(1).count():
             return labels
 
@@ -43,4 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
 def _follow(labels: DataFrame, parents: DataFrame) -> DataFrame:
     up = parents.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     joined = labels.join(up, labels["root"] == up["_node"], "left")
-    return materialize(joined.select("node", F.coalesce("_root", "root").alias("root")), "component-labels")
+    return materialize(joined.select("node", F.coalesce("_root", "root").alias("root")), "component-labels", small=True)

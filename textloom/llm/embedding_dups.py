@@ -241,10 +241,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_rows: float =
     """vec_id, n_links, component_id, kept of every row."""
     ready = materialize(prepared(vectors), "cosine-vectors")
     counted = ready.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    counted = materialize(counted.withColumnRenamed("node", "_node"), "cosine-nodes")
+    counted = materialize(counted.withColumnRenamed("node", "_node"), "cosine-nodes", small=True)
     same = (F.col("node") == F.col("_node")) & F.col("vec_id").eqNullSafe(F.col("first_id"))
     nodes = materialize(ready.join(counted, same).select("label", "dim", "node", "copies", "unit").dropDuplicates(["node"]), "cosine-distinct")
-    sizes = materialize(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "cosine-labels")
+    sizes = materialize(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "cosine-labels", small=True)
     centres = materialize(fit_cells(nodes, sizes, cell_rows), "cosine-centres")
     placed = materialize(in_cells(nodes, sizes, centres, placed_rows), "cosine-cells")
     blocks = materialize(in_blocks(placed, block_rows), "cosine-blocks")
@@ -253,11 +253,11 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_rows: float =
     groups = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked_nodes = groups.join(counted, F.col("node") == F.col("_node")).select("node", "root", "first_id")
-    lowest = materialize(linked_nodes.groupBy("root").agg(F.min("first_id").alias("lowest")).withColumnRenamed("root", "_root"), "cosine-lowest")
+    lowest = materialize(linked_nodes.groupBy("root").agg(F.min("first_id").alias("lowest")).withColumnRenamed("root", "_root"), "cosine-lowest", small=True)
     known = linked_nodes.join(lowest, F.col("root") == F.col("_root")).select("node", "lowest").join(links, "node")
     known = known.select(F.col("node").alias("_known"), "lowest", "links")
     named = counted.join(known, F.col("_node") == F.col("_known"), "left")
-    named = materialize(named.select("_node", F.coalesce("lowest", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "cosine-named")
+    named = materialize(named.select("_node", F.coalesce("lowest", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "cosine-named", small=True)
     release(counted, found, groups, lowest)
     out = ready.join(named, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))

@@ -107,7 +107,7 @@ def _intervals(docs: DataFrame, block_words: int, least_blocks: int, shard_words
     shards = F.greatest(F.ceil(F.col("source_size") / F.greatest(F.lit(float(shard_words)), F.sqrt("source_size") * 16)), F.lit(1))
     sources = block_size(source_targets(docs), block_words, least_blocks).withColumn("shards", shards.cast("long"))
     sources = apportioned(sources, [], "target", F.round(F.col("total") * F.lit(SHARE) / F.col("block")), ["place"])
-    sources = materialize(sources.withColumnRenamed("quota", "seats"), "mix-sources")
+    sources = materialize(sources.withColumnRenamed("quota", "seats"), "mix-sources", small=True)
     same = docs["source"].eqNullSafe(sources["source"])
     dealt = docs.join(sources.select("source", "place", "source_size", "target", "shards"), same).drop(sources["source"])
     dealt = dealt.withColumn("order", _seeded(seed, F.col("doc_id"), F.col("digest"))).withColumn("shard", _number(F.col("order"), 17) % F.col("shards"))
@@ -117,7 +117,7 @@ def _intervals(docs: DataFrame, block_words: int, least_blocks: int, shard_words
     start = (_number(_seeded(seed, F.col("place"), F.col("shard")), 1) % F.greatest(F.ceil(size / block), F.lit(1))) * block
     taken = F.least(F.col("quota") * block, size * MOST)
     quotas = quotas.withColumn("start", start).withColumn("whole", F.floor(taken / F.greatest(size, F.lit(1)))).withColumn("run", taken - F.col("whole") * size)
-    quotas = materialize(quotas.select("place", "shard", "shard_size", "start", "whole", "run"), "mix-quotas")
+    quotas = materialize(quotas.select("place", "shard", "shard_size", "start", "whole", "run"), "mix-quotas", small=True)
     line = W.partitionBy("place", "shard").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = dealt.withColumn("hi", F.sum("size").over(line)).withColumn("lo", F.col("hi") - F.col("size"))
     return laid.join(quotas, ["place", "shard"])

@@ -41,7 +41,7 @@ from textloom.llm.components import components
 from textloom.llm.words import word_hashes
 
 #: Word counts of a profile; nodes of a bucket, and their words, that are compared at once; words that a worker keeps.
-PROFILE, BLOCK_ROWS, BLOCK_WORDS, KNOWN_WORDS = 512, 256, 200_000, 8_000_000
+PROFILE, BLOCK_ROWS, BLOCK_WORDS, KNOWN_WORDS = 512, 256, 200_000, 4_000_000
 NO_KEY = np.int64(-(2**63))
 #: Words of a text from and to, words of a k-mer, keys.
 CLASSES = ((0, 24, 2, 24), (20, 50, 3, 32), (40, 1 << 31, 5, 64))
@@ -310,7 +310,7 @@ def links(buckets: DataFrame, texts: DataFrame, classes: tuple = CLASSES, picked
         live = living(buckets.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band"))
         lead = live.groupBy("key").agg(F.min(F.struct("node", "n_words", "root")).alias("lead"))
         lead = lead.select(F.col("key").alias("_key"), F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("_n"), F.col("lead.root").alias("_root"))
-        lead = materialize(lead, "near-leaders")
+        lead = materialize(lead, "near-leaders", small=True)
         alike = F.least("n_words", "_n") >= F.greatest("n_words", "_n") * least
         open_pair = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & alike
         # Of several leaders of one component one is tried; the last part meets the others.
@@ -333,7 +333,7 @@ def groups(docs: DataFrame, classes: tuple = CLASSES, picked: int = PICKED, leas
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = materialize(signatures(docs, classes, picked).withColumnRenamed("node", "digest"), "near-signatures")
     nodes = signed.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    nodes = materialize(nodes.select(F.col("digest").alias("_digest"), "first_id", F.monotonically_increasing_id().alias("node")), "near-nodes")
+    nodes = materialize(nodes.select(F.col("digest").alias("_digest"), "first_id", F.monotonically_increasing_id().alias("node")), "near-nodes", small=True)
     one_each = signed.join(nodes, (signed["doc_id"] == nodes["first_id"]) & (signed["digest"] == nodes["_digest"]))
     exploded = one_each.select("node", "n_words", F.posexplode("keys").alias("band", "key"))
     exploded = materialize(exploded, "near-keys")
@@ -346,10 +346,10 @@ def groups(docs: DataFrame, classes: tuple = CLASSES, picked: int = PICKED, leas
     found = links(buckets, texts, classes, picked, least)
     linked = found.join(nodes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select("node", "root", "first_id")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lowest = materialize(lowest.select(F.col("root").alias("_root"), "component_id"), "near-lowest")
+    lowest = materialize(lowest.select(F.col("root").alias("_root"), "component_id"), "near-lowest", small=True)
     linked = linked.join(lowest, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id")
     named = nodes.join(linked, F.col("node") == F.col("_node"), "left").select("_digest", F.coalesce("component_id", "first_id").alias("component_id"))
-    named = materialize(named, "near-named")
+    named = materialize(named, "near-named", small=True)
     release(buckets, texts, nodes)
     out = signed.join(named, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
@@ -359,7 +359,7 @@ def groups(docs: DataFrame, classes: tuple = CLASSES, picked: int = PICKED, leas
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, one document of each group, with all their columns."""
     gone = groups(docs, **options).filter("not kept").select(F.struct("doc_id", "digest").alias("gone"))
-    gone = materialize(gone.distinct(), "near-gone")
+    gone = materialize(gone.distinct(), "near-gone", small=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     digest = F.unhex(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
     same = (F.col("row.doc_id").cast("long") == F.col("gone.doc_id")) & (digest == F.col("gone.digest"))

@@ -9,36 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm import bpe, embedding_dups, fingerprints, line_dedup, mixing, near_dups, quality, token_files, toxicity, warc
 from textloom.llm.common import table
 from textloom.llm.mixing_sql import MIX_SQL
+from textloom.sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embedding_dups.near_duplicates(spread(table(spark, sf_dir, "embeddings")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.file_round_trip(table(spark, sf_dir, "documents"))
+    return token_files.file_round_trip(documents(spark, sf_dir))
 
 
 def op4_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+    return fingerprints.edited_neighbours(documents(spark, sf_dir))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_words(table(spark, sf_dir, "documents"))
+    return mixing.mix_words(documents(spark, sf_dir))
 
 
 def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.remove_repeats(docs, counts=True)
 
 
@@ -47,11 +52,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.groups(table(spark, sf_dir, "documents")).drop("digest")
+    return near_dups.groups(documents(spark, sf_dir)).drop("digest")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return bpe.encode_documents(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
