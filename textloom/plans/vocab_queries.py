@@ -12,7 +12,7 @@ from textloom.plans.registry import query, table
 from textloom.sources.scratch import saved
 
 #: Merges that the query learns: a vocabulary of that size above the characters.
-MERGES = 300
+MERGES = 100
 SUFFIXES = ["s", "ed", "er", "en", "ing", "tion", "ment", "ly"]
 _LIST = "[" + ", ".join(f"'{s}'" for s in SUFFIXES) + "]"
 
@@ -251,8 +251,8 @@ def bpe_merges(spark, sf_dir):
 
 @query()
 def wordpiece_vocabulary(spark, sf_dir):
-    """A vocabulary of 500 word pieces over all words; the learner is tested against a plain loop."""
-    return learners.learn_wordpiece(counts_of(spark, sf_dir), 500)
+    """A vocabulary of 200 word pieces over all words; the learner is tested against a plain loop."""
+    return learners.learn_wordpiece(counts_of(spark, sf_dir), 200)
 
 
 @query()
