@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Fixed by the byte-level scheme: how a text falls into pre-tokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose encoding a worker remembers, and their longest length.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 
 
 def default_vocabulary() -> str:
