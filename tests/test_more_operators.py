@@ -200,9 +200,9 @@ def test_analogies(spark):
 
 
 def test_reports(spark):
-    rows = [("r1", "fertility", "tokens_per_word", "seen", "morpheus", 1.5), ("r1", "fertility", "tokens_per_word", "oov", "other", 9.0), ("r2", "coherence", "delta", "oov", "x", 0.3), ("r2", "coherence", "delta", "oov", "x", 0.2)]
+    rows = [("r1", "fertility", "tokens_per_word", "seen", "own", 1.5), ("r1", "fertility", "tokens_per_word", "oov", "other", 9.0), ("r2", "coherence", "delta", "oov", "x", 0.3), ("r2", "coherence", "delta", "oov", "x", 0.2)]
     merged = spark.createDataFrame(rows, "run string, category string, metric string, stratum string, model string, value double")
-    tables = reports.ablation_report(merged, ["seen", "oov"])
+    tables = reports.ablation_report(merged, ["seen", "oov"], "own")
     assert [tuple(r) for r in tables["fertility"].collect()] == [("r1", 1.5, None)] and [tuple(r) for r in tables["coherence"].collect()] == [("r2", None, 0.2)]
     assert reports.stacked(tables).count() == 2
     assert reports.subset(merged, "run", " r2, r3").count() == 2 and reports.subset(merged, "run", "").count() == 4

@@ -123,7 +123,6 @@ def char_ids(word: Column, size: int = 32, ends: bool = True) -> Column:
 
 # Patterns of tokenizer names, the first that matches counts.
 TOKENIZER_NAMES = (
-    ("morpheus", "Morpheus"),
     ("morfessor", "Morfessor"),
     ("byte", "ByteBPE"),
     ("^bpe", "BPE"),

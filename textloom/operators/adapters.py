@@ -112,8 +112,9 @@ def word_embeddings(words: DataFrame, make: Callable[[], Callable[[list[str]], o
     return words.select("word").distinct().mapInPandas(run, "word string, vector array<double>")
 
 
-#: Parts of speech of an analysis that say that a word is unknown.
+# Parts of speech that say that a word is unknown, and a surface in a formatted analysis.
 UNKNOWN = ("unk", "unknown", "punc")
+SURFACE = "([a-zçğıöşü]+):"
 
 
 def analyses(words: DataFrame, make: Callable[[], Callable[[str], list[tuple[str, str, str]]]]) -> DataFrame:
@@ -134,7 +135,7 @@ def analyses(words: DataFrame, make: Callable[[], Callable[[str], list[tuple[str
 def inventory(analysed: DataFrame) -> DataFrame:
     """kind ('morpheme' or 'word'), entry: surfaces and lemmas of the known analyses, and the words that have one."""
     known = analysed.filter("not failed").filter(~F.coalesce(F.lower("pos").isin(*UNKNOWN), F.lit(False)))
-    surfaces = F.regexp_extract_all(tr_lower(F.coalesce("formatted", F.lit(""))), F.lit("([a-zçğıöşü]+):"), F.lit(1))
+    surfaces = F.regexp_extract_all(tr_lower(F.coalesce("formatted", F.lit(""))), F.lit(SURFACE), F.lit(1))
     lemma = F.when(F.coalesce(F.length("lemma"), F.lit(0)) > 0, F.array(tr_lower(F.col("lemma")))).otherwise(F.array().cast("array<string>"))
     morphemes = known.select(F.lit("morpheme").alias("kind"), F.explode(F.concat(surfaces, lemma)).alias("entry"))
     return morphemes.union(known.select(F.lit("word"), "word")).distinct()

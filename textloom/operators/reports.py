@@ -27,21 +27,21 @@ def pivot_metric(long: DataFrame, rows: str, columns: str, values: list[str], va
     return long.groupBy(rows).pivot(columns, values).agg(F.min(value))
 
 
-#: The ablation report's tables: name, category, metric, model (any if None).
+#: The ablation report's tables: name, category, metric, and whether one model's rows are meant.
 ABLATIONS = (
-    ("coherence", "coherence", "delta", None),
-    ("boundary_f1", "boundary_vs_morfessor", "f1", None),
-    ("fertility", "fertility", "tokens_per_word", "morpheus"),
-    ("agreement", "mas_vs_morfessor", "boundary_agreement_pct", "morpheus"),
+    ("coherence", "coherence", "delta", False),
+    ("boundary_f1", "boundary", "f1", False),
+    ("fertility", "fertility", "tokens_per_word", True),
+    ("agreement", "agreement", "boundary_agreement_pct", True),
 )
 
 
-def ablation_report(merged: DataFrame, strata: list[str], tables: tuple = ABLATIONS) -> dict[str, DataFrame]:
+def ablation_report(merged: DataFrame, strata: list[str], model: str, tables: tuple = ABLATIONS) -> dict[str, DataFrame]:
     """Pivots of the run by the stratum, one a table of ``tables``; ``merged`` has run, category, metric, stratum, model, value."""
     out = {}
-    for name, category, metric, model in tables:
+    for name, category, metric, one_model in tables:
         rows = merged.filter((F.col("category") == category) & (F.col("metric") == metric))
-        rows = rows.filter(F.col("model") == model) if model else rows
+        rows = rows.filter(F.col("model") == model) if one_model else rows
         out[name] = pivot_metric(rows, "run", "stratum", strata)
     return out
 

@@ -212,12 +212,12 @@ def ablation_report(spark, sf_dir):
     counts = words_of(spark, sf_dir).join(docs, "doc_id").groupBy("run", "word").agg(F.count(F.lit(1)).alias("freq"))
     word, by = F.col("word"), ["run", "stratum"]
     pairs = counts.select("run", "word", F.when(F.col("freq") >= 5, "seen").otherwise("oov").alias("stratum"), S.with_suffix(word, SUFFIXES).alias("gold"), S.every(word, 3).alias("predicted"))
-    long = lambda df, category, metric, c: df.select("run", F.lit(category).alias("category"), F.lit(metric).alias("metric"), "stratum", F.lit("morpheus").alias("model"), F.col(c).alias("value"))
-    merged = long(metrics.boundary_scores(pairs, by), "boundary_vs_morfessor", "f1", "f1")
-    merged = merged.unionByName(long(metrics.alignment_score(pairs, by), "mas_vs_morfessor", "boundary_agreement_pct", "mas"))
+    long = lambda df, category, metric, c: df.select("run", F.lit(category).alias("category"), F.lit(metric).alias("metric"), "stratum", F.lit("thirds").alias("model"), F.col(c).alias("value"))
+    merged = long(metrics.boundary_scores(pairs, by), "boundary", "f1", "f1")
+    merged = merged.unionByName(long(metrics.alignment_score(pairs, by), "agreement", "boundary_agreement_pct", "mas"))
     merged = merged.unionByName(long(metrics.fertility(pairs.withColumnRenamed("predicted", "segs"), by), "fertility", "tokens_per_word", "fertility"))
     merged = reports.subset(merged, "run", ",".join(_LANGS))
-    return reports.stacked(reports.ablation_report(merged, ["seen", "oov"], reports.ABLATIONS[1:]))
+    return reports.stacked(reports.ablation_report(merged, ["seen", "oov"], "thirds", reports.ABLATIONS[1:]))
 
 
 _RANDOM = "list_transform(range(1, 9), lambda i: ('0x' || substr(md5(vec_id || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5)"
