@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.text import UNK_ID, char_table, tr_lower
@@ -64,16 +66,36 @@ def coded_words(words: DataFrame, make: Callable[[], Codec]) -> DataFrame:
     return words.select("word").distinct().mapInPandas(run, "word string, ids array<int>, decoded string, failed boolean")
 
 
+#: Ids that a batch of texts has at most, but for a longer text of its own.
+PART_IDS = 1 << 20
+
+
 def token_ids(texts: DataFrame, make: Callable[[], Codec]) -> DataFrame:
     """doc_id, ids of each whole text through a language model's tokenizer; null is ''."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
-        for batch in batches:
-            ids = [[int(i) for i in codec.encode(t or "")] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
-    return texts.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids array<int>")
+        def part(doc_ids: list, found: list) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], ["doc_id", "ids"])
+
+        for batch in batches:
+            doc_ids, found, held = [], [], 0
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                # Python numbers of one text at a time; the ids of a part of bounded size.
+                ids = np.fromiter((int(i) for i in codec.encode(text.as_py() or "")), dtype=np.int32)
+                if doc_ids and held + len(ids) > PART_IDS:
+                    yield part(doc_ids, found)
+                    doc_ids, found, held = [], [], 0
+                doc_ids.append(doc_id.as_py())
+                found.append(ids)
+                held += len(ids)
+            if doc_ids:
+                yield part(doc_ids, found)
+
+    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def observed_vocabulary(ids: DataFrame, declared: int) -> DataFrame:
