@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import segments as S
+from textloom.functions import text as X
 from textloom.operators import metrics, reports, vocab
 from textloom.plans import sqlparts as P
 from textloom.plans.registry import query, table
@@ -31,13 +32,19 @@ def _rounded(df, *columns, digits: int = 9):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _lang_counts(spark, sf_dir, name):
+    """lang, word and the word's count; the language stays in the document's row."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    words = docs.select("lang", F.explode(X.clean_words(F.col("text"))).alias("word"))
+    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias(name))
+
+
 @query(f"""WITH {P.WORDS}, c AS (SELECT lang, word, count(*) AS n FROM words JOIN documents USING (doc_id) GROUP BY ALL),
 p AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS p FROM c),
 s AS (SELECT lang, sum(n)::BIGINT AS tokens, count(*) AS types, -sum(p * log2(p)) AS shannon, log2(sum(pow(p, 2.5))) / -1.5::DOUBLE AS renyi FROM p GROUP BY lang)
 SELECT lang, tokens, types, round(shannon, 9) AS shannon, round(renyi, 9) AS renyi, round(renyi / log2(greatest(types, 2)), 9) AS renyi_efficiency FROM s""")
 def token_entropy_renyi(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    counts = words_of(spark, sf_dir).join(docs, "doc_id").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = _lang_counts(spark, sf_dir, "n")
     return _rounded(metrics.entropies(counts, ["lang"]), "shannon", "renyi", "renyi_efficiency")
 
 
@@ -45,8 +52,7 @@ def token_entropy_renyi(spark, sf_dir):
 s AS (SELECT lang, sum(freq)::BIGINT AS words, sum(ceil(length(word) / 3) * freq)::BIGINT AS tokens, sum(length(word) * freq)::BIGINT AS chars FROM c GROUP BY lang)
 SELECT *, tokens / greatest(words, 1) AS fertility, tokens / greatest(chars, 1) AS tokens_per_char, chars / greatest(tokens, 1) AS compression FROM s""")
 def fertility_by_lang(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    counts = words_of(spark, sf_dir).join(docs, "doc_id").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("freq"))
+    counts = _lang_counts(spark, sf_dir, "freq")
     return metrics.fertility(counts.withColumn("segs", S.every(F.col("word"), 3)), ["lang"])
 
 
