@@ -1,10 +1,13 @@
 """Operators on forms that stay small on large tables."""
 
 import math
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from textloom.operators import retrieval, similar
+from textloom.functions import text as X
+from textloom.operators import adapters, retrieval, similar, vocab
 
 
 def test_nearest_and_counts_send_no_pairs(spark):
@@ -41,3 +44,73 @@ def sum_of(a, b):
             return None
         out += x * y
     return out
+
+
+def test_documents_are_encoded_without_a_row_a_word(spark):
+    texts = ["ev evler qa", "", "qa", "ab ev ab", None]
+    docs = spark.createDataFrame([(i, t.split() if t is not None else []) for i, t in enumerate(texts)], "doc_id long, words array<string>")
+    tokens = spark.createDataFrame([(X.MARKER + "ev", 5), ("a", 6), (X.MARKER + "a", 8), ("b", 9), ("<UNK>", 0)], "token string, id int")
+    words = docs.select("doc_id", F.posexplode("words").alias("pos", "word"))
+    rows = vocab.encode_with_chars(words.select("doc_id", "pos", F.concat(F.lit(X.MARKER), "word").alias("token")), tokens)
+    want = {}
+    for r in rows.orderBy("doc_id", "pos", "sub").collect():
+        want.setdefault(r["doc_id"], []).append(r["id"])
+    encoded = vocab.encode_documents(docs, tokens)
+    assert {r["doc_id"]: r["ids"] for r in encoded.collect()} == want
+    text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    decoded = vocab.decode_documents(encoded, tokens, [0])
+    assert text(decoded) == text(vocab.decode_tokens(rows, tokens, [0]))
+    assert "Exchange" not in decoded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_blocks_and_pairs_stay_in_their_row(spark):
+    rng = random.Random(3)
+    lists = [[rng.choice("abcd") for _ in range(n)] for n in (0, 1, 2, 3, 32, 33, 35, 64, 65, 100)]
+    docs = spark.createDataFrame(list(enumerate(lists)), "doc_id long, words array<string>")
+    words = docs.select("doc_id", F.posexplode("words").alias("pos", "word"))
+    key = lambda df: sorted((r["doc_id"], r["chunk"], r["words"]) for r in df.select("doc_id", "chunk", "words").collect())
+    chunks = vocab.document_chunks(docs)
+    assert key(chunks) == key(vocab.sentence_chunks(words))
+    ids = spark.createDataFrame([(c, i) for i, c in enumerate("abc", 1)], "word string, id int")
+    blocks = vocab.document_blocks(vocab.encode_documents(docs, ids, "word"), 32)
+    want = {}
+    for r in vocab.token_blocks(vocab.with_ids(words, ids).select("doc_id", "pos", "id"), 32).orderBy("doc_id", "pos").collect():
+        got = want.setdefault((r["doc_id"], r["block"]), ([], []))
+        got[0].append(r["id"])
+        if r["target"] is not None:
+            got[1].append(r["target"])
+    assert {(r["doc_id"], r["block"]): (r["ids"], r["targets"]) for r in blocks.collect()} == want
+    pairs = vocab.pairs_of_arrays(docs, 2)
+    assert Counter((r["word"], r["context"]) for r in pairs.collect()) == Counter((x[i], x[j]) for x in lists for i in range(len(x)) for j in range(len(x)) if 0 < abs(i - j) <= 2)
+    for df in (chunks, blocks, pairs):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_of_texts_leave_in_parts(spark, monkeypatch):
+    texts = ["x" * n for n in (700, 10, 600, 3, 2500, 0)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(adapters, "PART_IDS", 1000)
+    ids = adapters.token_ids(df, adapters.byte_codec)
+    assert [len(r["ids"]) for r in ids.orderBy("doc_id").collect()] == [len(t or "") for t in texts]
+    assert ids._jdf.queryExecution().executedPlan().toString().startswith("MapInArrow")  # pandas would hold all lists of a batch
+
+
+def test_texts_are_cleaned_once(spark, monkeypatch):
+    """Queries that use the word counts several times read the documents once."""
+    from textloom.plans import vocab_queries as Q
+
+    docs = spark.createDataFrame([(1, "evler evde yollar yolda")], "doc_id long, text string")
+    read = []
+    monkeypatch.setattr(Q, "table", lambda *a: read.append(a) or docs)
+    for query in (Q.boundary_labels, Q.unigram_segments, Q.wordpiece_vocabulary):
+        read.clear()
+        plan = query(spark, "")._jdf.queryExecution().executedPlan().toString()
+        assert len(read) == 1 and "text#" not in plan
+
+
+def test_documents_are_not_cleaned_for_a_filter(spark):
+    docs = spark.createDataFrame([(1, "evler evde"), (2, "?")], "doc_id long, text string").select("doc_id", X.clean_words(F.col("text")).alias("words"))
+    ids = spark.createDataFrame([("evde", 4)], "word string, id int")
+    coded = vocab.encode_documents(docs, ids, "word")
+    assert [(r["doc_id"], r["ids"]) for r in coded.collect()] == [(1, [0, 4])]
+    assert "Filter" not in coded._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.functions import segments as S
@@ -89,6 +93,73 @@ def encode_distinct(words: DataFrame, vocab: DataFrame, unk: int = 0) -> DataFra
     return spelled.groupBy(F.col("doc_id").alias("word")).agg(ids.alias("ids"))
 
 
+#: Documents that are encoded before their ids leave Python.
+BATCH_DOCS = 64
+#: Distinct words whose ids a worker remembers.
+KNOWN_WORDS = 1 << 18
+
+
+def encode_documents(docs: DataFrame, vocab: DataFrame, key: str = "token", unk: int = 0) -> DataFrame:
+    """doc_id, ids of documents with an array ``words``, in order: no row a word, no shuffle.
+
+    With ``key`` 'token' as :func:`encode_with_chars`: a known token whole, another
+    by character. With 'word' as :func:`with_ids`. ``vocab``, a bounded table of
+    ``key`` and id, is broadcast. Documents without words give no row.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast({r[0]: r[1] for r in vocab.select(key, "id").collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = shared.value, {}
+
+        def coded(word: str) -> list[int]:
+            if key == "word":
+                return [known.get(word, unk)]
+            whole = known.get(MARKER + word)
+            return [known.get(MARKER * (i == 0) + c, unk) for i, c in enumerate(word)] if whole is None else [whole]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                some, out = batch.slice(at, BATCH_DOCS), []
+                for words in some.column("words"):
+                    ids: list[int] = []
+                    for word in words.as_py() or ():
+                        found = seen.get(word)
+                        if found is None:
+                            if len(seen) >= KNOWN_WORDS:
+                                seen.clear()
+                            found = seen[word] = coded(word)
+                        ids += found
+                    out.append(np.array(ids, dtype=np.int32))
+                found = pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                # Not filtered by Spark, which would clean the text for the filter and again for the words.
+                yield found.filter(pa.array([len(ids) > 0 for ids in out]))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "words").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, vocab: DataFrame, skip: list[int]) -> DataFrame:
+    """doc_id, text as :func:`decode_tokens`, from (doc_id, ids); documents of ``skip`` ids only give no row."""
+    shared = encoded.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in vocab.select("id", "token").collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, left_out = shared.value, set(skip)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                doc_ids, texts = [], []
+                some = batch.slice(at, BATCH_DOCS)
+                for doc_id, ids in zip(some.column("doc_id"), some.column("ids")):
+                    kept = [i for i in ids.as_py() if i not in left_out]
+                    if kept:
+                        doc_ids.append(doc_id.as_py())
+                        texts.append("".join([names.get(i, "") for i in kept]).replace(MARKER, " ").strip(" "))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, batch.column("doc_id").type), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+
+
 def decode_tokens(encoded: DataFrame, vocab: DataFrame, skip: list[int]) -> DataFrame:
     """doc_id, text: tokens of the ids in order, marker as blank, ``skip`` ids left out."""
     kept = encoded.filter(~F.col("id").isin(skip)) if skip else encoded
@@ -127,6 +198,28 @@ def sentence_chunks(words: DataFrame, size: int = 32, least: int = 3) -> DataFra
     return words.groupBy("doc_id", chunk).agg(ordered.alias("words")).filter(F.size("words") >= least)
 
 
+def array_runs(words: Column, size: int) -> Column:
+    """The parts of ``size`` of an array, each (chunk, words); none of an empty one."""
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at, i: F.struct(i.cast("int").alias("chunk"), F.slice(words, at + 1, F.lit(size)).alias("words")))
+
+
+def document_chunks(docs: DataFrame, size: int = 32, least: int = 3) -> DataFrame:
+    """doc_id, chunk, words as :func:`sentence_chunks`, of documents with an array ``words``: no row a word, no shuffle."""
+    return docs.select("doc_id", F.inline(array_runs(F.col("words"), size))).filter(F.size("words") >= least)
+
+
+def document_blocks(encoded: DataFrame, size: int) -> DataFrame:
+    """doc_id, block, ids, targets: the blocks of :func:`token_blocks` as arrays, from (doc_id, ids).
+
+    The targets are the ids one place on, one fewer in a document's last block.
+    """
+    starts = F.sequence(F.lit(0), F.size("ids") - 1, F.lit(size))
+    part = lambda at: F.slice("ids", at, F.lit(size))
+    blocks = F.transform(starts, lambda at, i: F.struct(i.cast("long").alias("block"), part(at + 1).alias("ids"), part(at + 2).alias("targets")))
+    return encoded.filter(F.size("ids") > 0).select("doc_id", F.inline(blocks))
+
+
 def token_blocks(stream: DataFrame, size: int) -> DataFrame:
     """``stream`` (doc_id, pos, id) with its block, offset and next token as target."""
     order = W.partitionBy("doc_id").orderBy("pos")
@@ -178,14 +271,20 @@ def context_pairs(words: DataFrame, window: int = 2) -> DataFrame:
     return pairs_of_arrays(grouped, window)
 
 
-def pairs_of_arrays(df: DataFrame, window: int = 2) -> DataFrame:
-    """doc_id, word, context from doc_id and an array ``words``; no join and no shuffle."""
-    n = F.size("words")
-    offsets = [d for d in range(-window, window + 1) if d]
-    at = F.posexplode("words").alias("i", "word")
-    spread = df.select("doc_id", "words", n.alias("n"), at)
-    near = F.array(*[F.when((F.col("i") + d >= 0) & (F.col("i") + d < F.col("n")), F.get("words", F.col("i") + d)) for d in offsets])
-    return spread.select("doc_id", "word", F.explode(near).alias("context")).filter(F.col("context").isNotNull())
+def pairs_of_arrays(df: DataFrame, window: int = 2, both: bool = True) -> DataFrame:
+    """doc_id, word, context from doc_id and an array ``words``; no join and no shuffle.
+
+    Without ``both`` only contexts after the word: a pair counts for both its words.
+    """
+    # One array of pairs a document: exploding the places would copy ``words`` to each.
+    ahead = [d for d in range(1, window + 1)]
+    pair = lambda a, b: F.struct(a.alias("word"), b.alias("context"))
+    rest = lambda d: F.greatest(F.size("words") - d, F.lit(0))
+    near = [F.zip_with(F.slice("words", F.lit(1), rest(d)), F.slice("words", F.lit(d + 1), rest(d)), pair) for d in ahead]
+    forward = df.select("doc_id", F.inline(F.concat(*near)))
+    if not both:
+        return forward
+    return forward.select("doc_id", F.inline(F.array(pair(F.col("word"), F.col("context")), pair(F.col("context"), F.col("word")))))
 
 
 def negative_distribution(counts: DataFrame, power: float = 0.75) -> DataFrame:
