@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from textloom.functions import segments as S
 from textloom.functions import text as X
 from textloom.operators import adapters, retrieval, similar, vocab
 
@@ -114,3 +115,12 @@ def test_documents_are_not_cleaned_for_a_filter(spark):
     coded = vocab.encode_documents(docs, ids, "word")
     assert [(r["doc_id"], r["ids"]) for r in coded.collect()] == [(1, [0, 4])]
     assert "Filter" not in coded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_compute_their_cuts_once(spark):
+    df = spark.createDataFrame([(["ev", "ler", "de"],), (["ev"],), (None,)], "segs array<string>")
+    plan = df.select(S.labels(S.boundaries(F.col("segs")), 8).alias("l"))
+    assert [r["l"] and "".join(map(str, r["l"])) for r in plan.collect()][:2] == ["00100100", "00000000"]
+    assert [r[0] for r in df.select(S.labels(F.lit(None).cast("array<int>"), 2)).collect()][0] == [None, None]
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert "transform(array(transform(slice(segs" in text  # the cuts stand outside the positions' function

@@ -56,7 +56,8 @@ def with_suffix(word: Column, suffixes: list[str]) -> Column:
 
 def labels(cuts: Column, size: int = 31) -> Column:
     """0/1 for each position below ``size``: whether a boundary lies there."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(cuts, i).cast("int"))
+    # An array of one binds the cuts, which each position would compute again.
+    return F.get(F.transform(F.array(cuts), lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(own, i).cast("int"))), F.lit(0))
 
 
 def confidence(segs: Column, word: Column) -> Column:
