@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import segments as S
@@ -38,6 +39,32 @@ def test_nearest_and_counts_send_no_pairs(spark):
     assert abs(got["map"] - total / asked.count()) < 1e-12
 
 
+def test_nearest_are_exact_behind_rough_products(spark):
+    """Copies tie by id, near ties are told apart, and what leaves the tasks does not grow with the parts of the table."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(900, 8))
+    vectors[100:200] = vectors[100] + rng.normal(size=(100, 8)) * 1e-12  # closer than single precision
+    vectors[300:650] = vectors[300]  # copies, over a quarter of a block
+    vectors[700:720] *= 1e9  # longer than is taken in single precision
+    ids = rng.permutation(900)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "id long, unit array<double>")
+    asked = rows.filter("id % 4 = 0")
+    found = similar.nearest(asked, rows.repartition(40), 6)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = {}
+    for r in retrieval.nearest(asked, rows, 6).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["id"], r["sim"]))
+    for i in range(900):
+        if ids[i] % 4 == 0:
+            sims = similar.dots(vectors[i : i + 1], vectors)[0]
+            order = [j for j in np.lexsort((ids, -sims)) if j != i][:6]
+            assert got[ids[i]] == [(ids[j], sims[j]) for j in order]
+    best = similar.Nearest(4, 2)
+    rough = (vectors[:4].astype(np.float32) @ vectors[:100].astype(np.float32).T).astype(np.float32)
+    best.add_rough(rough, 1e-5, vectors[:4], vectors[:100], np.arange(100))
+    assert best.id.reshape(4, 2).tolist() == np.argsort(-similar.dots(vectors[:4], vectors[:100]), axis=1)[:, :2].tolist()
+
+
 def sum_of(a, b):
     out = 0.0
     for x, y in zip(a, b):
