@@ -65,6 +65,18 @@ def test_nearest_are_exact_behind_rough_products(spark):
     assert best.id.reshape(4, 2).tolist() == np.argsort(-similar.dots(vectors[:4], vectors[:100]), axis=1)[:, :2].tolist()
 
 
+def test_places_are_counted_by_sorted_values():
+    rng = np.random.default_rng(7)
+    for digits in (16, 1):  # without and with ties
+        sim = -np.sort(-np.round(rng.normal(size=50), digits))
+        ids = np.arange(50) * 3  # ascending, as within runs of equal similarities
+        sims, others = np.round(rng.normal(size=400), digits), rng.permutation(400) * 3 + 1
+        before = np.zeros(51, dtype=np.int32)
+        similar.count_places(before, sim, -sim, ids, sims, others)
+        want = Counter(sum((a > s) or (a == s and i < o) for a, i in zip(sim, ids)) for s, o in zip(sims, others))
+        assert {i: n for i, n in enumerate(before.tolist()) if n} == want
+
+
 def sum_of(a, b):
     out = 0.0
     for x, y in zip(a, b):
