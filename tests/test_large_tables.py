@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import segments as S
 from textloom.functions import text as X
-from textloom.operators import adapters, retrieval, similar, vocab
+from textloom.operators import adapters, corpus, retrieval, similar, vocab
 
 
 def test_nearest_and_counts_send_no_pairs(spark):
@@ -163,3 +163,17 @@ def test_labels_compute_their_cuts_once(spark):
     assert [r[0] for r in df.select(S.labels(F.lit(None).cast("array<int>"), 2)).collect()][0] == [None, None]
     text = plan._jdf.queryExecution().analyzed().toString()
     assert "transform(array(transform(slice(segs" in text  # the cuts stand outside the positions' function
+
+
+def test_rules_share_what_they_read(spark):
+    """Letters are looked up, and a line is cleaned, lowered and split once, not once a rule."""
+    rows = [(1, 0, "Bu bir  deneme satırıdır ve çok uzun bir [1] cümledir 😀."), (1, 1, "wax qix quiz the lazy fox jumps over it"), (2, 0, "ßéÿ ĞİŞ ve"), (2, 1, None)]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no int, line string")
+    for chars in (corpus.LETTERS, "qwx", "a-f", "😀é"):
+        got = lines.select(corpus.characters_of(F.col("line"), chars).alias("n"), F.length(F.regexp_replace("line", f"[^{chars}]", "")).alias("want")).collect()
+        assert all(r["n"] == r["want"] for r in got)
+    cleaned = corpus.clean_lines(lines)
+    want = lines.withColumn("line", corpus.cleaned_line(F.col("line"))).withColumn("reason", corpus.reject_reason(F.col("line")))
+    assert cleaned.columns == want.columns and sorted(map(str, cleaned.collect())) == sorted(map(str, want.collect()))
+    plan = cleaned.filter("reason is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("kaynak belirtilmeli") == 1 and plan.count(corpus.LETTERS) == 1 and f"[^{corpus.LETTERS}]" not in plan

@@ -49,11 +49,21 @@ def cleaned_line(line: Column) -> Column:
 
 def reject_reason(c: Column, rules: LineRules = LineRules()) -> Column:
     """Name of the first rule that the cleaned line ``c`` breaks, or null."""
-    low = F.lower(c)
-    tokens = split_words(c)
+    return first_broken(c, F.lower(c), split_words(c), rules)
+
+
+def characters_of(c: Column, chars: str) -> Column:
+    """How many characters of ``c`` are in ``chars``, the inside of a character class."""
+    if set(chars) & set(r"\-[]^&"):
+        return F.length(F.regexp_replace(c, f"[^{chars}]", ""))
+    # A class of letters beyond Latin-1 tries one after another for each character; this looks each up.
+    return F.length(c) - F.length(F.translate(c, chars, ""))
+
+
+def first_broken(c: Column, low: Column, tokens: Column, rules: LineRules) -> Column:
+    """As :func:`reject_reason`, of a line whose lower case and words are given."""
     letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
-    inside = F.length(F.regexp_replace(low, f"[^{rules.alphabet}]", ""))
-    foreign = F.length(F.regexp_replace(low, f"[^{rules.foreign}]", ""))
+    inside, foreign = characters_of(low, rules.alphabet), characters_of(low, rules.foreign)
     other = F.length(F.regexp_replace(F.regexp_replace(c, SPACE, ""), r"[\p{L}]", ""))
     checks = [
         ("length", ~F.length(c).between(rules.min_chars, rules.max_chars)),
@@ -74,7 +84,12 @@ def reject_reason(c: Column, rules: LineRules = LineRules()) -> Column:
 
 def clean_lines(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """``lines`` with the cleaned line and ``reason`` (null where it is kept)."""
-    return lines.withColumn("line", cleaned_line(F.col("line"))).withColumn("reason", reject_reason(F.col("line"), rules))
+    # Each step is a row of its own array: what several rules use is then computed once, not written into each of them.
+    once = lambda df, **columns: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    cleaned = once(lines.withColumnRenamed("line", "_line"), line=cleaned_line(F.col("_line")))
+    parted = once(cleaned, _low=F.lower("line"), _tokens=split_words(F.col("line")))
+    reason = first_broken(F.col("line"), F.col("_low"), F.col("_tokens"), rules)
+    return once(parted, reason=reason).select(*lines.columns, "reason")
 
 
 def dedup_lines(lines: DataFrame, order: list[str]) -> DataFrame:
