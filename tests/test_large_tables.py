@@ -5,11 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import segments as S
 from textloom.functions import text as X
-from textloom.operators import adapters, corpus, retrieval, similar, vocab
+from textloom.operators import adapters, corpus, learners, retrieval, similar, vocab
 
 
 def test_nearest_and_counts_send_no_pairs(spark):
@@ -177,3 +178,24 @@ def test_rules_share_what_they_read(spark):
     assert cleaned.columns == want.columns and sorted(map(str, cleaned.collect())) == sorted(map(str, want.collect()))
     plan = cleaned.filter("reason is null")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("kaynak belirtilmeli") == 1 and plan.count(corpus.LETTERS) == 1 and f"[^{corpus.LETTERS}]" not in plan
+
+
+def test_pairs_are_counted_in_blocks_of_words():
+    """As a loop over words, with runs of one symbol, inner marks and few or many symbols."""
+    rng = random.Random(5)
+    for letters, marker in (("ab", ""), ("abé😀", "##"), ([chr(c) for c in range(0x4E00, 0x4E00 + 3000)], "")):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+        freq = np.array([rng.randint(1, 9) for _ in words])
+        join = lambda a, b: a + b.removeprefix(marker) if marker else a + b
+        a, b = letters[0], marker + letters[0]
+        merges = [(a, b), (join(a, b), marker + letters[1])]
+        symbols = learners.Symbols(merges, join, marker)
+        pairs, sums = symbols.pairs(pa.array(words), freq)
+        want = Counter()
+        for w, n in zip(words, freq):
+            segs = [w[0], *(marker + c for c in w[1:])]
+            for pair in merges:
+                segs = learners.merged(segs, {pair: join(*pair)})
+            for pair in zip(segs, segs[1:]):
+                want[pair] += int(n)
+        assert {(symbols.name(int(p) >> 32), symbols.name(int(p) & 0xFFFFFFFF)): int(n) for p, n in zip(pairs, sums)} == want

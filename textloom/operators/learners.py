@@ -1,8 +1,8 @@
 """Learned segmenters over distinct words, and simple classifiers.
 
-Learners see (word, freq) tables, never running text. Merge learning keeps one
-row a distinct word and counts pairs in a distributed aggregation; only the most
-frequent pairs of a round, a bounded list, reach the driver.
+Learners see (word, freq) tables, never running text. Merge learning reads one
+row a distinct word and counts pairs in numpy blocks; only the most frequent pairs
+of a round, a bounded list, reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ import math
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.text import characters
@@ -45,29 +48,131 @@ def safe_merges(pairs: list[tuple[str, str, int]], symbols: set[str], most: int,
     return out
 
 
-def _learn(state: DataFrame, merges: int, join: Callable[[str, str], str], least: int = 1) -> tuple[list[tuple[str, str]], DataFrame]:
-    """Merges of (word, freq, segs), and the table after them; the table is written once a round."""
-    state = saved(state, "merges")
-    symbols = {r[0] for r in bounded(state.select(F.explode("segs")).distinct())}
+#: Words whose pairs are counted at once.
+PART_WORDS = 1 << 18
+
+
+class Symbols:
+    """Numbers of symbols: characters by code point, inner ones (``marker`` before them) after those, then merged ones."""
+
+    POINTS = 0x110000
+
+    def __init__(self, merges: list[tuple[str, str]], join: Callable[[str, str], str], marker: str = ""):
+        self.marker, self.names = marker, {}
+        self.merges = [(self.number(a), self.number(b), self.number(join(a, b))) for a, b in merges]
+
+    def number(self, symbol: str) -> int:
+        bare = symbol.removeprefix(self.marker) if self.marker and len(symbol) > len(self.marker) else symbol
+        if len(bare) == 1:
+            return ord(bare) + self.POINTS * (bare != symbol)
+        return self.names.setdefault(symbol, 2 * self.POINTS + len(self.names))
+
+    def name(self, number: int) -> str:
+        if number < 2 * self.POINTS:
+            return self.marker * (number >= self.POINTS) + chr(number % self.POINTS)
+        return list(self.names)[number - 2 * self.POINTS]
+
+    def spelled(self, words: pa.Array) -> np.ndarray:
+        """The symbols of all words after the merges, each word behind a -1."""
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        points = np.full(int(sizes.sum()) + len(sizes), -1, dtype=np.int32)
+        inside = np.ones(len(points), dtype=bool)
+        inside[np.cumsum(sizes + 1) - sizes - 1] = False
+        points[inside] = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype=np.int32)
+        if self.marker:
+            points[1:][inside[1:] & inside[:-1]] += self.POINTS
+        for a, b, whole in self.merges:
+            at = np.flatnonzero(points[:-1] == a)
+            at = at[points[at + 1] == b]
+            if a == b and len(at):  # from the left: every second of a run
+                start = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                at = at[(np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))) % 2 == 0]
+            if len(at):
+                points[at] = whole
+                kept = np.ones(len(points), dtype=bool)
+                kept[at + 1] = False
+                points = points[kept]
+        return points
+
+    def pairs(self, words: pa.Array, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair of neighbours of the spelled words as one number, and its words' summed ``freq``."""
+        points = self.spelled(words)
+        word = np.cumsum(points < 0) - 1
+        at = np.flatnonzero((points[:-1] >= 0) & (points[1:] >= 0))
+        there = np.zeros(2 * self.POINTS + len(self.names), dtype=bool)
+        there[points[at]], there[points[at + 1]] = True, True
+        used = np.flatnonzero(there)
+        place = np.zeros(len(there), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        code, own = place[points[at]] * len(used) + place[points[at + 1]], freq[word[at]]
+        if len(used) ** 2 <= 1 << 22 and float(np.abs(own).astype(float).sum()) < 2.0**52:  # whole numbers are exact in doubles
+            sums = np.bincount(code, own, len(used) ** 2).astype(np.int64)
+            every = np.flatnonzero(np.bincount(code, minlength=len(used) ** 2))
+            sums = sums[every]
+        else:
+            every, back = np.unique(code, return_inverse=True)
+            sums = np.zeros(len(every), dtype=np.int64)
+            np.add.at(sums, back, own)
+        n = max(1, len(used))
+        return (used[every // n] << 32) | used[every % n], sums
+
+
+def pair_counts(counts: DataFrame, merges: list[tuple[str, str]], join: Callable[[str, str], str], marker: str = "") -> DataFrame:
+    """a, b, n: neighbouring symbols of (word, freq) after ``merges``, each summed within its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(merges, join, marker)
+        pairs, sums = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+        def add(table: pa.Table) -> None:
+            nonlocal pairs, sums
+            table = table.combine_chunks()
+            own, freq = symbols.pairs(table.column("word").combine_chunks(), table.column("freq").to_numpy())
+            every, at = np.unique(np.concatenate([pairs, own]), return_inverse=True)
+            total = np.zeros(len(every), dtype=np.int64)
+            np.add.at(total, at, np.concatenate([sums, freq]))
+            pairs, sums = every, total
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PART_WORDS:
+                add(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            add(pa.Table.from_batches(held))
+        name = {int(i): symbols.name(int(i)) for i in np.unique(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF]))}
+        for i in range(0, len(pairs), 1 << 16):
+            some = pairs[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([name[int(x)] for x in some >> 32]), pa.array([name[int(x)] for x in some & 0xFFFFFFFF]), pa.array(sums[i : i + (1 << 16)])], ["a", "b", "n"])
+
+    found = counts.select("word", F.col("freq").cast("long")).mapInArrow(run, "a string, b string, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _learn(counts: DataFrame, merges: int, join: Callable[[str, str], str], least: int = 1, marker: str = "", room: bool = False) -> tuple[list[tuple[str, str]], list[str]]:
+    """Merges of the words of (word, freq), and the characters they start from; with ``room`` both are ``merges`` together.
+
+    Words are read anew each round and spelled by the merges so far, in blocks of
+    numbers; nothing is written but the words, once.
+    """
+    words = saved(counts.select("word", "freq"), "words")
+    rest = F.expr("substring(word, 2)")
+    chars = words.select(F.explode(F.array_distinct(F.concat(characters(F.substring("word", 1, 1)), F.transform(characters(rest), lambda c: F.concat(F.lit(marker), c))))))
+    first = sorted(r[0] for r in bounded(chars.distinct()))
+    symbols = set(first)
+    merges = max(0, merges - len(first)) if room else merges
     found: list[tuple[str, str]] = []
     while len(found) < merges:
-        inner = F.greatest(F.size("segs") - 1, F.lit(0))
-        both = F.zip_with(F.slice("segs", F.lit(1), inner), F.slice("segs", F.lit(2), inner), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        pairs = state.select("freq", F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.sum("freq").alias("n")).filter(F.col("n") >= least)
+        pairs = pair_counts(words, list(found), join, marker).filter(F.col("n") >= least)
         best = [(r["a"], r["b"], r["n"]) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(ROUND_PAIRS).collect()]
         some = safe_merges(best, symbols, merges - len(found), join)
         if not some:
             break
         found += some
-        wanted = {p: join(*p) for p in some}
-
-        def run(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.assign(segs=[merged(list(s), wanted) for s in batch["segs"]])
-
-        before, state = state, saved(state.mapInPandas(run, state.schema), "merges")
-        forget(before)
-    return found, state
+    forget(words)
+    return found, first
 
 
 def merged(segs: list[str], wanted: dict[tuple[str, str], str]) -> list[str]:
@@ -86,7 +191,17 @@ def learn_merges(counts: DataFrame, merges: int) -> tuple[list[tuple[str, str]],
     Ties go to the smaller pair. Several merges that cannot affect each other are
     made in one round; the result is that of one at a time.
     """
-    return _learn(counts.select("word", "freq", characters(F.col("word")).alias("segs")), merges, str.__add__)
+    found, _ = _learn(counts, merges, str.__add__)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            segs = [list(word) for word in batch["word"]]
+            for a, b in found:
+                segs = [merged(s, {(a, b): a + b}) if a in s else s for s in segs]
+            yield batch.assign(segs=segs)
+
+    kinds = counts.select("word", "freq", characters(F.col("word")).alias("segs")).schema
+    return found, counts.select("word", "freq").mapInPandas(run, kinds)
 
 
 def plain_words(counts: DataFrame) -> DataFrame:
@@ -107,14 +222,10 @@ def learn_wordpiece(counts: DataFrame, size: int, least: int = 2, marker: str =
     Words are :func:`plain_words`; pieces inside a word carry ``marker``; pairs
     under ``least`` are not merged. :func:`longest_match` encodes with it.
     """
-    words = plain_words(counts)
-    chars = characters(F.col("word"))
-    segs = F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(marker), c)))
-    state = words.select("word", "freq", segs.alias("segs"))
-    first = sorted(r[0] for r in bounded(state.select(F.explode("segs")).distinct()))
-    tokens = ["[UNK]", *first]
-    merges, _ = _learn(state, max(0, size - len(tokens)), lambda a, b: a + b.removeprefix(marker), least)
-    tokens = list(dict.fromkeys([*tokens, *(a + b.removeprefix(marker) for a, b in merges)]))[:size]
+    join = lambda a, b: a + b.removeprefix(marker)
+    # As many merges as there is room beside the unknown token; the characters take some of it.
+    merges, first = _learn(plain_words(counts), size - 1, join, least, marker, room=True)
+    tokens = list(dict.fromkeys(["[UNK]", *first, *(join(*p) for p in merges)]))[:size]
     return counts.sparkSession.createDataFrame(list(enumerate(tokens)), "id int, token string").select("token", "id")
 
 
