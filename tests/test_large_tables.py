@@ -104,6 +104,28 @@ def test_documents_are_encoded_without_a_row_a_word(spark):
     assert "Exchange" not in decoded._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_are_looked_up_in_arrays(spark, monkeypatch):
+    """As word by word, also across parts; ids that a query sums do not leave Python."""
+    monkeypatch.setattr(vocab, "PART_WORDS", 7)
+    rng = random.Random(11)
+    letters = "abçığ😀漢▁"
+    lists = [["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(n)] for n in (0, 1, 6, 7, 8, 40, 90)]
+    docs = spark.createDataFrame([*enumerate(lists), (90, None)], "doc_id long, words array<string>").coalesce(1)
+    known = ["<UNK>", "a", "b", "😀", *[X.MARKER + t for t in ("a", "ç", "漢", "ab", "b😀", "ığa")], "ab"]
+    tokens = spark.createDataFrame([(t, 3 * i) for i, t in enumerate(known)], "token string, id int")
+    ids = {t: 3 * i for i, t in enumerate(known)}
+    coded = lambda w: [ids[X.MARKER + w]] if X.MARKER + w in ids else [ids.get(X.MARKER * (i == 0) + c, 0) for i, c in enumerate(w)]
+    want = {i: [x for w in words for x in coded(w)] for i, words in enumerate(lists) if words}
+    joined = docs.withColumn("words", F.concat(F.lit(" "), F.array_join("words", "  ")))
+    for form in (docs, docs.withColumn("words", F.array_join("words", " ")), joined):
+        assert {r["doc_id"]: r["ids"] for r in vocab.encode_documents(form, tokens).collect()} == want
+        sums = vocab.encoded_sums(form, tokens)
+        assert {r["doc_id"]: (r["n"], r["unknown"], r["id_sum"]) for r in sums.collect()} == {i: (len(x), x.count(0), sum(x)) for i, x in want.items()}
+        for df in (sums,):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
 def test_chunks_blocks_and_pairs_stay_in_their_row(spark):
     rng = random.Random(3)
     lists = [[rng.choice("abcd") for _ in range(n)] for n in (0, 1, 2, 3, 32, 33, 35, 64, 65, 100)]

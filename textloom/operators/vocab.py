@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.functions import segments as S
@@ -95,48 +97,95 @@ def encode_distinct(words: DataFrame, vocab: DataFrame, unk: int = 0) -> DataFra
 
 #: Documents that are encoded before their ids leave Python.
 BATCH_DOCS = 64
-#: Distinct words whose ids a worker remembers.
-KNOWN_WORDS = 1 << 18
+#: Words of them that are looked up at a time.
+PART_WORDS = 1 << 20
 
 
-def encode_documents(docs: DataFrame, vocab: DataFrame, key: str = "token", unk: int = 0) -> DataFrame:
-    """doc_id, ids of documents with an array ``words``, in order: no row a word, no shuffle.
-
-    With ``key`` 'token' as :func:`encode_with_chars`: a known token whole, another
-    by character. With 'word' as :func:`with_ids`. ``vocab``, a bounded table of
-    ``key`` and id, is broadcast. Documents without words give no row.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({r[0]: r[1] for r in vocab.select(key, "id").collect()})
+def _encoder(docs: DataFrame, vocab: DataFrame, key: str, unk: int):
+    """From batches of (doc_id, words) to batches of (doc_id, ids), for :func:`encode_documents`."""
+    shared = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in vocab.select(key, "id").collect()})
+    joined = docs.schema["words"].dataType.simpleString() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = shared.value, {}
-
-        def coded(word: str) -> list[int]:
+        known = shared.value
+        whole = {t if key == "word" else t[1:]: i for t, i in known.items() if key == "word" or t.startswith(MARKER)}
+        names, whole_ids = pa.array(list(whole), pa.string()), np.array([*whole.values(), unk], dtype=np.int32)
+        inner, first = (np.full(sys.maxunicode + 1, unk, dtype=np.int32) for _ in range(2))  # ids by code point
+        for t, i in known.items():
+            if len(t) == 1:
+                inner[ord(t)] = i
+            elif len(t) == 2 and t[0] == MARKER:
+                first[ord(t[1])] = i
+
+        def looked_up(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """The ids of all words, and the number of ids of each."""
+            place = pc.fill_null(pc.index_in(words, names), -1).to_numpy()
             if key == "word":
-                return [known.get(word, unk)]
-            whole = known.get(MARKER + word)
-            return [known.get(MARKER * (i == 0) + c, unk) for i, c in enumerate(word)] if whole is None else [whole]
+                return whole_ids[place], np.ones(len(place), np.int64)
+            hit = place >= 0
+            n = np.where(hit, 1, pc.fill_null(pc.utf8_length(words), 0).to_numpy())
+            starts = np.cumsum(n) - n
+            missed = words.filter(pa.array(~hit))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(missed)], pa.int32()), pc.fill_null(missed, "")), "")[0].as_py()
+            chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+            ids, spelled = np.empty(n.sum(), np.int32), np.ones(n.sum(), bool)
+            ids[starts[hit]], spelled[starts[hit]] = whole_ids[place[hit]], False
+            ids[spelled] = inner[chars]
+            head = n[~hit] > 0
+            ids[starts[~hit][head]] = first[chars[(np.cumsum(n[~hit]) - n[~hit])[head]]]
+            return ids, n
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_DOCS):
-                some, out = batch.slice(at, BATCH_DOCS), []
-                for words in some.column("words"):
-                    ids: list[int] = []
-                    for word in words.as_py() or ():
-                        found = seen.get(word)
-                        if found is None:
-                            if len(seen) >= KNOWN_WORDS:
-                                seen.clear()
-                            found = seen[word] = coded(word)
-                        ids += found
-                    out.append(np.array(ids, dtype=np.int32))
-                found = pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                some = batch.slice(at, BATCH_DOCS)
+                lists = pc.split_pattern(some.column("words"), " ") if joined else some.column("words")
+                words, ends = lists.flatten(), _ends(lists)
+                if joined:
+                    kept = pc.binary_length(words).to_numpy() > 0
+                    words, ends = words.filter(pa.array(kept)), np.concatenate([[0], kept]).cumsum()[ends]
+                parts = [looked_up(words.slice(i, PART_WORDS)) for i in range(0, len(words), PART_WORDS)]
+                ids = np.concatenate([np.empty(0, np.int32), *[part for part, _ in parts]])
+                before = np.concatenate([[0], *[n for _, n in parts]]).cumsum()  # ids before each word
+                ends = before[ends]
+                found = pa.RecordBatch.from_arrays([some.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
                 # Not filtered by Spark, which would clean the text for the filter and again for the words.
-                yield found.filter(pa.array([len(ids) > 0 for ids in out]))
+                yield found.filter(pa.array(np.diff(ends) > 0))
+
+    return run
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    """0 and where each list ends among the flattened values; null is an empty list."""
+    return np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)]).cumsum()
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
+def encode_documents(docs: DataFrame, vocab: DataFrame, key: str = "token", unk: int = 0) -> DataFrame:
+    """doc_id, ids of documents with ``words``, in order: no row a word, no shuffle.
+
+    ``words`` is an array, or one string with blanks between the words, which comes
+    to Python in a small part of the time. With ``key`` 'token' as
+    :func:`encode_with_chars`: a known token whole, another by character. With
+    'word' as :func:`with_ids`. ``vocab``, a bounded table of ``key`` and id, is
+    broadcast. Documents without words give no row.
+    """
+    return docs.select("doc_id", "words").mapInArrow(_encoder(docs, vocab, key, unk), f"doc_id {_kind(docs)}, ids array<int>")
+
+
+def encoded_sums(docs: DataFrame, vocab: DataFrame, key: str = "token", unk: int = 0) -> DataFrame:
+    """doc_id, n, unknown, id_sum: number of ids, of ``unk`` and the sum of the ids of :func:`encode_documents`."""
+    encode = _encoder(docs, vocab, key, unk)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in encode(batches):
+            ids, ends = batch.column("ids").flatten().to_numpy(), _ends(batch.column("ids"))
+            sums = [np.concatenate([[0], x]).cumsum(dtype=np.int64)[ends] for x in (ids == unk, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.diff(x)) for x in (ends, *sums)]], ["doc_id", "n", "unknown", "id_sum"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "words").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "words").mapInArrow(run, f"doc_id {_kind(docs)}, n long, unknown long, id_sum long")
 
 
 def decode_documents(encoded: DataFrame, vocab: DataFrame, skip: list[int]) -> DataFrame:
