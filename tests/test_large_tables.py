@@ -105,7 +105,7 @@ def test_documents_are_encoded_without_a_row_a_word(spark):
 
 
 def test_words_are_looked_up_in_arrays(spark, monkeypatch):
-    """As word by word, also across parts; ids that a query sums do not leave Python."""
+    """As word by word, also across parts; ids that a query sums or decodes do not leave Python."""
     monkeypatch.setattr(vocab, "PART_WORDS", 7)
     rng = random.Random(11)
     letters = "abçığ😀漢▁"
@@ -121,9 +121,13 @@ def test_words_are_looked_up_in_arrays(spark, monkeypatch):
         assert {r["doc_id"]: r["ids"] for r in vocab.encode_documents(form, tokens).collect()} == want
         sums = vocab.encoded_sums(form, tokens)
         assert {r["doc_id"]: (r["n"], r["unknown"], r["id_sum"]) for r in sums.collect()} == {i: (len(x), x.count(0), sum(x)) for i, x in want.items()}
-        for df in (sums,):
+        text = vocab.recoded_documents(form, tokens.filter("token <> 'b'"), [0])
+        assert sorted(text.collect()) == sorted(vocab.decode_documents(vocab.encode_documents(docs, tokens.filter("token <> 'b'")), tokens, [0]).collect())
+        for df in (sums, text):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    odd = spark.createDataFrame([(1, [3, 99, 0, -1, 12]), (2, [0]), (3, [77]), (4, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in vocab.decode_documents(odd, tokens, [0]).collect()} == {1: "a a", 3: ""}
 
 
 def test_chunks_blocks_and_pairs_stay_in_their_row(spark):

@@ -154,6 +154,30 @@ def _encoder(docs: DataFrame, vocab: DataFrame, key: str, unk: int):
     return run
 
 
+def _decoder(vocab: DataFrame, skip: list[int]):
+    """From batches of (doc_id, ids) to batches of (doc_id, text), for :func:`decode_documents`."""
+    shared = vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in vocab.select("id", "token").collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array(sorted(shared.value), dtype=np.int64)
+        tokens = pa.array([*(shared.value[i].replace(MARKER, " ") for i in known.tolist()), ""], pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                some = batch.slice(at, BATCH_DOCS)
+                lists = some.column("ids")
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                kept = ~np.isin(ids, skip)
+                ends = np.concatenate([[0], kept]).cumsum()[_ends(lists)]
+                ids = ids[kept]
+                place = np.searchsorted(known, ids)
+                place[np.append(known, -1)[place] != ids] = len(known)  # the empty token
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.take(pa.array(place))), "")
+                out = pa.RecordBatch.from_arrays([some.column("doc_id"), pc.utf8_trim(texts, " ")], ["doc_id", "text"])
+                yield out.filter(pa.array(np.diff(ends) > 0))
+
+    return run
+
+
 def _ends(lists: pa.Array) -> np.ndarray:
     """0 and where each list ends among the flattened values; null is an empty list."""
     return np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)]).cumsum()
@@ -190,23 +214,13 @@ def encoded_sums(docs: DataFrame, vocab: DataFrame, key: str = "token", unk: int
 
 def decode_documents(encoded: DataFrame, vocab: DataFrame, skip: list[int]) -> DataFrame:
     """doc_id, text as :func:`decode_tokens`, from (doc_id, ids); documents of ``skip`` ids only give no row."""
-    shared = encoded.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in vocab.select("id", "token").collect()})
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(vocab, skip), f"doc_id {_kind(encoded)}, text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, left_out = shared.value, set(skip)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_DOCS):
-                doc_ids, texts = [], []
-                some = batch.slice(at, BATCH_DOCS)
-                for doc_id, ids in zip(some.column("doc_id"), some.column("ids")):
-                    kept = [i for i in ids.as_py() if i not in left_out]
-                    if kept:
-                        doc_ids.append(doc_id.as_py())
-                        texts.append("".join([names.get(i, "") for i in kept]).replace(MARKER, " ").strip(" "))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, batch.column("doc_id").type), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+
+def recoded_documents(docs: DataFrame, vocab: DataFrame, skip: list[int], unk: int = 0) -> DataFrame:
+    """:func:`decode_documents` of :func:`encode_documents`, whose ids do not leave Python."""
+    encode, decode = _encoder(docs, vocab, "token", unk), _decoder(vocab, skip)
+    return docs.select("doc_id", "words").mapInArrow(lambda batches: decode(encode(batches)), f"doc_id {_kind(docs)}, text string")
 
 
 def decode_tokens(encoded: DataFrame, vocab: DataFrame, skip: list[int]) -> DataFrame:
